@@ -2,28 +2,17 @@
 
 md5 gives the same bytes in every SQL engine, so results depend neither on
 the partitioning nor on retries, and an independent engine can replay them.
+The functions return SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def hash_key(seed, *cols: str) -> str:
+    """Sort key: 32 hex digits of the seed and the columns joined with ``|``."""
+    return f"md5(concat_ws('|', {', '.join([repr(str(seed)), *cols])}))"
 
-def _col(part) -> Column:
-    return part if isinstance(part, Column) else F.lit(str(part))
 
-
-def hash_key(*parts) -> Column:
-    """Sort key: 32 hex digits of the parts joined with ``|``. Plain values are literals."""
-    return F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]))
-
-
-def hash_int(*parts) -> Column:
+def hash_int(seed, *cols: str) -> str:
     """Uniform integer below 2**60 from the first 15 hex digits."""
-    return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("bigint")
-
-
-def hash_bucket(key: Column, digits: int = 3) -> Column:
-    """Leading digits of a hash key: equal-sized ordered buckets for any data."""
-    return F.substring(key, 1, digits)
+    return f"CAST(conv(substring({hash_key(seed, *cols)}, 1, 15), 16, 10) AS BIGINT)"

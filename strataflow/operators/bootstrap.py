@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions.hashing import hash_int, hash_key
@@ -25,7 +25,8 @@ from strataflow.operators.metrics import (
     keep_best,
     mean_over_iterations,
 )
-from strataflow.operators.running import hash_ranks
+from strataflow.operators.running import hash_ranks, quoted
+from strataflow.session import cut_lineage
 
 BOOT, WEIGHT = "boot_iter", "boot_weight"
 
@@ -38,21 +39,20 @@ def resample_counts(
     ``ids`` identify a row within its stratum. Rows without a stratum value are left out.
     """
     strata, ids = list(strata), list(ids)
-    ok = F.lit(True)
-    for s in strata:
-        ok = ok & F.col(s).isNotNull()
-    units = df.where(ok)
+    units = df.where(" AND ".join(f"`{s}` IS NOT NULL" for s in strata)) if strata else df
     keys = strata
     if not keys:
         units, keys = units.withColumn("__all", F.lit(0)), ["__all"]
-    units = hash_ranks(units, keys, hash_key(seed, *[F.col(c) for c in ids]), ids)
-    boots = F.sequence(F.lit(first), F.lit(first + n_boot - 1))
-    place = F.pmod(hash_int(seed, F.col(BOOT), *[F.col(s) for s in strata], F.col("rank0")), F.col("n"))
+    # drawn places and rows both read the ranked units; n rows are written, not n x replicates
+    units = cut_lineage(hash_ranks(units, keys, hash_key(seed, *map(quoted, ids)), ids))
+    place = hash_int(seed, BOOT, *map(quoted, strata), "rank0")
     draws = (
-        units.select(*keys, "rank0", "n", F.explode(boots).alias(BOOT))
-        .select(*keys, BOOT, place.alias("rank0"))
+        units.selectExpr(
+            *map(quoted, keys), "rank0", "n", f"explode(sequence({first}, {first + n_boot - 1})) AS {BOOT}"
+        )
+        .selectExpr(*map(quoted, keys), BOOT, f"pmod({place}, n) AS rank0")
         .groupBy(*keys, BOOT, "rank0")
-        .agg(F.count("*").cast("double").alias(WEIGHT))
+        .agg(F.expr(f"CAST(count(*) AS DOUBLE) AS {WEIGHT}"))
     )
     return units.drop("n").join(draws, [*keys, "rank0"]).drop("rank0", "__all")
 
@@ -79,14 +79,9 @@ def quantile_interval(df: DataFrame, keys: Sequence[str], value: str = "performa
 
     A group holds one value per replicate, so its buffer is bounded by their number.
     """
-    probs = F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2))
-    q = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, probs).alias("q"))
-    return q.select(
-        *keys,
-        F.element_at("q", 1).alias("ci_lower"),
-        F.element_at("q", 2).alias("ci_med"),
-        F.element_at("q", 3).alias("ci_upper"),
-    )
+    probs = f"array({alpha / 2!r}D, 0.5D, {1 - alpha / 2!r}D)"
+    q = df.where(f"{value} IS NOT NULL").groupBy(*keys).agg(F.expr(f"percentile({value}, {probs}) AS q"))
+    return q.selectExpr(*map(quoted, keys), "q[0] AS ci_lower", "q[1] AS ci_med", "q[2] AS ci_upper")
 
 
 def bootstrap_ci(df: DataFrame, n_boot: int = 1000, strata: Sequence[str] = (), alpha: float = 0.05, **kw) -> DataFrame:
@@ -120,7 +115,7 @@ def evaluate_ensemble(
     """Scores averaged per row over its draws in all runs, then one metric per replicate."""
     drawn = resample_counts(df, [*strata, "iter"], [row], n_boot, seed, first)
     mean = ensemble_predictions(drawn, [BOOT, *strata, row], ("pred_probs", "labels"), WEIGHT)
-    return evaluate(mean.withColumn("labels", F.round("labels").cast("int")), metrics, [BOOT, *strata])
+    return evaluate(mean.withColumn("labels", F.expr("CAST(round(labels) AS INT)")), metrics, [BOOT, *strata])
 
 
 def evaluate_best(
@@ -152,30 +147,20 @@ def pair_predictions(
     return left.join(right, list(keys))
 
 
-def _sides() -> Column:
-    return F.array(
-        F.struct(F.lit("base").alias("side"), F.col("pred_base").alias("p"), F.col("labels").alias("y")),
-        F.struct(F.lit("test").alias("side"), F.col("pred_test").alias("p"), F.col("labels_test").alias("y")),
-    )
-
-
 def _stack_sides(drawn: DataFrame) -> DataFrame:
     """Both models below each other, so that one evaluation serves both."""
-    drop = ["pred_base", "pred_test", "labels", "labels_test", "outputs"]
-    return (
-        drawn.withColumn("__s", F.explode(_sides()))
-        .drop(*drop)
-        .select("*", F.col("__s.side").alias("side"), F.col("__s.p").alias("pred_probs"), F.col("__s.y").alias("labels"))
-        .drop("__s")
+    own = ("pred_base", "pred_test", "labels", "labels_test", "outputs")
+    rest = [quoted(c) for c in drawn.columns if c not in own]
+    return drawn.selectExpr(
+        *rest, "stack(2, 'base', pred_base, labels, 'test', pred_test, labels_test) AS (side, pred_probs, labels)"
     )
 
 
 def _difference(results: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    side = lambda name: F.max(F.when(F.col("side") == name, F.col(value)))
     both = results.groupBy(*keys, "metric").agg(
-        side("base").alias("performance_base"), side("test").alias("performance_test")
+        *[F.expr(f"max(CASE WHEN side = '{s}' THEN {value} END) AS performance_{s}") for s in ("base", "test")]
     )
-    return both.withColumn("performance_diff", F.col("performance_base") - F.col("performance_test"))
+    return both.selectExpr("*", "performance_base - performance_test AS performance_diff")
 
 
 def compare_models(
@@ -204,7 +189,7 @@ def compare_models(
         return _difference(mean_over_iterations(per_run, ["side", BOOT, *strata]), [BOOT, *strata], "mean")
     if method == "ensemble":
         mean = ensemble_predictions(drawn, ["side", BOOT, *strata, *ids], ("pred_probs", "labels"), WEIGHT)
-        mean = mean.withColumn("labels", F.round("labels").cast("int"))
+        mean = mean.withColumn("labels", F.expr("CAST(round(labels) AS INT)"))
         return _difference(evaluate(mean, metrics, ["side", BOOT, *strata]), [BOOT, *strata], "performance")
     raise ValueError(f"method {method!r} is not known")
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.scalar import CLIP, clog_log, logit, ratio, sigmoid
-from strataflow.operators.metrics import P, W, Y, prepare
-from strataflow.operators.running import exact_quantiles
+from strataflow.functions.scalar import CLIP
+from strataflow.operators.metrics import NEGATIVE, POSITIVE, P, W, keyed, prepare, variant_sql
+from strataflow.operators.running import exact_quantiles, quoted
 from strataflow.session import cut_lineage
 
 # Names of the absolute calibration errors as
@@ -27,165 +27,127 @@ ACE_METRICS = {
 }
 # Tolerance of the bin lookup, absolute and relative.
 BIN_ATOL, BIN_RTOL = 1e-8, 1e-5
+# Input of the curve for a score ``__p``.
+TRANSFORMS = {
+    None: P,
+    "log": f"ln({P})",
+    "c_log_log": f"ln(-ln(1D - {P}))",
+    "logit": f"ln({P} / (1D - {P}))",
+}
 
 STEPS_PER_ROUND = 4
 MAX_ROUNDS = 8
 TOLERANCE = 1e-10
 
-
-def model_input(p: Column, transform: str | None) -> Column:
-    fns = {None: lambda x: x, "log": F.ln, "c_log_log": clog_log, "logit": logit}
-    return fns[transform](p)
+_SIGMOID = "1D / (1D + exp(-({})))"
 
 
-def _keyed(base: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if strata:
-        return base, list(strata)
-    return base.withColumn("__all", F.lit(0)), ["__all"]
+def _inside(transform: str | None) -> str:
+    return "TRUE" if transform is None else f"{P} > {CLIP!r}D AND {P} < 1D - {CLIP!r}D"
 
 
 def score_points(base: DataFrame, keys: Sequence[str], transform: str | None) -> DataFrame:
     """Distinct scores per key with weights ``w1`` (label 1) and ``w0`` and the input ``x``."""
-    rows = base
-    if transform is not None:
-        rows = rows.where((F.col(P) > CLIP) & (F.col(P) < 1 - CLIP))
-    return (
-        rows.groupBy(*keys, P)
-        .agg(
-            F.sum(F.when(F.col(Y) == 1, F.col(W)).otherwise(0.0)).alias("w1"),
-            F.sum(F.when(F.col(Y) == 1, 0.0).otherwise(F.col(W))).alias("w0"),
-        )
-        .where(F.col("w1") + F.col("w0") > 0)
-        .withColumn("x", model_input(F.col(P), transform))
-    )
+    sums = [F.expr(f"sum({POSITIVE}) AS w1"), F.expr(f"sum({NEGATIVE}) AS w0")]
+    points = base.where(_inside(transform)).groupBy(*keys, P).agg(*sums).where("w1 + w0 > 0")
+    return points.withColumn("x", F.expr(TRANSFORMS[transform]))
 
 
-def fit_logistic(points: DataFrame, keys: Sequence[str], offset_only: bool = False) -> DataFrame:
+def fit_logistic(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, intercept, slope, converged``: unpenalised maximum likelihood.
 
     Strata with one class or one distinct input have no such fit and get NULL.
     Steps run on standardised input and are kept short, so a far start cannot
     overshoot; separable strata come back with ``converged = false``.
     """
-    keys = list(keys)
-    w = F.col("w1") + F.col("w0")
+    k = [quoted(c) for c in keys]
     scale = points.groupBy(*keys).agg(
-        F.sum("w1").alias("n1"),
-        F.sum("w0").alias("n0"),
-        (F.sum(w * F.col("x")) / F.sum(w)).alias("mx"),
-        (F.sum(w * F.col("x") * F.col("x")) / F.sum(w)).alias("mxx"),
-        (F.max("x") > F.min("x")).alias("varies"),
+        F.expr("sum(w1) AS n1"),
+        F.expr("sum(w0) AS n0"),
+        F.expr("sum((w1 + w0) * x) / sum(w1 + w0) AS mx"),
+        F.expr("sum((w1 + w0) * x * x) / sum(w1 + w0) AS mxx"),
+        F.expr("max(x) > min(x) AS varies"),
     )
-    sd = F.sqrt(F.greatest(F.col("mxx") - F.col("mx") * F.col("mx"), F.lit(0.0)))
-    usable = (F.col("n1") > 0) & (F.col("n0") > 0) & (F.col("varies") | F.lit(offset_only))
-    start = scale.select(
-        *keys,
+    usable = "n1 > 0 AND n0 > 0 AND varies"
+    coefs = scale.selectExpr(
+        *k,
         "mx",
-        F.when(sd > 0, sd).otherwise(1.0).alias("sx"),
-        F.when(usable, F.ln(ratio(F.col("n1"), F.col("n0")))).alias("a"),
-        F.when(usable, 0.0).alias("b"),
-        F.when(usable, 1.0).alias("move"),
+        "CASE WHEN mxx > mx * mx THEN sqrt(mxx - mx * mx) ELSE 1D END AS sx",
+        f"CASE WHEN {usable} THEN ln(n1) - ln(n0) END AS a",
+        f"CASE WHEN {usable} THEN 0D END AS b",
+        f"CASE WHEN {usable} THEN 1D END AS move",
     )
-    coefs = cut_lineage(start)
     for _ in range(MAX_ROUNDS):
         for _ in range(STEPS_PER_ROUND):
-            coefs = _newton_step(points, coefs, keys)
+            coefs = _newton_step(points, coefs, list(keys))
         coefs = cut_lineage(coefs)
         if (coefs.agg(F.max("move")).first()[0] or 0.0) < TOLERANCE:
             break
-    slope = F.col("b") / F.col("sx")
-    return coefs.select(
-        *keys,
-        (F.col("a") - slope * F.col("mx")).alias("intercept"),
-        slope.alias("slope"),
-        (F.col("move") < TOLERANCE).alias("converged"),
+    return coefs.selectExpr(
+        *k, "a - b / sx * mx AS intercept", "b / sx AS slope", f"move < {TOLERANCE!r}D AS converged"
     )
 
 
 def _newton_step(points: DataFrame, coefs: DataFrame, keys: list[str]) -> DataFrame:
-    z = (F.col("x") - F.col("mx")) / F.col("sx")
-    p = sigmoid(F.col("a") + F.col("b") * z)
-    n = F.col("w1") + F.col("w0")
-    g = F.col("w1") - n * p
-    h = n * p * (1 - p)
-    sums = (
-        points.join(coefs.where(F.col("move") >= TOLERANCE), keys)
-        .groupBy(*keys)
-        .agg(
-            F.sum(g).alias("g0"),
-            F.sum(g * z).alias("g1"),
-            F.sum(h).alias("h00"),
-            F.sum(h * z).alias("h01"),
-            F.sum(h * z * z).alias("h11"),
-        )
+    """One step for every key; coefficients ride along, so a step is one join and one aggregation."""
+    rows = points.join(coefs, keys).selectExpr(
+        *map(quoted, keys), "mx", "sx", "a", "b", "w1", "w1 + w0 AS n", "(x - mx) / sx AS z"
     )
-    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-    da = F.try_divide(F.col("g0") * F.col("h11") - F.col("g1") * F.col("h01"), det)
-    db = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
-    step = F.sqrt(F.col("da") * F.col("da") + F.col("db") * F.col("db"))
-    damp = F.least(F.lit(1.0), F.try_divide(F.lit(4.0), step))
-    moved = (
-        coefs.join(sums, keys, "left")
-        .withColumns({"da": da, "db": db, "fresh": F.col("g0").isNotNull()})
-        .withColumns({"step": step, "damp": F.coalesce(damp, F.lit(1.0))})
+    rows = rows.withColumn("p", F.expr(_SIGMOID.format("a + b * z")))
+    sums = rows.groupBy(*keys).agg(
+        *[F.expr(f"first({c}) AS {c}") for c in ("mx", "sx", "a", "b")],
+        F.expr("sum(w1 - n * p) AS g0"),
+        F.expr("sum((w1 - n * p) * z) AS g1"),
+        F.expr("sum(n * p * (1D - p)) AS h00"),
+        F.expr("sum(n * p * (1D - p) * z) AS h01"),
+        F.expr("sum(n * p * (1D - p) * z * z) AS h11"),
     )
-    fresh = F.col("fresh")
-    return moved.select(
-        *keys,
+    det = "(h00 * h11 - h01 * h01)"
+    step = sums.selectExpr(
+        *map(quoted, keys),
         "mx",
         "sx",
-        F.when(fresh, F.col("a") + F.col("damp") * F.col("da")).otherwise(F.col("a")).alias("a"),
-        F.when(fresh, F.col("b") + F.col("damp") * F.col("db")).otherwise(F.col("b")).alias("b"),
-        F.when(fresh, F.col("step")).otherwise(F.col("move")).alias("move"),
+        "a",
+        "b",
+        f"try_divide(g0 * h11 - g1 * h01, {det}) AS da",
+        f"try_divide(h00 * g1 - h01 * g0, {det}) AS db",
+    ).withColumn("move", F.expr("sqrt(da * da + db * db)"))
+    damp = "CASE WHEN move > 4D THEN 4D / move ELSE 1D END"
+    return step.selectExpr(
+        *map(quoted, keys), "mx", "sx", f"a + {damp} * da AS a", f"b + {damp} * db AS b", "move"
     )
 
 
-def fit_bins(points: DataFrame, base: DataFrame, keys: Sequence[str], transform: str | None, n_bins: int = 10):
-    """Curve table of the binning estimator: ``keys, edges, means`` (quantile bins, left-closed).
+def bin_edges(base: DataFrame, keys: Sequence[str], transform: str | None, n_bins: int = 10) -> DataFrame:
+    """``keys, edges``: inner edges of quantile bins over the unweighted rows.
 
-    Edges come from the unweighted rows; bins narrower than 1e-8 are merged.
+    Bins narrower than 1e-8 are merged; the first and last bin are open.
     """
-    keys = list(keys)
-    rows = base
-    if transform is not None:
-        rows = rows.where((F.col(P) > CLIP) & (F.col(P) < 1 - CLIP))
-    rows = rows.where(F.col(W) > 0).withColumn("x", model_input(F.col(P), transform))
+    rows = base.where(f"{_inside(transform)} AND {W} > 0").withColumn("x", F.expr(TRANSFORMS[transform]))
     q = exact_quantiles(rows, keys, "x", [i / n_bins for i in range(n_bins + 1)])
-    wide_enough = F.filter(
-        F.sequence(F.lit(2), F.size("q")),
-        lambda i: F.element_at("q", i) - F.element_at("q", i - 1) > BIN_ATOL,
-    )
-    # right ends of the kept bins, the last one open
-    ends = F.transform(wide_enough, lambda i: F.element_at("q", i.cast("int")))
-    inner = F.when(F.size(ends) > 1, F.slice(ends, F.lit(1), F.size(ends) - 1)).otherwise(
-        F.array().cast("array<double>")
+    wide = f"filter(slice(q, 2, {n_bins}), (e, i) -> e - q[i] > {BIN_ATOL!r}D)"
+    q = q.withColumn("ends", F.expr(wide))
+    return q.selectExpr(
+        *map(quoted, keys),
+        "CASE WHEN size(ends) > 1 THEN slice(ends, 1, size(ends) - 1) ELSE CAST(array() AS ARRAY<DOUBLE>) END AS edges",
     )
-    edges = q.select(*keys, inner.alias("edges"))
-    placed = points.join(edges, keys).withColumn("bin", bin_of(F.col("x"), F.col("edges")))
-    means = placed.groupBy(*keys, "bin").agg(
-        ratio(F.sum("w1"), F.sum(F.col("w1") + F.col("w0"))).alias("m")
-    )
-    return edges, means
 
 
-def bin_of(x: Column, edges: Column) -> Column:
-    reach = x + BIN_ATOL + BIN_RTOL * F.abs(x)
-    return F.size(F.filter(edges, lambda e: e <= reach))
+_BIN = f"size(filter(edges, e -> e <= x + {BIN_ATOL!r}D + {BIN_RTOL!r}D * abs(x)))"
 
 
 def curve(
     points: DataFrame, base: DataFrame, keys: Sequence[str], model: str, transform: str | None, n_bins: int = 10
 ) -> DataFrame:
     """Points with ``density``, the fitted chance of label 1 at the score."""
+    keys, columns = list(keys), [quoted(c) for c in points.columns]
     if model == "logistic":
-        coefs = fit_logistic(points, keys).select(*keys, "intercept", "slope")
-        return points.join(coefs, list(keys)).withColumn(
-            "density", sigmoid(F.col("intercept") + F.col("slope") * F.col("x"))
-        ).drop("intercept", "slope")
+        fitted = points.join(fit_logistic(points, keys), keys)
+        return fitted.selectExpr(*columns, f"{_SIGMOID.format('intercept + slope * x')} AS density")
     if model == "bin":
-        edges, means = fit_bins(points, base, keys, transform, n_bins)
-        placed = points.join(edges, list(keys)).withColumn("bin", bin_of(F.col("x"), F.col("edges")))
-        return placed.join(means, [*keys, "bin"]).withColumnRenamed("m", "density").drop("edges", "bin")
+        placed = points.join(bin_edges(base, keys, transform, n_bins), keys).selectExpr(*columns, f"{_BIN} AS bin")
+        means = placed.groupBy(*keys, "bin").agg(F.expr("try_divide(sum(w1), sum(w1 + w0)) AS density"))
+        return placed.join(means, [*keys, "bin"]).selectExpr(*columns, "density")
     raise ValueError(f"curve {model!r} is not known")
 
 
@@ -199,36 +161,34 @@ def calibration_density(
     weight: str | None = None,
 ) -> DataFrame:
     """``strata, pred_probs, w1, w0, model_input, density`` per distinct score."""
-    base, keys = _keyed(prepare(df, strata, label, pred, weight), strata)
+    base, keys = keyed(prepare(df, strata, label, pred, weight), strata)
     points = cut_lineage(score_points(base, keys, transform))
-    out = curve(points, base, keys, model, transform)
-    return out.select(
-        *strata, F.col(P).alias("pred_probs"), "w1", "w0", F.col("x").alias("model_input"), "density"
+    return curve(points, base, keys, model, transform).selectExpr(
+        *map(quoted, strata), f"{P} AS pred_probs", "w1", "w0", "x AS model_input", "density"
     )
 
 
-def _error(diff: Column, variant: str, w: Column) -> Column:
-    f = {"abs": F.abs(diff), "signed": diff}.get(variant, diff * diff)
-    value = ratio(F.sum(w * f), F.sum(w))
-    return F.sqrt(value) if variant == "rmse" else value
+def _error(diff: str, variant: str, w: str = "(w1 + w0)") -> str:
+    value = f"try_divide(sum({w} * {variant_sql(diff, variant)}), sum({w}))"
+    return f"sqrt({value})" if variant == "rmse" else value
 
 
-def absolute_errors(base: DataFrame, strata: Sequence[str], names: Sequence[str]) -> DataFrame:
+def absolute_errors(base: DataFrame, strata: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Wide frame of the named errors; each curve is fitted once for all its variants."""
-    keyed, keys = _keyed(base, strata)
+    rows, keys = keyed(base, strata)
     curves: dict[tuple, list[str]] = {}
-    for n in names:
+    for n in metrics:
         curves.setdefault(ACE_METRICS[n][1:], []).append(n)
-    out = None
-    w = F.col("w1") + F.col("w0")
+    out, points = None, {}
     for (model, transform), chosen in curves.items():
-        points = cut_lineage(score_points(keyed, keys, transform))
-        fitted = curve(points, keyed, keys, model, transform)
+        if transform not in points:
+            points[transform] = cut_lineage(score_points(rows, keys, transform))
+        fitted = curve(points[transform], rows, keys, model, transform)
         part = fitted.groupBy(*keys).agg(
-            *[_error(F.col("density") - F.col(P), ACE_METRICS[n][0], w).alias(n) for n in chosen]
+            *[F.expr(f"{_error(f'density - {P}', ACE_METRICS[n][0])} AS {n}") for n in chosen]
         )
         out = part if out is None else out.join(part, keys, "full")
-    return out.drop("__all")
+    return out if strata else out.drop("__all")
 
 
 def relative_calibration_error(
@@ -244,18 +204,17 @@ def relative_calibration_error(
     weight: str | None = None,
 ) -> DataFrame:
     """Group curve minus overall curve on the group's rows, per group."""
-    base, keys = _keyed(prepare(df, strata, label, pred, weight, keep=[group]), strata)
-    base = base.where(F.col(group).isNotNull())
+    base, keys = keyed(prepare(df, strata, label, pred, weight, keep=[group]), strata)
+    base = base.where(f"{quoted(group)} IS NOT NULL")
     gkeys = [*keys, group]
     gpoints = cut_lineage(score_points(base, gkeys, transform))
-    points = gpoints.groupBy(*keys, P, "x").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0"))
+    points = gpoints.groupBy(*keys, P, "x").agg(F.expr("sum(w1) AS w1"), F.expr("sum(w0) AS w0"))
     own = curve(gpoints, base, gkeys, model, transform)
     overall = curve(points, base, keys, model, transform)
-    w = F.col("w1") + F.col("w0")
-    both = own.join(overall.select(*keys, P, F.col("density").alias("all_density")), [*keys, P])
-    aggs = [_error(F.col("density") - F.col("all_density"), variant, w).alias("relative_calibration_error")]
+    both = own.join(overall.selectExpr(*map(quoted, keys), P, "density AS all_density"), [*keys, P])
+    aggs = [F.expr(f"{_error('density - all_density', variant)} AS relative_calibration_error")]
     if compute_ace:
-        aggs.append(_error(F.col("density") - F.col(P), variant, w).alias("absolute_calibration_error"))
+        aggs.append(F.expr(f"{_error(f'density - {P}', variant)} AS absolute_calibration_error"))
     return both.groupBy(*gkeys).agg(*aggs).drop("__all")
 
 
@@ -263,10 +222,10 @@ def cox_calibration(
     df: DataFrame, strata: Sequence[str] = (), label: str = "labels", pred: str = "pred_probs", weight: str | None = None
 ) -> DataFrame:
     """``strata, cox_intercept, cox_slope``: logistic fit on the log odds of the score."""
-    base, keys = _keyed(prepare(df, strata, label, pred, weight), strata)
+    base, keys = keyed(prepare(df, strata, label, pred, weight), strata)
     points = cut_lineage(score_points(base, keys, "logit"))
-    return fit_logistic(points, keys).select(
-        *strata, F.col("intercept").alias("cox_intercept"), F.col("slope").alias("cox_slope"), "converged"
+    return fit_logistic(points, keys).selectExpr(
+        *map(quoted, strata), "intercept AS cox_intercept", "slope AS cox_slope", "converged"
     )
 
 
@@ -284,22 +243,12 @@ def forest_calibration_error(
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    base, keys = _keyed(prepare(df, (), label, pred), ())
-    points = cut_lineage(score_points(base, keys, transform))
+    base, keys = keyed(prepare(df, (), label, pred), ())
     # one row per (score, label) with its weight instead of the rows themselves
-    sides = F.array(
-        F.struct(F.lit(1.0).alias("y"), F.col("w1").alias("w")), F.struct(F.lit(0.0).alias("y"), F.col("w0").alias("w"))
-    )
-    rows = (
-        VectorAssembler(inputCols=["x"], outputCol="features")
-        .transform(points)
-        .withColumn("side", F.explode(sides))
-        .select(P, "features", F.col("side.y").alias("y"), F.col("side.w").alias("w"))
-        .where("w > 0")
-    )
+    points = score_points(base, keys, transform).selectExpr(P, "x", "stack(2, 1D, w1, 0D, w0) AS (y, w)").where("w > 0")
+    rows = cut_lineage(points)
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
     forest = RandomForestClassifier(labelCol="y", weightCol="w", seed=seed, numTrees=num_trees, maxDepth=10)
-    scored = forest.fit(rows).transform(rows).withColumn(
-        "density", F.element_at(vector_to_array("probability"), 2)
-    )
-    value = _error(F.col("density") - F.col(P), variant, F.col("w"))
-    return scored.agg(value.alias("performance")).select(F.lit(f"ace_{variant}_rf").alias("metric"), "performance")
+    scored = forest.fit(rows).transform(rows).withColumn("density", vector_to_array("probability")[1])
+    value = _error(f"density - {P}", variant, "w")
+    return scored.agg(F.expr(f"{value} AS performance")).selectExpr(f"'ace_{variant}_rf' AS metric", "performance")

@@ -7,9 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.scalar import ratio
-from strataflow.operators.metrics import P, W, Y, evaluate_prepared, prepare
-from strataflow.operators.running import running_sums, score_bucket
+from strataflow.operators.metrics import P, W, Y, evaluate_prepared, keyed, prepare
+from strataflow.operators.running import quoted, running_sums, score_bucket
+from strataflow.session import cut_lineage
 
 # Default base metrics of the one-vs-all frame.
 OVA_METRICS = ("auc", "auprc", "loss_bce", "brier", "mean_prediction", "mean_prediction_0", "mean_prediction_1")
@@ -24,12 +24,8 @@ UNDEFINED = -1.0
 
 
 def _base(df, group, strata, label, pred, weight):
-    out = prepare(df, strata, label, pred, weight, keep=[group])
-    out = out.where(F.col(group).isNotNull())
-    keys = list(strata)
-    if not keys:
-        out, keys = out.withColumn("__all", F.lit(0)), ["__all"]
-    return out, keys
+    rows, keys = keyed(prepare(df, strata, label, pred, weight, keep=[group]), strata)
+    return rows.where(f"{quoted(group)} IS NOT NULL"), keys
 
 
 def group_vs_overall(
@@ -59,12 +55,8 @@ def metric_ova(
     """``<metric>_ova``: metric of the group minus metric of all."""
     both = group_vs_overall(df, group, metrics, strata, **names)
     diff = F.col("performance") - F.col("performance_overall")
-    return both.select(
-        F.concat("metric", F.lit("_ova")).alias("metric"),
-        *strata,
-        group,
-        (transform(diff) if transform else diff).alias("performance"),
-    )
+    out = both.withColumn("performance", transform(diff) if transform else diff)
+    return out.selectExpr("concat(metric, '_ova') AS metric", *map(quoted, [*strata, group]), "performance")
 
 
 def emd_ova(
@@ -86,28 +78,23 @@ def emd_ova(
     base, keys = _base(df, group, strata, label, pred, weight)
     groups = base.select(*keys, group).distinct()
     if the_label is not None:
-        base = base.where(F.col(Y) == the_label)
-    own = base.groupBy(*keys, group, P).agg(F.sum(W).alias("u"))
-    everyone = own.groupBy(*keys, P).agg(F.sum("u").alias("v"))
+        base = base.where(f"{Y} = {the_label}")
+    own = base.groupBy(*keys, group, P).agg(F.expr(f"sum({W}) AS u"))
+    everyone = own.groupBy(*keys, P).agg(F.expr("sum(u) AS v"))
+    gkeys = [*keys, group]
     cells = (
         everyone.join(groups, keys)
-        .join(own, [*keys, group, P], "left")
-        .select(*keys, group, P, F.coalesce("u", F.lit(0.0)).alias("u"), "v")
-    )
-    gkeys = [*keys, group]
-    run = running_sums(cells, gkeys, [P], ["u", "v"], score_bucket(F.col(P)))
-    fu = ratio(F.col("before_u"), F.col("total_u"))
-    fv = ratio(F.col("before_v"), F.col("total_v"))
-    # |F_u - F_v| holds on the gap below each score: sum of (gap x height) equals
-    # the sum of score x (height below - height at), which needs no neighbour
-    height_below = F.abs(fu - fv)
-    height_at = F.abs(
-        ratio(F.col("before_u") + F.col("u"), F.col("total_u")) - ratio(F.col("before_v") + F.col("v"), F.col("total_v"))
+        .join(own, [*gkeys, P], "left")
+        .selectExpr(*map(quoted, gkeys), P, "coalesce(u, 0D) AS u", "v")
     )
-    value = run.groupBy(*gkeys).agg(F.sum(F.col(P) * (height_below - height_at)).alias("d"))
-    return (
-        groups.join(value, gkeys, "left")
-        .select(F.lit(variant).alias("metric"), *strata, group, F.coalesce("d", F.lit(UNDEFINED)).alias("performance"))
+    run = running_sums(cells, gkeys, [P], ["u", "v"], score_bucket(P))
+    # |F_group - F_all| holds on the gap below each score: the sum of gap x height
+    # equals the sum of score x (height below - height at), which needs no neighbour
+    below = "abs(try_divide(before_u, total_u) - try_divide(before_v, total_v))"
+    at = "abs(try_divide(before_u + u, total_u) - try_divide(before_v + v, total_v))"
+    value = run.groupBy(*gkeys).agg(F.expr(f"sum({P} * ({below} - {at})) AS d"))
+    return groups.join(value, gkeys, "left").selectExpr(
+        f"'{variant}' AS metric", *map(quoted, [*strata, group]), f"coalesce(d, {UNDEFINED!r}D) AS performance"
     )
 
 
@@ -129,25 +116,24 @@ def xauc(
     the_label, exclude = XAUC_VARIANTS[variant]
     base, keys = _base(df, group, strata, label, pred, weight)
     gkeys = [*keys, group]
-    mine = F.sum(F.when(F.col(Y) == the_label, F.col(W)).otherwise(0.0))
-    other = F.sum(F.when(F.col(Y) == the_label, 0.0).otherwise(F.col(W)))
-    cells = base.groupBy(*gkeys, P).agg(mine.alias("a"), other.alias("b"))
-    by_score = cells.groupBy(*keys, P).agg(F.sum("b").alias("b"))
-    everyone = running_sums(by_score, keys, [P], ["b"], score_bucket(F.col(P))).withColumnsRenamed(
+    cells = base.groupBy(*gkeys, P).agg(
+        F.expr(f"sum(CASE WHEN {Y} = {the_label} THEN {W} ELSE 0D END) AS a"),
+        F.expr(f"sum(CASE WHEN {Y} = {the_label} THEN 0D ELSE {W} END) AS b"),
+    )
+    by_score = cells.groupBy(*keys, P).agg(F.expr("sum(b) AS b"))
+    everyone = running_sums(by_score, keys, [P], ["b"], score_bucket(P)).withColumnsRenamed(
         {"b": "all_b", "before_b": "all_before", "total_b": "all_total"}
     )
-    own = running_sums(cells, gkeys, [P], ["a", "b"], score_bucket(F.col(P)))
+    own = running_sums(cells, gkeys, [P], ["a", "b"], score_bucket(P))
     both = own.join(everyone, [*keys, P])
-    before, at, total = F.col("all_before"), F.col("all_b"), F.col("all_total")
+    before, same, total = "all_before", "all_b", "all_total"
     if exclude:
-        before, at, total = before - F.col("before_b"), at - F.col("b"), total - F.col("total_b")
-    below = before + at / 2
-    right = below if the_label == 1 else total - below
-    value = ratio(F.sum(F.col("a") * right), F.max(F.col("total_a")) * F.max(total))
-    return (
-        both.groupBy(*gkeys)
-        .agg(F.coalesce(value, F.lit(UNDEFINED)).alias("performance"))
-        .select(F.lit(variant).alias("metric"), *strata, group, "performance")
+        before, same, total = "(all_before - before_b)", "(all_b - b)", "(all_total - total_b)"
+    below = f"({before} + {same} / 2)"
+    right = below if the_label == 1 else f"({total} - {below})"
+    value = f"coalesce(try_divide(sum(a * {right}), max(total_a) * max({total})), {UNDEFINED!r}D) AS performance"
+    return both.groupBy(*gkeys).agg(F.expr(value)).selectExpr(
+        f"'{variant}' AS metric", *map(quoted, [*strata, group]), "performance"
     )
 
 
@@ -158,13 +144,23 @@ def fairness_ova(
     metrics: Sequence[str] = OVA_METRICS,
     emd: Sequence[str] = tuple(EMD_VARIANTS),
     xaucs: Sequence[str] = tuple(XAUC_VARIANTS),
-    **names,
+    label: str = "labels",
+    pred: str = "pred_probs",
+    weight: str | None = None,
 ) -> DataFrame:
-    """All one-vs-all measures for every group and stratum."""
+    """All one-vs-all measures for every group and stratum.
+
+    Rows collapse once to distinct (stratum, group, score, label) with their
+    weight; every measure starts from those.
+    """
     strata = [s for s in strata if s in df.columns]
-    parts = [metric_ova(df, group, metrics, strata, **names)] if metrics else []
-    parts += [emd_ova(df, group, v, strata, **names) for v in emd]
-    parts += [xauc(df, group, v, strata, **names) for v in xaucs]
+    base, keys = _base(df, group, strata, label, pred, weight)
+    cells = base.groupBy(*keys, group, Y, P).agg(F.expr(f"sum({W}) AS {W}"))
+    cells = cut_lineage(cells)
+    names = {"label": Y, "pred": P, "weight": W}
+    parts = [metric_ova(cells, group, metrics, strata, **names)] if metrics else []
+    parts += [emd_ova(cells, group, v, strata, **names) for v in emd]
+    parts += [xauc(cells, group, v, strata, **names) for v in xaucs]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.scalar import to_double
+from strataflow.operators.running import running_sums
+from strataflow.session import cut_lineage
 
 # Edges in days around the reference time, the far edge that
 # stands for all history, and the statistics of a measurement.
@@ -129,18 +130,19 @@ STANDARD_SOURCES = [
 ]
 
 
-def bin_index(ts: Column, ref: Column, bins: Sequence[TimeBin]) -> Column:
+def bin_index(ts: str, ref: str, bins: Sequence[TimeBin]) -> str:
     """Array of the bins (places in ``bins``) that hold ``ts``; an edge belongs to both neighbours."""
-    offset = F.timestamp_diff("MICROSECOND", ref, ts)
+    offset = f"timestampdiff(MICROSECOND, {ref}, {ts})"
     hits = []
     for i, b in enumerate(bins):
         lo, hi = b.bounds()
-        hits.append(F.when(offset.between(F.lit(lo), F.lit(hi)), F.lit(i)))
-    return F.array_compact(F.array(*hits))
+        hits.append(f"CASE WHEN {offset} BETWEEN {lo}L AND {hi}L THEN {i} END")
+    return f"array_compact(array({', '.join(hits)}))"
 
 
-def _bin_field(index: Column, values: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+def _pick(values: Sequence[str]) -> str:
+    """The value at place ``bin``."""
+    return "CASE bin " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
 def admission_index(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
@@ -151,58 +153,50 @@ def admission_index(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
 
 
 def binned_events(
-    cohort: DataFrame,
-    admissions: DataFrame,
+    index: DataFrame,
     events: DataFrame,
     concept_col: str,
     ts_col: str | None,
     bins: Sequence[TimeBin],
     values: bool = False,
 ) -> DataFrame:
-    """Events of the cohort's admissions, one row per bin they fall in (``bin``).
+    """Events of the indexed admissions, one row per bin they fall in (``bin``).
 
-    ``ts_col=None`` dates an event by the discharge of its admission; the bin is
-    then found before the events are joined, so admissions outside all bins
-    never meet the event table.
+    ``index`` comes from ``admission_index``. ``ts_col=None`` dates an event by
+    the discharge of its admission; the bin is then found before the events are
+    joined, so admissions outside all bins never meet the event table.
     """
-    index = admission_index(cohort, admissions)
-    cols = ["hadm_id", F.col(concept_col).cast("string").alias("concept_id")]
+    cols = ["hadm_id", f"CAST({concept_col} AS STRING) AS concept_id"]
     if values:
         cols += ["valuenum", "value"]
     if ts_col is None:
-        index = index.select(
-            "subject_id",
-            "hadm_id",
-            F.explode(bin_index(F.col("dischtime"), F.col("ref_datetime"), bins)).alias("bin"),
-        )
-        return events.select(*cols).join(index, "hadm_id")
-    index = index.select("subject_id", "hadm_id", "ref_datetime")
-    joined = events.select(*cols, F.col(ts_col).alias("__ts")).join(index, "hadm_id")
-    return joined.withColumn(
-        "bin", F.explode(bin_index(F.col("__ts"), F.col("ref_datetime"), bins))
-    ).drop("__ts", "ref_datetime")
-
-
-def _finish(df: DataFrame, tag: str, kind: str, bins: Sequence[TimeBin], stat: Column) -> DataFrame:
-    name = _bin_field(F.col("bin"), [b.name for b in bins])
-    middle = F.concat(F.lit(f"_{tag}_{kind}_"), F.coalesce(F.concat(stat, F.lit("_")), F.lit("")))
-    return df.select(
+        hit = bin_index("dischtime", "ref_datetime", bins)
+        index = index.selectExpr("subject_id", "hadm_id", f"explode({hit}) AS bin")
+        return events.selectExpr(*cols).join(index, "hadm_id")
+    joined = events.selectExpr(*cols, f"{ts_col} AS __ts").join(index.drop("dischtime"), "hadm_id")
+    kept = ["subject_id", "hadm_id", "concept_id", *(["valuenum", "value"] if values else [])]
+    return joined.selectExpr(*kept, f"explode({bin_index('__ts', 'ref_datetime', bins)}) AS bin")
+
+
+def _finish(df: DataFrame, tag: str, kind: str, stat: str, bins: Sequence[TimeBin], extra: Sequence[str] = ()) -> DataFrame:
+    """Long columns from ``concept_id, bin, feature_val``; tag, kind and stat are SQL text."""
+    name = _pick([b.name for b in bins])
+    return df.selectExpr(
         "subject_id",
-        F.concat("concept_id", middle, name).alias("feature_id"),
-        F.col("feature_val").cast("double").alias("feature_val"),
+        f"concat_ws('_', concept_id, {tag}, {kind}, {stat}, {name}) AS feature_id",
+        "CAST(feature_val AS DOUBLE) AS feature_val",
         "concept_id",
-        F.lit(tag).alias("feature_tag"),
-        F.lit(kind).alias("feature_type"),
-        stat.alias("stat"),
-        _bin_field(F.col("bin"), [b.left for b in bins]).alias("bin_left"),
-        _bin_field(F.col("bin"), [b.right for b in bins]).alias("bin_right"),
-        *([c for c in ("n_admissions",) if c in df.columns]),
+        f"{tag} AS feature_tag",
+        f"{kind} AS feature_type",
+        f"{stat} AS stat",
+        f"{_pick([b.left for b in bins])} AS bin_left",
+        f"{_pick([b.right for b in bins])} AS bin_right",
+        *extra,
     )
 
 
 def count_features(
-    cohort: DataFrame,
-    admissions: DataFrame,
+    index: DataFrame,
     events: DataFrame,
     concept_col: str,
     ts_col: str | None,
@@ -211,33 +205,28 @@ def count_features(
     with_admissions: bool = False,
 ) -> DataFrame:
     """Number of events per patient, concept and bin (optionally of distinct admissions)."""
-    ev = binned_events(cohort, admissions, events, concept_col, ts_col, bins)
-    aggs = [F.count("*").alias("feature_val")]
+    ev = binned_events(index, events, concept_col, ts_col, bins)
+    aggs = [F.expr("count(*) AS feature_val")]
     if with_admissions:
-        aggs.append(F.countDistinct("hadm_id").alias("n_admissions"))
+        aggs.append(F.expr("count(DISTINCT hadm_id) AS n_admissions"))
     counts = ev.groupBy("subject_id", "concept_id", "bin").agg(*aggs)
-    return _finish(counts, tag, "count", bins, F.lit(None).cast("string"))
+    extra = ["n_admissions"] if with_admissions else []
+    return _finish(counts, f"'{tag}'", "'count'", "CAST(NULL AS STRING)", bins, extra)
 
 
-def _stat_rows(stats_df: DataFrame, stats: Sequence[str], tag: str, bins: Sequence[TimeBin]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in stats])
-    rows = (
-        stats_df.withColumn("__p", F.explode(pairs))
-        .select("subject_id", "concept_id", "bin", F.col("__p.stat").alias("__stat"), F.col("__p.v").alias("feature_val"))
-        .where(F.col("feature_val").isNotNull())
-    )
-    return _finish(rows, tag, "measurement", bins, F.col("__stat"))
+def _stat_aggs(stats: Sequence[str]) -> list[Column]:
+    number = "try_cast(value AS DOUBLE)"
+    value = f"coalesce(valuenum, CASE WHEN NOT isnan({number}) THEN {number} END)"
+    return [F.expr(f"{s}({value}) AS `{s}`") for s in stats]
 
 
-def _stat_aggs(stats: Sequence[str]) -> list[Column]:
-    value = F.coalesce("valuenum", to_double(F.col("value")))
-    fns = {"min": F.min, "max": F.max, "avg": F.avg}
-    return [fns[s](value).alias(s) for s in stats]
+def _stack(columns: Sequence[str]) -> str:
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+    return f"stack({len(columns)}, {pairs}) AS (stat, feature_val)"
 
 
 def measurement_features(
-    cohort: DataFrame,
-    admissions: DataFrame,
+    index: DataFrame,
     events: DataFrame,
     concept_col: str,
     ts_col: str,
@@ -246,36 +235,28 @@ def measurement_features(
     stats: Sequence[str] = STATS,
 ) -> DataFrame:
     """Minimum, maximum and mean per patient, concept and bin in one aggregation."""
-    some = events.where(F.col("valuenum").isNotNull() | F.col("value").isNotNull())
-    ev = binned_events(cohort, admissions, some, concept_col, ts_col, bins, values=True)
+    some = events.where("valuenum IS NOT NULL OR value IS NOT NULL")
+    ev = binned_events(index, some, concept_col, ts_col, bins, values=True)
     agg = ev.groupBy("subject_id", "concept_id", "bin").agg(*_stat_aggs(stats))
-    return _stat_rows(agg, stats, tag, bins)
+    rows = agg.selectExpr("subject_id", "concept_id", "bin", _stack(stats)).where("feature_val IS NOT NULL")
+    return _finish(rows, f"'{tag}'", "'measurement'", "stat", bins)
 
 
-def _counts_and_measurements(cohort, admissions, events, count_src: Source, meas_src: Source, bins, stats):
+def _counts_and_measurements(index, events, count_src: Source, meas_src: Source, bins, stats):
     """Both feature kinds of one table from one scan and one aggregation."""
-    ev = binned_events(cohort, admissions, events, count_src.concept_id, count_src.timestamp, bins, values=True)
-    agg = ev.groupBy("subject_id", "concept_id", "bin").agg(F.count("*").alias("feature_val"), *_stat_aggs(stats))
-    every = [("count", F.col("feature_val").cast("double"))] + [(s, F.col(s)) for s in stats]
-    pairs = F.array(*[F.struct(F.lit(n).alias("stat"), c.alias("v")) for n, c in every])
-    rows = agg.select("subject_id", "concept_id", "bin", F.explode(pairs).alias("p")).where("p.v IS NOT NULL")
-    is_count = F.col("p.stat") == "count"
-    allowed = F.when(is_count, F.col("bin").isin([bins.index(b) for b in count_src.bins(bins)])).otherwise(
-        F.col("bin").isin([bins.index(b) for b in meas_src.bins(bins)])
+    ev = binned_events(index, events, count_src.concept_id, count_src.timestamp, bins, values=True)
+    agg = ev.groupBy("subject_id", "concept_id", "bin").agg(F.expr("count(*) AS n"), *_stat_aggs(stats))
+    rows = agg.selectExpr("subject_id", "concept_id", "bin", _stack(["n", *stats])).where("feature_val IS NOT NULL")
+    places = lambda src: ", ".join(str(bins.index(b)) for b in src.bins(bins))
+    rows = rows.where(
+        f"CASE WHEN stat = 'n' THEN bin IN ({places(count_src)}) ELSE bin IN ({places(meas_src)}) END"
     )
-    tag = F.when(is_count, F.lit(count_src.feature_tag)).otherwise(F.lit(meas_src.feature_tag))
-    kind = F.when(is_count, F.lit("count")).otherwise(F.lit("measurement"))
-    stat = F.when(~is_count, F.col("p.stat"))
-    return rows.where(allowed).select(
-        "subject_id",
-        F.concat_ws("_", "concept_id", tag, kind, stat, _bin_field(F.col("bin"), [b.name for b in bins])).alias("feature_id"),
-        F.col("p.v").alias("feature_val"),
-        "concept_id",
-        tag.alias("feature_tag"),
-        kind.alias("feature_type"),
-        stat.alias("stat"),
-        _bin_field(F.col("bin"), [b.left for b in bins]).alias("bin_left"),
-        _bin_field(F.col("bin"), [b.right for b in bins]).alias("bin_right"),
+    return _finish(
+        rows,
+        f"CASE WHEN stat = 'n' THEN '{count_src.feature_tag}' ELSE '{meas_src.feature_tag}' END",
+        "CASE WHEN stat = 'n' THEN 'count' ELSE 'measurement' END",
+        "nullif(stat, 'n')",
+        bins,
     )
 
 
@@ -291,6 +272,8 @@ def build_features(
     Pieces never overlap (tag and type are part of the name), so they are
     appended without a distinct.
     """
+    # the small side of every join is computed once
+    index = cut_lineage(admission_index(cohort, admissions))
     grouped: dict[tuple, list[Source]] = {}
     for s in config.sources:
         grouped.setdefault((s.table, s.concept_id, s.timestamp), []).append(s)
@@ -301,7 +284,7 @@ def build_features(
             pair = {s.feature_type: s for s in sources}
             parts.append(
                 _counts_and_measurements(
-                    cohort, admissions, tables[table], pair["count"], pair["measurement"], config.bins, stats
+                    index, tables[table], pair["count"], pair["measurement"], config.bins, stats
                 )
             )
             continue
@@ -311,39 +294,33 @@ def build_features(
                 continue
             if s.feature_type == "count":
                 at = None if ts == "discharge" else ts
-                part = count_features(cohort, admissions, tables[table], concept, at, bins, s.feature_tag)
+                part = count_features(index, tables[table], concept, at, bins, s.feature_tag)
             else:
                 part = measurement_features(
-                    cohort, admissions, tables[table], concept, ts, bins, s.feature_tag, stats
+                    index, tables[table], concept, ts, bins, s.feature_tag, stats
                 )
             parts.append(part)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(F.col("feature_val").isNotNull()).select(*LONG_COLUMNS)
+    return out.where("feature_val IS NOT NULL").select(*LONG_COLUMNS)
 
 
 def vocabulary(long: DataFrame) -> DataFrame:
     """Feature ids with a dense index in name order, for vectors and pivots."""
     from strataflow.operators.running import running_sums
 
-    ids = long.select("feature_id").distinct().withColumn("__one", F.lit(1).cast("bigint"))
-    ids = ids.withColumn("__k", F.lit(0))
-    placed = running_sums(ids, ["__k"], ["feature_id"], ["__one"], F.substring("feature_id", 1, 4))
-    return placed.select("feature_id", F.col("before___one").cast("int").alias("idx"))
+    ids = long.select("feature_id").distinct().selectExpr("feature_id", "1L AS __one", "0 AS __k")
+    placed = running_sums(ids, ["__k"], ["feature_id"], ["__one"], "substring(feature_id, 1, 4)")
+    return placed.selectExpr("feature_id", "CAST(before___one AS INT) AS idx")
 
 
 def pivot_features(long: DataFrame, feature_ids: Sequence[str], zero_fill_tag: str = "count") -> DataFrame:
     """Wide form for an explicit list of features; missing counts become 0."""
     wide = long.groupBy("subject_id").pivot("feature_id", list(feature_ids)).agg(F.avg("feature_val"))
-    # a dot in a name would be read as a field access
-    counts = [c for c in feature_ids if zero_fill_tag in c]
-    return wide.select(
+    return wide.selectExpr(
         "subject_id",
-        *[
-            F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) if c in counts else F.col(f"`{c}`")
-            for c in feature_ids
-        ],
+        *[f"coalesce(`{c}`, 0D) AS `{c}`" if zero_fill_tag in c else f"`{c}`" for c in feature_ids],
     )
 
 

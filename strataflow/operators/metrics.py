@@ -7,13 +7,13 @@ weights, so a bootstrap replicate is one more stratum with other weights.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.scalar import clip_probability, ratio
-from strataflow.operators.running import exact_quantiles, score_table
+from strataflow.functions.scalar import CLIP, ratio
+from strataflow.operators.running import exact_quantiles, quoted, running_sums, score_bucket
 
 # Metric names and default sets, cut points of the *_at metrics,
 # and the marks for metrics that one-class strata leave undefined.
@@ -37,127 +37,127 @@ def prepare(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Strata, label, score, weight under fixed names; rows without a stratum or score are left out."""
-    out = df.select(
-        *strata,
-        *[k for k in keep if k not in strata],
-        F.col(label).cast("int").alias(Y),
-        F.col(pred).cast("double").alias(P),
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias(W),
-        *([F.col(threshold).cast("double").alias(T)] if threshold else []),
+    out = df.selectExpr(
+        *map(quoted, strata),
+        *[quoted(k) for k in keep if k not in strata],
+        f"CAST({quoted(label)} AS INT) AS {Y}",
+        f"CAST({quoted(pred)} AS DOUBLE) AS {P}",
+        f"CAST({quoted(weight)} AS DOUBLE) AS {W}" if weight else f"1D AS {W}",
+        *([f"CAST({quoted(threshold)} AS DOUBLE) AS {T}"] if threshold else []),
     )
-    ok = F.col(P).isNotNull() & ~F.isnan(P) & F.col(Y).isNotNull()
-    for s in strata:
-        ok = ok & F.col(s).isNotNull()
-    return out.where(ok)
+    tests = [f"{P} IS NOT NULL", f"NOT isnan({P})", f"{Y} IS NOT NULL", *[f"{quoted(s)} IS NOT NULL" for s in strata]]
+    return out.where(" AND ".join(tests))
 
 
-def _wsum(value: Column | float = 1.0, when: Column | None = None) -> Column:
-    v = F.col(W) * (value if isinstance(value, Column) else F.lit(value))
-    return F.sum(v if when is None else F.when(when, v).otherwise(0.0))
+def keyed(df: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The frame and its keys; without strata one constant key stands in."""
+    return (df, list(strata)) if strata else (df.withColumn("__all", F.lit(0)), ["__all"])
 
 
-# --- sums over rows -------------------------------------------------------
+def _div(num: str, den: str) -> str:
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
 
-def _log_loss() -> Column:
-    p = clip_probability(F.col(P))
-    mean = ratio(_wsum(-F.when(F.col(Y) == 1, F.ln(p)).otherwise(F.ln(1 - p))), _wsum())
-    one_class = F.min(Y) == F.max(Y)
-    return F.when(one_class, LOSS_UNDEFINED).otherwise(mean)
 
+def _wmean(value: str, when: str | None = None) -> str:
+    if when is None:
+        return _div(f"sum({W} * ({value}))", f"sum({W})")
+    return _div(f"sum(CASE WHEN {when} THEN {W} * ({value}) END)", f"sum(CASE WHEN {when} THEN {W} END)")
 
-def _spiegelhalter() -> Column:
-    y, p = F.col(Y).cast("double"), F.col(P)
-    num = _wsum((y - p) * (1 - 2 * p))
-    var = _wsum((1 - 2 * p) * (1 - 2 * p) * p * (1 - p))
-    return ratio(num, F.sqrt(var))
 
+# --- sums over rows: one aggregate expression each ---------------------------
 
-ROW_METRICS: dict[str, Callable[[], Column]] = {
-    "brier": lambda: ratio(_wsum((F.col(P) - F.col(Y)) * (F.col(P) - F.col(Y))), _wsum()),
-    "loss_bce": _log_loss,
-    "mean_prediction": lambda: ratio(_wsum(F.col(P)), _wsum()),
-    "mean_prediction_0": lambda: ratio(_wsum(F.col(P), F.col(Y) == 0), _wsum(1.0, F.col(Y) == 0)),
-    "mean_prediction_1": lambda: ratio(_wsum(F.col(P), F.col(Y) == 1), _wsum(1.0, F.col(Y) == 1)),
-    "spiegelhalter_z": _spiegelhalter,
+_CLIPPED = f"least(greatest({P}, {CLIP!r}D), 1D - {CLIP!r}D)"
+_ROW_LOSS = f"-(CASE WHEN {Y} = 1 THEN ln({_CLIPPED}) ELSE ln(1D - {_CLIPPED}) END)"
+_MISS = f"({Y} - {P}) * (1D - 2D * {P})"
+_SPREAD = f"(1D - 2D * {P}) * (1D - 2D * {P}) * {P} * (1D - {P})"
+
+ROW_METRICS: dict[str, str] = {
+    "brier": _wmean(f"({P} - {Y}) * ({P} - {Y})"),
+    "loss_bce": f"CASE WHEN min({Y}) = max({Y}) THEN {LOSS_UNDEFINED!r}D ELSE {_wmean(_ROW_LOSS)} END",
+    "mean_prediction": _wmean(P),
+    "mean_prediction_0": _wmean(P, f"{Y} = 0"),
+    "mean_prediction_1": _wmean(P, f"{Y} = 1"),
+    "spiegelhalter_z": _div(f"sum({W} * {_MISS})", f"sqrt(sum({W} * {_SPREAD}))"),
 }
 
 
-def register_row_metric(name: str, build: Callable[[], Column]) -> None:
+def register_row_metric(name: str, sql: str) -> None:
     """Add a metric that is one aggregate expression over ``__y, __p, __w``."""
-    ROW_METRICS[name] = build
+    ROW_METRICS[name] = sql
 
 
-# --- confusion counts -----------------------------------------------------
+# --- confusion counts ---------------------------------------------------------
 
-def confusion(positive: Column) -> dict[str, Column]:
-    y = F.col(Y) == 1
+def confusion(positive: str) -> dict[str, str]:
+    """Weighted counts for a SQL test of being called positive."""
+    cells = {"tp": (True, 1), "fp": (True, 0), "fn": (False, 1), "tn": (False, 0)}
     return {
-        "tp": _wsum(1.0, positive & y),
-        "fp": _wsum(1.0, positive & ~y),
-        "fn": _wsum(1.0, ~positive & y),
-        "tn": _wsum(1.0, ~positive & ~y),
+        n: f"sum(CASE WHEN {'' if called else 'NOT '}({positive}) AND {Y} = {y} THEN {W} ELSE 0D END)"
+        for n, (called, y) in cells.items()
     }
 
 
-def _from_confusion(name: str, c: dict[str, Column]) -> Column:
-    tp, fp, fn, tn = c["tp"], c["fp"], c["fn"], c["tn"]
-    return {
-        "sensitivity": lambda: ratio(tp, tp + fn),
-        "specificity": lambda: ratio(tn, tn + fp),
-        "ppv": lambda: ratio(tp, tp + fp),
-        "npv": lambda: ratio(tn, tn + fn),
-        "fpr": lambda: ratio(fp, fp + tn),
-        "fnr": lambda: ratio(fn, fn + tp),
-        "fdr": lambda: ratio(fp, fp + tp),
-    }[name]()
+def from_confusion(name: str, c: Mapping[str, str]) -> str:
+    """A rate of the four counts; NULL for an empty denominator."""
+    num, other = {
+        "sensitivity": ("tp", "fn"),
+        "recall": ("tp", "fn"),
+        "specificity": ("tn", "fp"),
+        "ppv": ("tp", "fp"),
+        "precision": ("tp", "fp"),
+        "npv": ("tn", "fn"),
+        "fpr": ("fp", "tn"),
+        "fnr": ("fn", "tp"),
+        "fdr": ("fp", "tp"),
+    }[name]
+    return _div(c[num], f"({c[num]} + {c[other]})")
 
 
-def _at_threshold(name: str) -> Column | None:
+def _at_threshold(name: str) -> str | None:
     """``recall_0.1``, ``precision_0.1``, ``specificity_0.1``: positive when p >= t."""
     kind, _, value = name.rpartition("_")
     if kind not in ("recall", "precision", "specificity"):
         return None
-    c = confusion(F.col(P) >= F.lit(float(value)))
-    pairs = {
-        "recall": (c["tp"], c["tp"] + c["fn"]),
-        "precision": (c["tp"], c["tp"] + c["fp"]),
-        "specificity": (c["tn"], c["tn"] + c["fp"]),
-    }
-    return F.coalesce(ratio(*pairs[kind]), F.lit(0.0))
+    return f"coalesce({from_confusion(kind, confusion(f'{P} >= {float(value)!r}D'))}, 0D)"
 
 
 def at_threshold_names(thresholds: Sequence[float] = FIXED_THRESHOLDS) -> list[str]:
     return [f"{k}_{t}" for k in ("recall", "precision", "specificity") for t in thresholds]
 
 
-# --- ranks over distinct scores --------------------------------------------
+# --- ranks over distinct scores -------------------------------------------------
 
-def ranked_scores(base: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Distinct scores per stratum with positive / negative weight, running and total."""
-    sums = {
-        "pos": F.when(F.col(Y) == 1, F.col(W)).otherwise(0.0),
-        "neg": F.when(F.col(Y) == 1, 0.0).otherwise(F.col(W)),
-    }
-    return score_table(base, strata, P, sums)
+POSITIVE = f"CASE WHEN {Y} = 1 THEN {W} ELSE 0D END"
+NEGATIVE = f"CASE WHEN {Y} = 1 THEN 0D ELSE {W} END"
 
 
-def _auc() -> Column:
-    pairs = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
-    return F.coalesce(ratio(pairs, F.max("total_pos") * F.max("total_neg")), F.lit(AUC_UNDEFINED))
+def score_points(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and distinct score with positive and negative weight."""
+    return base.groupBy(*keys, P).agg(F.expr(f"sum({POSITIVE}) AS pos"), F.expr(f"sum({NEGATIVE}) AS neg"))
 
 
-def _auprc() -> Column:
-    """Average precision: recall steps times precision at each distinct score, from above."""
-    tp = F.col("total_pos") - F.col("before_pos")
-    fp = F.col("total_neg") - F.col("before_neg")
-    return F.sum(ratio(F.col("pos"), F.col("total_pos")) * ratio(tp, tp + fp))
+def point_rows(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points as weighted rows again, one per score and label: all metrics but those of a threshold column."""
+    return points.selectExpr(*map(quoted, keys), P, f"stack(2, 1, pos, 0, neg) AS ({Y}, {W})").where(f"{W} > 0")
 
 
-RANK_METRICS: dict[str, Callable[[], Column]] = {"auc": _auc, "auprc": _auprc}
+def rank_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points with running and total weights."""
+    return running_sums(points, keys, [P], ["pos", "neg"], score_bucket(P))
 
 
-# --- binned calibration -----------------------------------------------------
+_TP, _FP = "(total_pos - before_pos)", "(total_neg - before_neg)"
+RANK_METRICS: dict[str, str] = {
+    # pairs ranked right, ties count half
+    "auc": f"coalesce({_div('sum(pos * (before_neg + neg / 2))', '(max(total_pos) * max(total_neg))')}, {AUC_UNDEFINED!r}D)",
+    # recall steps times precision at each distinct score, from above
+    "auprc": f"sum({_div('pos', 'total_pos')} * {_div(_TP, f'({_TP} + {_FP})')})",
+}
+
 
+# --- binned calibration -----------------------------------------------------------
+
+# Name -> (variant, quantile bins).
 ECE_METRICS = {
     "ece_abs": ("abs", False),
     "ece_rmse": ("rmse", False),
@@ -168,70 +168,50 @@ ECE_METRICS = {
 }
 
 
-def equal_width_bins(base: DataFrame, strata: Sequence[str], n_bins: int = 10) -> DataFrame:
-    """Add ``bin``: right-closed bins of equal width between the stratum's extremes."""
-    keys = list(strata) or ["__all"]
-    rows = base if strata else base.withColumn("__all", F.lit(0))
-    ends = rows.groupBy(*keys).agg(F.min(P).alias("__lo"), F.max(P).alias("__hi"))
-    step = (F.col("__hi") - F.col("__lo")) / n_bins
-    place = F.lit(0)
-    for i in range(1, n_bins):
-        place = place + F.when(F.col(P) > F.col("__lo") + step * i, 1).otherwise(0)
-    out = rows.join(ends, keys).withColumn("bin", place).drop("__lo", "__hi")
-    return out if strata else out.drop("__all")
+def variant_sql(diff: str, variant: str) -> str:
+    return {"abs": f"abs({diff})", "signed": f"({diff})"}.get(variant, f"({diff}) * ({diff})")
 
 
-def quantile_bins(base: DataFrame, strata: Sequence[str], n_bins: int = 10) -> DataFrame:
-    """Add ``bin``: right-closed bins between unweighted quantiles; NULL when edges coincide."""
-    keys = list(strata) or ["__all"]
-    rows = base if strata else base.withColumn("__all", F.lit(0))
-    edges = exact_quantiles(rows, keys, P, [i / n_bins for i in range(n_bins + 1)])
-    edges = edges.select(*keys, F.col("q").alias("__q"))
-    distinct = F.size(F.array_distinct("__q")) == n_bins + 1
-    place = F.lit(0)
-    for i in range(1, n_bins):
-        place = place + F.when(F.col(P) > F.element_at("__q", i + 1), 1).otherwise(0)
-    out = rows.join(edges, keys).withColumn("bin", F.when(distinct, place)).drop("__q")
-    return out if strata else out.drop("__all")
+def equal_width_bins(base: DataFrame, keys: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """Add ``bin``: right-closed bins of equal width between the extremes of the key."""
+    ends = base.groupBy(*keys).agg(F.expr(f"min({P}) AS __lo"), F.expr(f"max({P}) AS __hi"))
+    step = f"(__hi - __lo) / {n_bins}"
+    place = " + ".join(f"CAST({P} > __lo + {step} * {i} AS INT)" for i in range(1, n_bins))
+    return base.join(ends, list(keys)).selectExpr(*map(quoted, base.columns), f"{place} AS bin")
 
 
-def _variant(diff: Column, variant: str) -> Column:
-    return {"abs": F.abs(diff), "signed": diff}.get(variant, diff * diff)
+def quantile_bins(base: DataFrame, keys: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """Add ``bin``: right-closed bins between unweighted quantiles; NULL when edges coincide."""
+    edges = exact_quantiles(base, keys, P, [i / n_bins for i in range(n_bins + 1)])
+    place = " + ".join(f"CAST({P} > q[{i}] AS INT)" for i in range(1, n_bins))
+    return base.join(edges.drop("n"), list(keys)).selectExpr(
+        *map(quoted, base.columns), f"CASE WHEN size(array_distinct(q)) = {n_bins + 1} THEN {place} END AS bin"
+    )
 
 
 def expected_calibration_error(
     base: DataFrame, strata: Sequence[str], names: Sequence[str], n_bins: int = 10
 ) -> DataFrame:
     """Wide frame of the named binned errors: sum over bins of share x f(mean p - mean y)."""
+    rows, keys = keyed(base, strata)
     out = None
     for quantile in (False, True):
         chosen = [n for n in names if ECE_METRICS[n][1] == quantile]
         if not chosen:
             continue
-        binned = (quantile_bins if quantile else equal_width_bins)(base, strata, n_bins)
-        bins = binned.groupBy(*strata, "bin").agg(
-            F.sum(W).alias("bw"),
-            F.sum(F.col(W) * F.col(P)).alias("bp"),
-            F.sum(F.col(W) * F.col(Y)).alias("by"),
+        binned = (quantile_bins if quantile else equal_width_bins)(rows, keys, n_bins)
+        bins = binned.groupBy(*keys, "bin").agg(
+            F.expr(f"sum({W}) AS bw"), F.expr(f"sum({W} * {P}) AS bp"), F.expr(f"sum({W} * {Y}) AS by")
         )
-        diff = ratio(F.col("bp") - F.col("by"), F.col("bw"))
         aggs = []
         for n in chosen:
             variant = ECE_METRICS[n][0]
-            value = ratio(F.sum(F.col("bw") * _variant(diff, variant)), F.sum("bw"))
-            if variant == "rmse":
-                value = F.sqrt(value)
-            aggs.append(F.when(F.count("bin") > 0, value).alias(n))
-        part = bins.groupBy(*strata).agg(*aggs)
-        out = part if out is None else _join_strata(out, part, strata)
-    return out
-
-
-def _join_strata(a: DataFrame, b: DataFrame, strata: Sequence[str]) -> DataFrame:
-    if strata:
-        return a.join(b, list(strata))
-    k = "__k"
-    return a.withColumn(k, F.lit(0)).join(b.withColumn(k, F.lit(0)), k).drop(k)
+            value = _div(f"sum(bw * {variant_sql(_div('bp - by', 'bw'), variant)})", "sum(bw)")
+            value = f"sqrt({value})" if variant == "rmse" else value
+            aggs.append(F.expr(f"CASE WHEN count(bin) > 0 THEN {value} END AS {n}"))
+        part = bins.groupBy(*keys).agg(*aggs)
+        out = part if out is None else out.join(part, keys)
+    return out if strata else out.drop("__all")
 
 
 def pointwise_calibration_error(
@@ -245,28 +225,22 @@ def pointwise_calibration_error(
     n_bins: int = 10,
 ) -> DataFrame:
     """Each row against the mean label of its bin; edges ignore weights."""
-    base = prepare(df, strata, label, pred, weight)
-    binned = (quantile_bins if quantile else equal_width_bins)(base, strata, n_bins).where("bin IS NOT NULL")
-    means = binned.groupBy(*strata, "bin").agg(ratio(F.sum(F.col(W) * F.col(Y)), F.sum(W)).alias("__m"))
-    diff = F.col(P) - F.col("__m")
-    err = {1: F.abs(diff), 2: diff * diff, None: diff}[norm_order]
-    value = ratio(F.sum(F.col(W) * err), F.sum(W))
-    return (
-        binned.join(means, [*strata, "bin"])
-        .groupBy(*strata)
-        .agg((F.sqrt(value) if norm_order == 2 else value).alias("performance"))
-    )
+    rows, keys = keyed(prepare(df, strata, label, pred, weight), strata)
+    binned = (quantile_bins if quantile else equal_width_bins)(rows, keys, n_bins).where("bin IS NOT NULL")
+    means = binned.groupBy(*keys, "bin").agg(F.expr(f"{_wmean(Y)} AS __m"))
+    err = variant_sql(f"{P} - __m", {1: "abs", 2: "squared", None: "signed"}[norm_order])
+    value = f"sqrt({_wmean(err)})" if norm_order == 2 else _wmean(err)
+    out = binned.join(means, [*keys, "bin"]).groupBy(*keys).agg(F.expr(f"{value} AS performance"))
+    return out if strata else out.drop("__all")
 
 
 # --- the evaluator -----------------------------------------------------------
 
 def melt_metrics(wide: DataFrame, strata: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Wide metric columns to ``metric, strata..., performance``."""
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("m"), F.col(f"`{n}`").cast("double").alias("v")) for n in names]
-    )
-    return wide.select(*strata, F.explode(pairs).alias("x")).select(
-        F.col("x.m").alias("metric"), *strata, F.col("x.v").alias("performance")
+    pairs = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
+    return wide.selectExpr(*map(quoted, strata), f"stack({len(names)}, {pairs}) AS (metric, performance)").select(
+        "metric", *strata, "performance"
     )
 
 
@@ -277,29 +251,36 @@ def known_metrics() -> list[str]:
 
 
 def evaluate_prepared(
-    base: DataFrame, metrics: Sequence[str], strata: Sequence[str] = (), group_all: bool = False
+    base: DataFrame, metrics: Sequence[str], strata: Sequence[str] = ()
 ) -> DataFrame:
     """Metrics of a prepared frame; names that are not known are left out."""
     from strataflow.operators import calibration
 
     strata = list(strata)
-    rows: dict[str, Column] = {}
+    ranked = [m for m in metrics if m in RANK_METRICS]
+    base, keys = keyed(base, strata)
+    if ranked:
+        # ranks need distinct scores anyway: with them every other family reads
+        # the same shuffled points instead of the rows
+        points = score_points(base, keys)
+        if T not in base.columns:
+            base = point_rows(points, keys)
+    rows: dict[str, str] = {}
     for m in metrics:
         if m in ROW_METRICS:
-            rows[m] = ROW_METRICS[m]()
+            rows[m] = ROW_METRICS[m]
         elif m in THRESHOLD_METRICS and T in base.columns:
-            rows[m] = _from_confusion(m, confusion(F.col(P) > F.col(T)))
+            rows[m] = from_confusion(m, confusion(f"{P} > {T}"))
         elif m not in RANK_METRICS and m not in ECE_METRICS and m not in calibration.ACE_METRICS:
             at = _at_threshold(m)
             if at is not None:
                 rows[m] = at
     parts = []
     if rows:
-        wide = base.groupBy(*strata).agg(*[c.alias(n) for n, c in rows.items()])
+        wide = base.groupBy(*keys).agg(*[F.expr(f"{e} AS `{n}`") for n, e in rows.items()])
         parts.append(melt_metrics(wide, strata, list(rows)))
-    ranked = [m for m in metrics if m in RANK_METRICS]
     if ranked:
-        wide = ranked_scores(base, strata).groupBy(*strata).agg(*[RANK_METRICS[m]().alias(m) for m in ranked])
+        wide = rank_points(points, keys).groupBy(*keys).agg(*[F.expr(f"{RANK_METRICS[m]} AS {m}") for m in ranked])
         parts.append(melt_metrics(wide, strata, ranked))
     eces = [m for m in metrics if m in ECE_METRICS]
     if eces:
@@ -338,9 +319,9 @@ def evaluate(
 
 def clean_results(results: DataFrame) -> DataFrame:
     """Without undefined values: NULL, negative auc, the one-class loss mark."""
-    v, m = F.col("performance"), F.col("metric")
     return results.where(
-        v.isNotNull() & ~((m == "auc") & (v < 0)) & ~((m == "loss_bce") & (v == LOSS_UNDEFINED))
+        f"performance IS NOT NULL AND NOT (metric = 'auc' AND performance < 0) "
+        f"AND NOT (metric = 'loss_bce' AND performance = {LOSS_UNDEFINED!r}D)"
     )
 
 
@@ -364,10 +345,7 @@ def custom_metric(
     import pandas as pd
     from pyspark.sql import types as ST
 
-    base = prepare(df, strata, label, pred, weight)
-    keys = list(strata) or ["__all"]
-    if not strata:
-        base = base.withColumn("__all", F.lit(0))
+    base, keys = keyed(prepare(df, strata, label, pred, weight), strata)
     merged = base.groupBy(*keys, Y, P).agg(F.sum(W).alias(W))
     sizes = merged.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if sizes > max_rows:
@@ -390,20 +368,16 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def mean_over_iterations(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Second level: mean and sample deviation over the model runs."""
     return results.groupBy(*keys, "metric").agg(
-        F.avg("performance").alias("mean"), F.stddev_samp("performance").alias("std")
+        F.expr("avg(performance) AS mean"), F.expr("stddev_samp(performance) AS std")
     )
 
 
 def min_max_over(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Least and greatest value over groups as ``<metric>_min`` and ``<metric>_max``."""
-    agg = results.groupBy(*keys, "metric").agg(
-        F.min("performance").alias("min"), F.max("performance").alias("max")
-    )
-    pairs = F.array(
-        *[F.struct(F.concat("metric", F.lit(f"_{s}")).alias("m"), F.col(s).alias("v")) for s in ("min", "max")]
-    )
-    return agg.select(*keys, F.explode(pairs).alias("x")).select(
-        F.col("x.m").alias("metric"), *keys, F.col("x.v").alias("performance")
+    agg = results.groupBy(*keys, "metric").agg(F.expr("min(performance) AS lo"), F.expr("max(performance) AS hi"))
+    return agg.selectExpr(
+        *map(quoted, keys),
+        "stack(2, concat(metric, '_min'), lo, concat(metric, '_max'), hi) AS (metric, performance)",
     )
 
 
@@ -417,9 +391,11 @@ def ensemble_predictions(
 ) -> DataFrame:
     """Mean of the numeric columns per row over the model runs, weighted if asked."""
     if weight is None:
-        return df.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
-    w = F.col(weight)
-    return df.where(w > 0).groupBy(*keys).agg(*[weighted_mean(F.col(v).cast("double"), w).alias(v) for v in values])
+        return df.groupBy(*keys).agg(*[F.expr(f"avg({v}) AS {v}") for v in values])
+    w = quoted(weight)
+    return df.where(f"{w} > 0").groupBy(*keys).agg(
+        *[F.expr(f"{_div(f'sum({w} * {v})', f'sum({w})')} AS {v}") for v in values]
+    )
 
 
 def best_iteration(df: DataFrame, strata: Sequence[str] = (), iteration: str = "iter", phase: str = "phase") -> DataFrame:
@@ -439,10 +415,8 @@ def top_share_thresholds(df: DataFrame, shares: Sequence[float], key: str = "ite
     """Score above which each top share of the validation rows lies: ``key, share, threshold``."""
     val = df.where(F.col("phase") == "val")
     q = exact_quantiles(val, [key], pred, [1 - s for s in shares])
-    pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("q").alias("threshold"))
-    return q.select(key, F.explode(pairs).alias("x")).select(
-        key, F.col("x.share").alias("share"), F.col("x.threshold").alias("threshold")
-    )
+    pairs = ", ".join(f"{float(s)!r}D, q[{i}]" for i, s in enumerate(shares))
+    return q.selectExpr(quoted(key), f"stack({len(shares)}, {pairs}) AS (share, threshold)")
 
 
 def risk_thresholds(df: DataFrame, share: float) -> DataFrame:
@@ -462,15 +436,13 @@ def optimal_thresholds(df: DataFrame, shares: Sequence[float]) -> DataFrame:
     cuts = exact_quantiles(base, ["iter"], P, [1 - s for s in shares]).select("iter", "q")
     points = []
     for i in range(len(shares)):
-        c = confusion(F.col(P) > F.element_at("q", i + 1))
-        points.append(F.struct(F.first(F.element_at("q", i + 1)).alias("threshold"), *[c[k].alias(k) for k in c]))
-    grid = base.join(cuts, "iter").groupBy("iter").agg(F.array(*points).alias("g"))
-    c = {k: F.col(f"p.{k}") for k in ("tp", "fp", "fn", "tn")}
-    score = F.coalesce(_from_confusion("ppv", c), F.lit(0.0)) + F.coalesce(_from_confusion("npv", c), F.lit(0.0))
-    scored = grid.select("iter", F.explode("g").alias("p")).select(
-        "iter", F.col("p.threshold").alias("threshold"), score.alias("score")
-    )
-    best = F.max(F.struct("score", "threshold")).alias("b")
-    return scored.groupBy("iter").agg(best).select(
-        "iter", F.col("b.threshold").alias("threshold"), F.col("b.score").alias("ppv_npv")
+        c = confusion(f"{P} > q[{i}]")
+        score = " + ".join(f"coalesce({from_confusion(m, c)}, 0D)" for m in ("ppv", "npv"))
+        points.append(f"named_struct('score', {score}, 'threshold', first(q[{i}]))")
+    best = f"array_max(array({', '.join(points)})) AS b"
+    return (
+        base.join(cuts, "iter")
+        .groupBy("iter")
+        .agg(F.expr(best))
+        .selectExpr("iter", "b.threshold AS threshold", "b.score AS ppv_npv")
     )

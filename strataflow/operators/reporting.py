@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.scalar import category_position, count_percent, interval_text, mean_sd, ratio, remap
 from strataflow.operators.bootstrap import quantile_interval
-from strataflow.operators.metrics import P, T, W, _from_confusion, confusion, prepare
+from strataflow.operators.metrics import P, confusion, from_confusion, prepare
 
 # Report labels of metrics, methods, tasks and groups.
 METRIC_LABELS = {"auc": "AUROC", "auprc": "AUPRC", "ace_abs_logistic_log": "Calibration"}
@@ -117,7 +117,7 @@ def feature_counts(long: DataFrame, tags: Sequence[str], extra: Sequence[str] =
     """Number of distinct features per bin and source, with a total."""
     keys = [*extra, "bin_left", "bin_right"]
     ids = long.select(*keys, F.concat_ws("_", "feature_tag", "feature_type").alias("tag"), "feature_id").distinct()
-    wide = ids.groupBy(*keys).pivot("tag", list(tags)).agg(F.count("*"))
+    wide = ids.groupBy(*keys).pivot("tag", list(tags)).agg(F.count("feature_id"))
     wide = wide.na.fill(0, list(tags))
     total = sum((F.col(t) for t in tags[1:]), F.col(tags[0]))
     return wide.withColumn("total", total)
@@ -132,18 +132,13 @@ def clinical_counts(
     """
     base = prepare(predictions, [model, "iter"])
     cells = []
-    for t in thresholds:
-        c = confusion(F.col(P) > F.lit(float(t)))
-        cells.append(
-            F.struct(
-                F.lit(float(t)).alias("t"),
-                _from_confusion("sensitivity", c).alias("se"),
-                _from_confusion("specificity", c).alias("sp"),
-            )
-        )
-    per_run = base.groupBy(model, "iter").agg(F.array(*cells).alias("c")).select(model, F.explode("c").alias("c"))
-    means = per_run.groupBy(model, F.col("c.t").alias("threshold")).agg(
-        F.avg("c.se").alias("sensitivity"), F.avg("c.sp").alias("specificity")
+    for t in map(float, thresholds):
+        c = confusion(f"{P} > {t!r}D")
+        rates = ", ".join(f"'{m}', {from_confusion(m, c)}" for m in ("sensitivity", "specificity"))
+        cells.append(f"named_struct('t', {t!r}D, {rates})")
+    per_run = base.groupBy(model, "iter").agg(F.expr(f"array({', '.join(cells)}) AS c"))
+    means = per_run.selectExpr(model, "inline(c)").groupBy(model, F.col("t").alias("threshold")).agg(
+        F.expr("avg(sensitivity) AS sensitivity"), F.expr("avg(specificity) AS specificity")
     )
     pos = float(round(n_patients * prevalence))
     neg = float(n_patients - pos)

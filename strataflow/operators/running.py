@@ -6,119 +6,107 @@ an expression of the key itself. The sums before a row are those of earlier
 buckets (a window over one row per bucket) plus those of earlier rows of the
 same bucket (a window over one bucket). The bucket depends on the row alone,
 so a task that runs again after a lost executor puts its rows in the same place.
+
+Expressions are SQL text: one call to the JVM each, however long they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BUCKET = "__bucket"
 
 
-def score_bucket(x: Column, per_e_fold: int = 1024) -> Column:
+def quoted(name: str) -> str:
+    """Column by its literal name; feature names hold dots."""
+    return f"`{name}`"
+
+
+def names(cols: Sequence[str]) -> str:
+    return ", ".join(quoted(c) for c in cols)
+
+
+def score_bucket(x: str, per_e_fold: int = 1024) -> str:
     """Ordered bucket of a number, fine near 0 and near 1, where scores crowd.
 
     Each term never decreases with ``x``, so neither does the bucket.
     Probabilities fall into at most about 60,000 buckets, any double into
     about 1.5 million, whatever the number of rows.
     """
-    x = x.cast("double")
-    near_zero = F.signum(x) * F.log1p(F.abs(x) * F.lit(1e9))
-    near_one = F.when(x >= 1, 40.0).when(x > 0, -F.log1p(-x)).otherwise(0.0)
-    return F.floor((near_zero + near_one) * per_e_fold).cast("bigint")
+    near_zero = f"signum({x}) * log1p(abs({x}) * 1e9D)"
+    near_one = f"CASE WHEN {x} >= 1 THEN 40D WHEN {x} > 0 THEN -log1p(-{x}) ELSE 0D END"
+    return f"CAST(floor(({near_zero} + {near_one}) * {per_e_fold}) AS BIGINT)"
 
 
 def running_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    sums: Sequence[str],
-    bucket: Column,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str], bucket: str
 ) -> DataFrame:
     """Add ``before_<s>`` (sum over earlier rows of the key) and ``total_<s>``.
 
     ``order`` must identify a row within ``keys``; key columns must not be NULL.
+    ``bucket`` is SQL text that never decreases along ``order``.
     """
-    keys = list(keys)
-    rows = df.withColumn(_BUCKET, bucket)
-    per_bucket = rows.groupBy(*keys, _BUCKET).agg(*[F.sum(s).alias(f"__sum_{s}") for s in sums])
-    earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    offsets = per_bucket.select(
-        *keys,
+    keys, columns = list(keys), df.columns
+    k, by_bucket = names(keys), names([*keys, _BUCKET])
+    rows = df.withColumn(_BUCKET, F.expr(bucket))
+    per_bucket = rows.groupBy(*keys, _BUCKET).agg(*[F.expr(f"sum({s}) AS __sum_{s}") for s in sums])
+    earlier = f"OVER (PARTITION BY {k} ORDER BY {_BUCKET} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = per_bucket.selectExpr(
+        *map(quoted, keys),
         _BUCKET,
-        *[F.coalesce(F.sum(f"__sum_{s}").over(earlier), F.lit(0)).alias(f"__off_{s}") for s in sums],
-        *[F.sum(f"__sum_{s}").over(whole).alias(f"total_{s}") for s in sums],
+        *[f"coalesce(sum(__sum_{s}) {earlier}, 0) AS __off_{s}" for s in sums],
+        *[f"sum(__sum_{s}) OVER (PARTITION BY {k}) AS total_{s}" for s in sums],
     )
     inside = (
-        Window.partitionBy(*keys, _BUCKET)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        f"OVER (PARTITION BY {by_bucket} ORDER BY {names(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    placed = rows.select(
-        "*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__in_{s}") for s in sums]
-    )
-    joined = placed.join(offsets, [*keys, _BUCKET])
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"__in_{s}") + F.col(f"__off_{s}")).alias(f"before_{s}") for s in sums],
+    placed = rows.selectExpr("*", *[f"coalesce(sum({s}) {inside}, 0) AS __in_{s}" for s in sums])
+    return placed.join(offsets, [*keys, _BUCKET]).selectExpr(
+        *map(quoted, columns),
+        *[f"__in_{s} + __off_{s} AS before_{s}" for s in sums],
         *[f"total_{s}" for s in sums],
     )
 
 
-def score_table(
-    df: DataFrame, keys: Sequence[str], score: str, sums: Mapping[str, Column]
-) -> DataFrame:
-    """One row per key and distinct score with running sums of ``sums``.
+def score_table(df: DataFrame, keys: Sequence[str], score: str, sums: Mapping[str, str]) -> DataFrame:
+    """One row per key and distinct score with running sums of ``sums`` (name -> SQL text).
 
     Equal scores collapse map-side before the shuffle, so a third of all rows
     with one score costs one row per task.
     """
     keys = list(keys)
-    scores = df.groupBy(*keys, score).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    return running_sums(scores, keys, [score], list(sums), score_bucket(F.col(score)))
+    scores = df.groupBy(*keys, score).agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()])
+    return running_sums(scores, keys, [score], list(sums), score_bucket(quoted(score)))
 
 
-def hash_ranks(df: DataFrame, keys: Sequence[str], order_hash: Column, tie: Sequence[str]) -> DataFrame:
+def hash_ranks(df: DataFrame, keys: Sequence[str], order_hash: str, tie: Sequence[str]) -> DataFrame:
     """Add ``rank0`` (0-based place in hash order within the key) and ``n``."""
-    rows = df.withColumns({"__hash": order_hash, "__one": F.lit(1).cast("bigint")})
-    ranked = running_sums(
-        rows, keys, ["__hash", *tie], ["__one"], F.substring(F.col("__hash"), 1, 3)
-    )
-    return ranked.select(
-        *df.columns, F.col("before___one").alias("rank0"), F.col("total___one").alias("n")
-    )
+    columns = df.columns
+    rows = df.selectExpr("*", f"{order_hash} AS __hash", "1L AS __one")
+    ranked = running_sums(rows, keys, ["__hash", *tie], ["__one"], "substring(__hash, 1, 3)")
+    return ranked.selectExpr(*map(quoted, columns), "before___one AS rank0", "total___one AS n")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: columns ``keys, n, q`` (array in ``probs`` order).
 
     ``percentile`` keeps all distinct values of a group in one buffer; this
     keeps one row per distinct value, spread over tasks.
     """
-    keys = list(keys)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    ranked = score_table(clean, keys, value, {"cnt": F.lit(1).cast("bigint")})
-    last = F.col("before_cnt") + F.col("cnt") - 1
-    aggs, parts = [], []
+    keys, v = list(keys), quoted(value)
+    ranked = score_table(df.where(f"{v} IS NOT NULL AND NOT isnan({v})"), keys, value, {"cnt": "1L"})
+    aggs, parts = ["max(total_cnt) AS n"], []
     for i, p in enumerate(probs):
-        pos = (F.col("total_cnt") - 1) * F.lit(float(p))
-        aggs += [
-            F.min(F.when(last >= F.floor(pos), F.col(value))).alias(f"__lo{i}"),
-            F.min(F.when(last >= F.ceil(pos), F.col(value))).alias(f"__hi{i}"),
-        ]
-        at = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        parts.append(lo + (hi - lo) * (at - F.floor(at)))
+        pos = f"(total_cnt - 1) * {float(p)!r}D"
+        for name, fn in (("lo", "floor"), ("hi", "ceil")):
+            aggs.append(f"min(CASE WHEN before_cnt + cnt - 1 >= {fn}({pos}) THEN {v} END) AS __{name}{i}")
+        at = f"(n - 1) * {float(p)!r}D"
+        parts.append(f"__lo{i} + (__hi{i} - __lo{i}) * ({at} - floor({at}))")
     return (
         ranked.groupBy(*keys)
-        .agg(F.max("total_cnt").alias("n"), *aggs)
-        .select(*keys, "n", F.array(*parts).alias("q"))
+        .agg(*[F.expr(a) for a in aggs])
+        .selectExpr(*map(quoted, keys), "n", f"array({', '.join(parts)}) AS q")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.hashing import hash_bucket, hash_int, hash_key
+from strataflow.functions.hashing import hash_int, hash_key
 from strataflow.operators.running import hash_ranks, running_sums
 
 # The three folds and their usual shares.
@@ -25,15 +25,13 @@ def stratified_split(
     """Fold per row, cut per label at the rounded cumulative shares in hash order."""
     if abs(sum(fractions.values()) - 1) > 1e-9:
         raise ValueError("fractions must add up to 1")
-    ranked = hash_ranks(df.where(F.col(label).isNotNull()), [label], hash_key(seed, F.col(id_col)), [id_col])
-    names = list(fractions)
-    expr, cum = None, 0.0
+    ranked = hash_ranks(df.where(F.col(label).isNotNull()), [label], hash_key(seed, id_col), [id_col])
+    names, cases, cum = list(fractions), "", 0.0
     for name in names[:-1]:
         cum += fractions[name]
-        inside = F.col("rank0") < F.floor(F.col("n") * F.lit(cum) + 0.5)
-        expr = F.when(inside, name) if expr is None else expr.when(inside, name)
-    fold = F.lit(names[-1]) if expr is None else expr.otherwise(names[-1])
-    return ranked.withColumn(fold_col, fold).drop("rank0", "n")
+        cases += f" WHEN rank0 < floor(n * {cum!r}D + 0.5D) THEN '{name}'"
+    fold = f"CASE{cases} ELSE '{names[-1]}' END" if cases else f"'{names[-1]}'"
+    return ranked.withColumn(fold_col, F.expr(fold)).drop("rank0", "n")
 
 
 def check_folds(folds: DataFrame, id_col: str, fold_col: str, needed: Sequence[str] = tuple(FOLDS)) -> None:
@@ -60,9 +58,9 @@ def take_fraction(
     df: DataFrame, numerator: float, denominator: float, id_col: str, seed: int, flag: str
 ) -> DataFrame:
     """Flag the first ``floor(n * numerator / denominator)`` rows in hash order."""
-    ranked = hash_ranks(df.withColumn("__all", F.lit(0)), ["__all"], hash_key(seed, F.col(id_col)), [id_col])
-    share = F.lit(numerator) / F.lit(denominator)
-    return ranked.withColumn(flag, F.col("rank0") < F.floor(share * F.col("n"))).drop("rank0", "n", "__all")
+    ranked = hash_ranks(df.withColumn("__all", F.lit(0)), ["__all"], hash_key(seed, id_col), [id_col])
+    cut = f"rank0 < floor({float(numerator)!r}D / {float(denominator)!r}D * n)"
+    return ranked.withColumn(flag, F.expr(cut)).drop("rank0", "n", "__all")
 
 
 def domain_generalisation_split(
@@ -81,14 +79,14 @@ def domain_generalisation_split(
     test = df.join(ids, id_col, "left_semi").withColumn("fold_id", F.lit("test"))
     rest = df.join(ids, id_col, "left_anti").where(F.col(group_col) != last_group)
     late = take_fraction(rest.where(F.col(group_col) == val_group), *val_share, id_col, seed, "__val")
-    late = late.withColumn("fold_id", F.when("__val", "val").otherwise("train")).drop("__val")
+    late = late.withColumn("fold_id", F.when(F.col("__val"), "val").otherwise("train")).drop("__val")
     early = rest.where(F.col(group_col) != val_group).withColumn("fold_id", F.lit("train"))
     return test.unionByName(late).unionByName(early)
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 44) -> DataFrame:
     """``n`` rows without replacement: a distributed top-n by hash."""
-    return df.withColumn("__h", hash_key(seed, F.col(id_col))).orderBy("__h", id_col).limit(n).drop("__h")
+    return df.withColumn("__h", F.expr(hash_key(seed, id_col))).orderBy("__h", id_col).limit(n).drop("__h")
 
 
 def domain_adaptation_augment(
@@ -139,28 +137,18 @@ def group_balanced_sample(
     weight interval holds it. Intervals and draws meet on a block of the
     weight axis, so neither side is gathered in one task.
     """
-    weighted = add_group_weights(df, group).withColumns(
-        {"__h": hash_key(seed, F.col(id_col)), "__k": F.lit(0)}
+    weighted = add_group_weights(df, group).selectExpr("*", f"{hash_key(seed, id_col)} AS __h", "0 AS __k")
+    placed = running_sums(weighted, ["__k"], ["__h", id_col], ["weight"], "substring(__h, 1, 3)")
+    total = placed.groupBy("__k").agg(F.max("total_weight").alias("total_weight"))
+    draws = df.sparkSession.range(1, n_draws + 1).selectExpr("id AS draw", "0 AS __k").join(total, "__k")
+    draws = draws.withColumn("__at", F.expr(f"pmod({hash_int(f'{seed}|draw', 'draw')}, total_weight)"))
+    width = "greatest(1L, total_weight DIV 4096)"
+    rows = placed.withColumn(
+        "__block",
+        F.expr(f"explode(sequence(before_weight DIV {width}, (before_weight + weight - 1) DIV {width}))"),
     )
-    placed = running_sums(weighted, ["__k"], ["__h", id_col], ["weight"], hash_bucket(F.col("__h")))
-    lo, hi = F.col("before_weight"), F.col("before_weight") + F.col("weight") - 1
-    spark = df.sparkSession
-    total = placed.agg(F.max("total_weight").alias("total_weight"))
-    draws = (
-        spark.range(1, n_draws + 1)
-        .withColumnRenamed("id", "draw")
-        .withColumn("__k", F.lit(0))
-        .join(total.withColumn("__k", F.lit(0)), "__k")
-        .withColumn("__at", F.pmod(hash_int(f"{seed}|draw", F.col("draw")), F.col("total_weight")))
-    )
-    width = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("total_weight") / 4096).cast("bigint"))
-    rows = placed.withColumns({"__lo": lo, "__hi": hi}).withColumn(
-        "__block", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-    )
-    hits = draws.withColumn("__block", F.floor(F.col("__at") / width)).select("draw", "__block", "__at").join(
-        rows, "__block"
-    )
-    return hits.where(F.col("__at").between(F.col("__lo"), F.col("__hi"))).select("draw", *df.columns)
+    hits = draws.selectExpr("draw", "__at", f"__at DIV {width} AS __block").join(rows, "__block")
+    return hits.where("__at >= before_weight AND __at < before_weight + weight").select("draw", *df.columns)
 
 
 def domain_weights(df: DataFrame, is_target: Column) -> DataFrame:

@@ -24,9 +24,12 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        return self._tables[name]
 
     @cached_property
     def patients(self) -> DataFrame:
@@ -334,14 +337,14 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for name, body in defs.items():
-            if name not in needed and re.search(rf"\b{name}\b", re.sub(r"'[^']*'", "", text)):
-                visit(body)
-                if name not in needed:
-                    needed.append(name)
+        for name in re.findall(r"(?:FROM|JOIN)\s+(\w+)", text):
+            if name in defs and name not in needed:
+                visit(defs[name])
+                needed.append(name)
 
     visit(sql)
     if not needed:
         return sql
-    ctes = ",\n".join(f"{n} AS (\n{defs[n].strip()}\n)" for n in needed)
+    keep = lambda n: "MATERIALIZED " if n.startswith("mat_") else ""
+    ctes = ",\n".join(f"{n} AS {keep(n)}(\n{defs[n].strip()}\n)" for n in needed)
     return f"WITH {ctes}\n{sql.strip()}"
