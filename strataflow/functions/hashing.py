@@ -13,6 +13,11 @@ def hash_key(seed, *cols: str) -> str:
     return f"md5(concat_ws('|', {', '.join([repr(str(seed)), *cols])}))"
 
 
+def hash_slice(key: str, start: int, digits: int = 12) -> str:
+    """Integer from some hex digits of a hash key; separate digits are independent."""
+    return f"CAST(conv(substring({key}, {start}, {digits}), 16, 10) AS BIGINT)"
+
+
 def hash_int(seed, *cols: str) -> str:
     """Uniform integer below 2**60 from the first 15 hex digits."""
-    return f"CAST(conv(substring({hash_key(seed, *cols)}, 1, 15), 16, 10) AS BIGINT)"
+    return hash_slice(hash_key(seed, *cols), 1, 15)

@@ -2,9 +2,12 @@
 
 A replicate draws exactly n rows with replacement in every stratum of n rows.
 Row k of a stratum makes draw k of every replicate, so drawing is as parallel
-as the rows; the drawn place is a hash of (seed, replicate, stratum, k). Draws
-are counted per place and joined back as a weight. Metrics then take the
-replicate as one more stratum.
+as the rows. Two hashes h1, h2 of (seed, stratum, k) give all its draws: in
+replicate b it takes place ((h1 + b * h2) mod P) mod n with a prime P. Draws of
+one replicate are independent, draws of any two replicates are independent of
+each other, which is what quantiles over replicates need, and a draw costs two
+remainders instead of a digest. Draws are counted per place and joined back as
+a weight. Metrics then take the replicate as one more stratum.
 
 Rows x replicates is the size of the work. ``first`` lets a caller run ranges
 of replicates and append their results; ranges join without overlap.
@@ -17,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.hashing import hash_int, hash_key
+from strataflow.functions.hashing import hash_key, hash_slice
 from strataflow.operators.metrics import (
     DEFAULT_METRICS,
     ensemble_predictions,
@@ -29,6 +32,9 @@ from strataflow.operators.running import hash_ranks, quoted
 from strataflow.session import cut_lineage
 
 BOOT, WEIGHT = "boot_iter", "boot_weight"
+# largest prime below 2**45: b * h2 stays below 2**63 for b up to 2**17
+PRIME = 35184372088777
+MAX_REPLICATE = 2**17
 
 
 def resample_counts(
@@ -38,23 +44,40 @@ def resample_counts(
 
     ``ids`` identify a row within its stratum. Rows without a stratum value are left out.
     """
+    if first + n_boot - 1 > MAX_REPLICATE:
+        raise ValueError(f"replicates are numbered up to {MAX_REPLICATE}")
     strata, ids = list(strata), list(ids)
     units = df.where(" AND ".join(f"`{s}` IS NOT NULL" for s in strata)) if strata else df
     keys = strata
     if not keys:
         units, keys = units.withColumn("__all", F.lit(0)), ["__all"]
-    # drawn places and rows both read the ranked units; n rows are written, not n x replicates
-    units = cut_lineage(hash_ranks(units, keys, hash_key(seed, *map(quoted, ids)), ids))
-    place = hash_int(seed, BOOT, *map(quoted, strata), "rank0")
+    ranked = hash_ranks(units, keys, hash_key(seed, *map(quoted, ids)), ids)
+    # drawing multiplies the rows, so they are spread over all tasks first; draws and
+    # rows both read what is written here: n rows, not n x replicates
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digest = hash_key(seed, "'draw'", *map(quoted, strata), "rank0")
+    hashed = ranked.withColumn("__d", F.expr(digest)).selectExpr(
+        *map(quoted, ranked.columns),
+        f"{hash_slice('__d', 1)} % {PRIME}L AS __h1",
+        f"{hash_slice('__d', 13)} % {PRIME}L AS __h2",
+    )
+    units = cut_lineage(hashed.repartition(tasks, *keys, "rank0"))
     draws = (
         units.selectExpr(
-            *map(quoted, keys), "rank0", "n", f"explode(sequence({first}, {first + n_boot - 1})) AS {BOOT}"
+            *map(quoted, keys), "n", "__h1", "__h2", f"explode(sequence({first}, {first + n_boot - 1})) AS {BOOT}"
+        )
+        .selectExpr(
+            *map(quoted, keys), BOOT, f"coalesce((__h1 + CAST({BOOT} AS BIGINT) * __h2) % {PRIME}L % n, 0L) AS rank0"
         )
-        .selectExpr(*map(quoted, keys), BOOT, f"pmod({place}, n) AS rank0")
+        # one shuffle serves the count and the join; draws hit places at random, so
+        # counting before the shuffle would save little
+        .repartition(*keys, "rank0")
         .groupBy(*keys, BOOT, "rank0")
         .agg(F.expr(f"CAST(count(*) AS DOUBLE) AS {WEIGHT}"))
     )
-    return units.drop("n").join(draws, [*keys, "rank0"]).drop("rank0", "__all")
+    # the planner's estimate does not see rows x replicates: never broadcast the draws
+    rows = units.drop("n", "__h1", "__h2")
+    return rows.join(draws.hint("merge"), [*keys, "rank0"]).drop("rank0", "__all")
 
 
 def bootstrap(
@@ -163,6 +186,20 @@ def _difference(results: DataFrame, keys: Sequence[str], value: str) -> DataFram
     return both.selectExpr("*", "performance_base - performance_test AS performance_diff")
 
 
+def compare_pairs(
+    pairs: DataFrame,
+    strata: Sequence[str],
+    n_boot: int,
+    metrics: Sequence[str] = DEFAULT_METRICS,
+    ids: Sequence[str] = ("ids",),
+    seed: int = 44,
+    first: int = 1,
+) -> DataFrame:
+    """Metrics of both scores of paired rows on the same draws, per replicate and stratum."""
+    drawn = _stack_sides(resample_counts(pairs, strata, ids, n_boot, seed, first))
+    return _difference(evaluate(drawn, metrics, ["side", BOOT, *strata], weight=WEIGHT), [BOOT, *strata], "performance")
+
+
 def compare_models(
     base: DataFrame,
     test: DataFrame,
@@ -178,10 +215,7 @@ def compare_models(
     strata, ids = list(strata), list(ids)
     if method == "best":
         pairs = pair_predictions(keep_best(base), keep_best(test).drop("iter"), [*strata, *ids])
-        drawn = _stack_sides(resample_counts(pairs, strata, ids, n_boot, seed, first))
-        return _difference(
-            evaluate(drawn, metrics, ["side", BOOT, *strata], weight=WEIGHT), [BOOT, *strata], "performance"
-        )
+        return compare_pairs(pairs, strata, n_boot, metrics, ids, seed, first)
     pairs = pair_predictions(base, test, [*strata, "iter", *ids])
     drawn = _stack_sides(resample_counts(pairs, [*strata, "iter"], ids, n_boot, seed, first))
     if method == "avg":

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("cohorts", "features", "splits", "preprocessing", "evaluation", "bootstraps")
+_MODULES = (
+    "cohorts",
+    "features",
+    "splits",
+    "preprocessing",
+    "evaluation",
+    "bootstraps",
+    "reports",
+    "io",
+    "models",
+)
 
 
 def _load() -> None:

@@ -110,9 +110,9 @@ def _(v):
     return model.transform(test).select("subject_id", *[F.col(f"`{n}`") for n in ICU_IDS])
 
 
-@query("pp_params", " UNION ALL ".join(
+@query("pp_params", "SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT '{safe(n)}' AS feature, {i} AS edge_no, {r(f'round(quantile_cont("{safe(n)}", {i / 5}), 4)')} AS edge
-FROM tab WHERE fold_id = 'train'""" for n in ICU_IDS for i in range(1, 5)), VIEWS)
+FROM tab WHERE fold_id = 'train'""" for n in ICU_IDS for i in range(1, 5)) + ") WHERE edge IS NOT NULL", VIEWS)
 def _(v):
     """Fitted cut points read back from the model's parameters."""
     df = folded(v)

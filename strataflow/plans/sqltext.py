@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from strataflow.operators.bootstrap import PRIME
 from strataflow.plans.registry import r
 
 
@@ -143,19 +144,21 @@ def draw_views(src: str, strata: Sequence[str], ids: Sequence[str], n_boot: int,
     """View ``<name>``: source rows with ``boot_iter`` and weight ``w``."""
     s, i = q(strata), q(ids)
     on = " AND ".join(f'u."{c}" = d."{c}"' for c in [*strata, "rank0"])
-    hash_of = ", ".join([str(seed), "boot_iter", *[f'"{c}"' for c in strata], "rank0"])
+    hash_of = ", ".join([str(seed), "'draw'", *[f'"{c}"' for c in strata], "rank0"])
     whole = " AND ".join(f'"{c}" IS NOT NULL' for c in strata)
     return {
         f"mat_{name}_units": f"""
-SELECT *, row_number() OVER (PARTITION BY {s} ORDER BY md5(concat_ws('|', {seed}, {i})), {i}) - 1 AS rank0,
-       count(*) OVER (PARTITION BY {s}) AS n
-FROM {src} WHERE {whole}""",
+SELECT *, md5(concat_ws('|', {hash_of})) AS digest FROM (
+  SELECT *, row_number() OVER (PARTITION BY {s} ORDER BY md5(concat_ws('|', {seed}, {i})), {i}) - 1 AS rank0,
+         count(*) OVER (PARTITION BY {s}) AS n
+  FROM {src} WHERE {whole})""",
         f"mat_{name}_draws": f"""
 SELECT {s}, boot_iter, place AS rank0, count(*)::DOUBLE AS w FROM (
-  SELECT {s}, boot_iter, ('0x' || substr(md5(concat_ws('|', {hash_of})), 1, 15))::BIGINT % n AS place
-  FROM (SELECT *, unnest(range(1, {n_boot + 1}))::INTEGER AS boot_iter FROM mat_{name}_units))
+  SELECT {s}, boot_iter, (h1 + boot_iter * h2) % {PRIME} % n AS place FROM (
+    SELECT {s}, n, ('0x' || substr(digest, 1, 12))::BIGINT % {PRIME} AS h1, ('0x' || substr(digest, 13, 12))::BIGINT % {PRIME} AS h2,
+           unnest(range(1, {n_boot + 1}))::INTEGER AS boot_iter FROM mat_{name}_units))
 GROUP BY {s}, boot_iter, place""",
-        name: f"SELECT u.* EXCLUDE (rank0, n), d.boot_iter, d.w FROM mat_{name}_units u JOIN mat_{name}_draws d ON {on}",
+        name: f"SELECT u.* EXCLUDE (rank0, n, digest), d.boot_iter, d.w FROM mat_{name}_units u JOIN mat_{name}_draws d ON {on}",
     }
 
 

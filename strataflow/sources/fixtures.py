@@ -18,6 +18,24 @@ YEAR_GROUPS = ("1995 - 1996", "1997 - 1998", "1999 - 2000", "2001 - 2001")
 LAST_GROUP = YEAR_GROUPS[-1]
 
 
+# Training methods of the report fixtures (method, lambda, target rows, score multiplier).
+VARIANTS = (
+    ("erm", -1.0, 0, 7919),
+    ("oracle", -1.0, 0, 104723),
+    ("irm", 0.1, 0, 15485863),
+    ("coral", 1.0, 0, 32452843),
+    ("al_layer", 0.1, 100, 49979687),
+    ("coral", 0.1, 500, 67867967),
+)
+_SCORE = (
+    "0.01D + 0.98D * (0.35D * labels + 0.65D * CAST((ids * {mult} + {run} * 104729) % 10007 AS DOUBLE) / 10007D)"
+)
+_SCORE_SQL = (
+    "0.01::DOUBLE + 0.98::DOUBLE * (0.35::DOUBLE * labels + 0.65::DOUBLE * "
+    "(((ids * {mult} + {run} * 104729) % 10007)::DOUBLE / 10007::DOUBLE))"
+)
+
+
 class Views:
     """Lazily built DataFrames over one data folder."""
 
@@ -190,10 +208,7 @@ class Views:
             )
             .withColumn(
                 "pred_probs",
-                F.expr(
-                    f"0.01D + 0.98D * (0.35D * labels + 0.65D * "
-                    f"CAST((ids * {multiplier} + iter * 104729) % 10007 AS DOUBLE) / 10007D)"
-                ),
+                F.expr(_SCORE.format(mult=multiplier, run="iter")),
             )
             .withColumn("outputs", F.expr("ln(pred_probs / (1D - pred_probs))"))
             .selectExpr(
@@ -201,6 +216,36 @@ class Views:
             )
         )
 
+    @cached_property
+    def variants(self) -> DataFrame:
+        """One run of several training methods, with their lambda and number of target rows."""
+        rows = ", ".join(
+            f"named_struct('train_method', '{m}', 'lambda', {lam!r}D, 'n_ood', {n}, 'k', {k}L)" for m, lam, n, k in VARIANTS
+        )
+        base = self.table("orders").selectExpr(
+            "o_orderkey AS ids",
+            "CAST(CASE WHEN year(o_orderdate) < 1999 THEN 0 ELSE 1 END AS INT) AS `group`",
+            "CAST(o_orderstatus = 'F' AS INT) AS labels",
+            f"inline(array({rows}))",
+        )
+        return base.selectExpr(
+            "train_method", "lambda", "n_ood", "`group`", "ids", "labels", f"{_SCORE.format(mult='k', run='1')} AS pred_probs"
+        )
+
+    @cached_property
+    def year_models(self) -> DataFrame:
+        """Models trained on each year group, scored on all orders."""
+        base = self.table("orders").selectExpr(
+            "o_orderkey AS ids",
+            "CAST(CASE WHEN year(o_orderdate) < 1997 THEN 0 WHEN year(o_orderdate) < 1999 THEN 1 "
+            "WHEN year(o_orderdate) < 2001 THEN 2 ELSE 3 END AS INT) AS eval_group",
+            "CAST(o_orderstatus = 'F' AS INT) AS labels",
+            "explode(array(0, 1, 2, 3)) AS train_group",
+        )
+        return base.selectExpr(
+            "train_group", "eval_group", "ids", "labels", f"{_SCORE.format(mult='7919', run='train_group')} AS pred_probs"
+        )
+
     @cached_property
     def demographics(self) -> DataFrame:
         """Per order: the attributes predictions are broken down by."""
@@ -298,6 +343,16 @@ SELECT l_orderkey AS hadm_id, p_type AS icd_code FROM lineitem JOIN part ON l_pa
 SELECT l_orderkey AS hadm_id, 'H' || (l_suppkey % 7)::VARCHAR AS hcpcs_cd FROM lineitem""",
     "predictions": predictions_sql(),
     "predictions2": predictions_sql(15485863),
+    "variants": f"""
+SELECT train_method, "lambda", n_ood, "group", ids, labels, {_SCORE_SQL.format(mult="k", run="1")} AS pred_probs
+FROM (SELECT o_orderkey AS ids, (CASE WHEN year(o_orderdate) < 1999 THEN 0 ELSE 1 END)::INTEGER AS "group",
+             (o_orderstatus = 'F')::INTEGER AS labels FROM orders),
+     (VALUES {", ".join(f"('{m}', {lam}::DOUBLE, {n}::INTEGER, {k})" for m, lam, n, k in VARIANTS)}) t(train_method, "lambda", n_ood, k)""",
+    "year_models": f"""
+SELECT train_group, eval_group, ids, labels, {_SCORE_SQL.format(mult="7919", run="train_group")} AS pred_probs
+FROM (SELECT o_orderkey AS ids, (CASE WHEN year(o_orderdate) < 1997 THEN 0 WHEN year(o_orderdate) < 1999 THEN 1
+             WHEN year(o_orderdate) < 2001 THEN 2 ELSE 3 END)::INTEGER AS eval_group,
+             (o_orderstatus = 'F')::INTEGER AS labels, unnest([0, 1, 2, 3])::INTEGER AS train_group FROM orders)""",
     "demographics": """
 SELECT o_orderkey AS ids, o_orderpriority AS insurance,
        CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
