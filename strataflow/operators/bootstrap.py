@@ -61,7 +61,7 @@ def resample_counts(
         f"{hash_slice('__d', 1)} % {PRIME}L AS __h1",
         f"{hash_slice('__d', 13)} % {PRIME}L AS __h2",
     )
-    units = cut_lineage(hashed.repartition(tasks, *keys, "rank0"))
+    units = cut_lineage(hashed.repartition(tasks, "rank0", *keys))
     draws = (
         units.selectExpr(
             *map(quoted, keys), "n", "__h1", "__h2", f"explode(sequence({first}, {first + n_boot - 1})) AS {BOOT}"
@@ -71,13 +71,14 @@ def resample_counts(
         )
         # one shuffle serves the count and the join; draws hit places at random, so
         # counting before the shuffle would save little
-        .repartition(*keys, "rank0")
-        .groupBy(*keys, BOOT, "rank0")
+        .repartition("rank0", *keys)
+        .groupBy("rank0", *keys, BOOT)
         .agg(F.expr(f"CAST(count(*) AS DOUBLE) AS {WEIGHT}"))
     )
     # the planner's estimate does not see rows x replicates: never broadcast the draws
     rows = units.drop("n", "__h1", "__h2")
-    return rows.join(draws.hint("merge"), [*keys, "rank0"]).drop("rank0", "__all")
+    # the place comes first among the keys: a number that nearly decides the sort order
+    return rows.join(draws.hint("merge"), ["rank0", *keys]).drop("rank0", "__all")
 
 
 def bootstrap(

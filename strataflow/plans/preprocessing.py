@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from strataflow.operators import preprocess as PP
 from strataflow.operators import split as S
+from strataflow.plans.cohorts import long_stay
 from strataflow.plans.features import HCPCS_IDS, ICU_IDS, WIDE_IDS, feature_table, long_features, long_sql, rounded, wide_views
 from strataflow.plans.registry import query, r
 from strataflow.plans.splits import FOLD_VIEWS
+from strataflow.session import cut_lineage
 
 DEMO = ["insurance", "marital_status", "ethnicity", "language", "age", "gender"]
 
@@ -23,7 +25,8 @@ VIEWS = {
 
 
 def folded(v):
-    return S.stratified_split(feature_table(v))
+    """Feature table with folds, written once: fits and transforms read it several times."""
+    return cut_lineage(S.stratified_split(feature_table(v)))
 
 
 @query("pp_fill_missing", f"""
@@ -40,8 +43,8 @@ SELECT l.* FROM all_long l JOIN folds f ON l.subject_id = f.subject_id WHERE f.f
 
 
 def train_long(v):
-    train = S.stratified_split(feature_table(v).select("subject_id", "label")).where("fold_id = 'train'")
-    return long_features(v).join(train.select("subject_id"), "subject_id")
+    train = S.stratified_split(long_stay(v).select("subject_id", "label")).where("fold_id = 'train'")
+    return cut_lineage(long_features(v).join(train.select("subject_id"), "subject_id"))
 
 
 @query("pp_prune_features", """
