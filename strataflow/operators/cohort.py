@@ -79,15 +79,22 @@ def long_stay_cohort(stays: DataFrame, patients: DataFrame, admissions: DataFram
     return _layout(base, F.when(long, 1).otherwise(0))
 
 
+def first_onset(events: DataFrame, time_col: str) -> DataFrame:
+    """Earliest event per stay: ``stay_id, onset``.
+
+    "Any event by h" is "the earliest event by h", so a stay with very many
+    events collapses map-side and the join below meets one row per stay.
+    """
+    return events.groupBy("stay_id").agg(F.min(time_col).alias("onset"))
+
+
 def early_onset(picked: DataFrame, events: DataFrame, time_col: str, hours: int = 4) -> DataFrame:
-    """Stays to leave out: an event at or before ``hours`` after admission (semi-join)."""
-    ev = events.select(F.col("stay_id"), F.col(time_col).alias("__t"))
+    """Stays to leave out: an event at or before ``hours`` after admission."""
     return (
         picked.select("stay_id", "intime")
-        .join(ev, "stay_id")
-        .where(F.col("__t") <= plus_hours(F.col("intime"), hours))
+        .join(first_onset(events, time_col), "stay_id")
+        .where(F.col("onset") <= plus_hours(F.col("intime"), hours))
         .select("stay_id")
-        .distinct()
     )
 
 
@@ -101,27 +108,15 @@ def invasive_ventilation_cohort(
 ) -> DataFrame:
     """Leave out stays ventilated by ``gap_hours``; label onset in (gap, end].
 
-    The event table is read once: exclusion and label are two flags of one
-    aggregation. Grouping by patient (one stay each) keeps a shuffle between
-    join and aggregation, so AQE may split a stay with very many events.
+    The event table is read once: among the stays that are kept every onset
+    lies after the gap, so the earliest one decides the label too.
     """
     picked = picked_stays(stays, patients)
-    onset = ventilation.where(F.col("ventilation_status").isin(*INVASIVE_STATES)).select(
-        "stay_id", "starttime"
-    )
-    start, first = F.col("starttime"), F.col("intime")
-    flags = (
-        picked.select("subject_id", "stay_id", "intime")
-        .join(onset, "stay_id")
-        .where(start <= plus_hours(first, end_hours))
-        .groupBy("subject_id")
-        .agg(
-            F.max(F.when(start <= plus_hours(first, gap_hours), 1).otherwise(0)).alias("early"),
-            F.max(F.when(start > plus_hours(first, gap_hours), 1).otherwise(0)).alias("late"),
-        )
-    )
-    kept = picked.join(flags, "subject_id", "left").where(F.coalesce("early", F.lit(0)) == 0)
-    return _layout(_with_admission(kept, admissions), F.coalesce("late", F.lit(0)))
+    onsets = first_onset(ventilation.where(F.col("ventilation_status").isin(*INVASIVE_STATES)), "starttime")
+    onset, first = F.col("onset"), F.col("intime")
+    kept = picked.join(onsets, "stay_id", "left").where(onset.isNull() | (onset > plus_hours(first, gap_hours)))
+    label = F.when(onset <= plus_hours(first, end_hours), 1).otherwise(0)
+    return _layout(_with_admission(kept, admissions), label)
 
 
 def sepsis_cohort(

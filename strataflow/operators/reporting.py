@@ -208,11 +208,10 @@ def collect_files(
 ) -> DataFrame:
     """Rows of all CSV files of a folder whose name holds every fragment, with ``file_name``.
 
-    The filter is on file metadata, so files that do not match are not read.
+    Names are file metadata; a writer leaves each result in a folder of its own name.
     """
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(folder)
     df = df.select("*", F.col("_metadata.file_path").alias("__path"))
-    # the writer's part file lies in a folder that carries the result's name
     name = F.element_at(F.split("__path", "/"), -2)
     out = df.withColumn("file_name", name).drop("__path")
     for f in fragments:

@@ -87,7 +87,7 @@ def hash_ranks(df: DataFrame, keys: Sequence[str], order_hash: str, tie: Sequenc
     """Add ``rank0`` (0-based place in hash order within the key) and ``n``."""
     columns = df.columns
     rows = df.selectExpr("*", f"{order_hash} AS __hash", "1L AS __one")
-    ranked = running_sums(rows, keys, ["__hash", *tie], ["__one"], "coalesce(substring(__hash, 1, 3), '')")
+    ranked = running_sums(rows, keys, ["__hash", *tie], ["__one"], "coalesce(substring(__hash, 1, 4), '')")
     return ranked.selectExpr(*map(quoted, columns), "before___one AS rank0", "total___one AS n")
 
 

@@ -138,7 +138,7 @@ def group_balanced_sample(
     weight axis, so neither side is gathered in one task.
     """
     weighted = add_group_weights(df, group).selectExpr("*", f"{hash_key(seed, id_col)} AS __h", "0 AS __k")
-    placed = running_sums(weighted, ["__k"], ["__h", id_col], ["weight"], "substring(__h, 1, 3)")
+    placed = running_sums(weighted, ["__k"], ["__h", id_col], ["weight"], "coalesce(substring(__h, 1, 4), '')")
     total = placed.groupBy("__k").agg(F.max("total_weight").alias("total_weight"))
     draws = df.sparkSession.range(1, n_draws + 1).selectExpr("id AS draw", "0 AS __k").join(total, "__k")
     draws = draws.withColumn("__at", F.expr(f"pmod({hash_int(f'{seed}|draw', 'draw')}, total_weight)"))

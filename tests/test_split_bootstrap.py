@@ -137,15 +137,15 @@ def test_quantile_bins(spark):
 
 
 def test_one_hot_unknown_and_limits(spark):
-    a = spark.createDataFrame([(1, "x"), (2, None)], "subject_id long, c string")
-    b = spark.createDataFrame([(3, "new"), (4, "x")], "subject_id long, c string")
-    model = PP.OneHotColumns(include=["c"]).fit(a)
-    assert model.output_columns() == ["c_None", "c_x"]
+    a = spark.createDataFrame([(1, "x"), (2, None)], "subject_id long, kind string")
+    b = spark.createDataFrame([(3, "new"), (4, "x")], "subject_id long, kind string")
+    model = PP.OneHotColumns(include=["kind"]).fit(a)
+    assert model.output_columns() == ["kind_None", "kind_x"]
     assert sorted(map(tuple, model.transform(b).collect())) == [(3, 0, 0), (4, 0, 1)]
     with pytest.raises(ValueError):
-        PP.OneHotColumns(include=["c"], max_categories=1).fit(a)
-    fixed = PP.OneHotColumns(include=["c"], categories={"c": ["x", "new"]}, drop="first").fit(a)
-    assert fixed.output_columns() == ["c_new"]
+        PP.OneHotColumns(include=["kind"], max_categories=1).fit(a)
+    fixed = PP.OneHotColumns(include=["kind"], categories={"kind": ["x", "new"]}, drop="first").fit(a)
+    assert fixed.output_columns() == ["kind_new"]
 
 
 def test_exclude_tags_exclude_all_of_them():
