@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.scalar import CLIP
 from strataflow.operators.metrics import NEGATIVE, POSITIVE, P, W, keyed, prepare, variant_sql
-from strataflow.operators.running import exact_quantiles, quoted
+from strataflow.operators.running import attach, exact_quantiles, quoted
 from strataflow.session import cut_lineage
 
 # Names of the absolute calibration errors as
@@ -90,7 +90,7 @@ def fit_logistic(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _newton_step(points: DataFrame, coefs: DataFrame, keys: list[str]) -> DataFrame:
     """One step for every key; coefficients ride along, so a step is one join and one aggregation."""
-    rows = points.join(coefs, keys).selectExpr(
+    rows = attach(points, coefs, keys).selectExpr(
         *map(quoted, keys), "mx", "sx", "a", "b", "w1", "w1 + w0 AS n", "(x - mx) / sx AS z"
     )
     rows = rows.withColumn("p", F.expr(_SIGMOID.format("a + b * z")))
@@ -142,10 +142,10 @@ def curve(
     """Points with ``density``, the fitted chance of label 1 at the score."""
     keys, columns = list(keys), [quoted(c) for c in points.columns]
     if model == "logistic":
-        fitted = points.join(fit_logistic(points, keys), keys)
+        fitted = attach(points, fit_logistic(points, keys), keys)
         return fitted.selectExpr(*columns, f"{_SIGMOID.format('intercept + slope * x')} AS density")
     if model == "bin":
-        placed = points.join(bin_edges(base, keys, transform, n_bins), keys).selectExpr(*columns, f"{_BIN} AS bin")
+        placed = attach(points, bin_edges(base, keys, transform, n_bins), keys).selectExpr(*columns, f"{_BIN} AS bin")
         means = placed.groupBy(*keys, "bin").agg(F.expr("try_divide(sum(w1), sum(w1 + w0)) AS density"))
         return placed.join(means, [*keys, "bin"]).selectExpr(*columns, "density")
     raise ValueError(f"curve {model!r} is not known")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.operators.metrics import P, W, Y, evaluate_prepared, keyed, prepare
-from strataflow.operators.running import quoted, running_sums, score_bucket
+from strataflow.operators.running import ALL, attach, quoted, running_sums, score_bucket
 from strataflow.session import cut_lineage
 
 # Default base metrics of the one-vs-all frame.
@@ -41,7 +41,7 @@ def group_vs_overall(
     base, keys = _base(df, group, strata, label, pred, weight)
     own = evaluate_prepared(base, metrics, [*keys, group])
     overall = evaluate_prepared(base, metrics, keys).withColumnRenamed("performance", "performance_overall")
-    return own.join(overall, ["metric", *keys]).drop("__all")
+    return own.join(overall, ["metric", *keys]).drop(ALL)
 
 
 def metric_ova(
@@ -82,8 +82,10 @@ def emd_ova(
     own = base.groupBy(*keys, group, P).agg(F.expr(f"sum({W}) AS u"))
     everyone = own.groupBy(*keys, P).agg(F.expr("sum(u) AS v"))
     gkeys = [*keys, group]
+    per_key = groups.groupBy(*keys).agg(F.expr(f"collect_set({quoted(group)}) AS __groups"))
     cells = (
-        everyone.join(groups, keys)
+        attach(everyone, per_key, keys)
+        .selectExpr(*map(quoted, keys), P, "v", f"explode(__groups) AS {quoted(group)}")
         .join(own, [*gkeys, P], "left")
         .selectExpr(*map(quoted, gkeys), P, "coalesce(u, 0D) AS u", "v")
     )

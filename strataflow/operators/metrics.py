@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions.scalar import CLIP, ratio
-from strataflow.operators.running import exact_quantiles, quoted, running_sums, score_bucket
+from strataflow.operators.running import ALL, attach, exact_quantiles, quoted, running_sums, score_bucket
 
 # Metric names and default sets, cut points of the *_at metrics,
 # and the marks for metrics that one-class strata leave undefined.
@@ -51,7 +51,7 @@ def prepare(
 
 def keyed(df: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """The frame and its keys; without strata one constant key stands in."""
-    return (df, list(strata)) if strata else (df.withColumn("__all", F.lit(0)), ["__all"])
+    return (df, list(strata)) if strata else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
 def _div(num: str, den: str) -> str:
@@ -177,14 +177,14 @@ def equal_width_bins(base: DataFrame, keys: Sequence[str], n_bins: int = 10) ->
     ends = base.groupBy(*keys).agg(F.expr(f"min({P}) AS __lo"), F.expr(f"max({P}) AS __hi"))
     step = f"(__hi - __lo) / {n_bins}"
     place = " + ".join(f"CAST({P} > __lo + {step} * {i} AS INT)" for i in range(1, n_bins))
-    return base.join(ends, list(keys)).selectExpr(*map(quoted, base.columns), f"{place} AS bin")
+    return attach(base, ends, keys).selectExpr(*map(quoted, base.columns), f"{place} AS bin")
 
 
 def quantile_bins(base: DataFrame, keys: Sequence[str], n_bins: int = 10) -> DataFrame:
     """Add ``bin``: right-closed bins between unweighted quantiles; NULL when edges coincide."""
     edges = exact_quantiles(base, keys, P, [i / n_bins for i in range(n_bins + 1)])
     place = " + ".join(f"CAST({P} > q[{i}] AS INT)" for i in range(1, n_bins))
-    return base.join(edges.drop("n"), list(keys)).selectExpr(
+    return attach(base, edges.drop("n"), keys).selectExpr(
         *map(quoted, base.columns), f"CASE WHEN size(array_distinct(q)) = {n_bins + 1} THEN {place} END AS bin"
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BUCKET = "__bucket"
+ALL = "__all"
 
 
 def quoted(name: str) -> str:
@@ -29,6 +30,21 @@ def names(cols: Sequence[str]) -> str:
     return ", ".join(quoted(c) for c in cols)
 
 
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of a table with one row per key.
+
+    With no real key (``keys`` is the constant one) that row is a scalar
+    subquery: one value for all tasks instead of a cross join.
+    """
+    if list(keys) != [ALL]:
+        return df.join(small, list(keys))
+    cols = [c for c in small.columns if c != ALL]
+    one = small.select(F.struct(*[F.col(quoted(c)) for c in cols])).scalar()
+    return df.withColumn("__row", one).selectExpr(
+        *map(quoted, df.columns), *[f"__row.{quoted(c)} AS {quoted(c)}" for c in cols]
+    )
+
+
 def score_bucket(x: str, per_e_fold: int = 256) -> str:
     """Ordered bucket of a number, fine near 0 and near 1, where scores crowd.
 

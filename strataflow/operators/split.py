@@ -118,10 +118,9 @@ def sample_frame(
 
 def group_weights(df: DataFrame, group: str) -> DataFrame:
     """Whole-number weight N / n_g per group, over all folds: ``group, n, weight``."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("__k", F.lit(0))
-    total = sizes.groupBy("__k").agg(F.sum("n").alias("__total"))
-    weight = F.floor(F.col("__total") / F.col("n")).cast("bigint")
-    return sizes.join(total, "__k").select(group, "n", weight.alias("weight"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).scalar()
+    return sizes.select(group, "n", F.floor(total / F.col("n")).cast("bigint").alias("weight"))
 
 
 def add_group_weights(df: DataFrame, group: str) -> DataFrame:
@@ -139,8 +138,8 @@ def group_balanced_sample(
     """
     weighted = add_group_weights(df, group).selectExpr("*", f"{hash_key(seed, id_col)} AS __h", "0 AS __k")
     placed = running_sums(weighted, ["__k"], ["__h", id_col], ["weight"], "coalesce(substring(__h, 1, 4), '')")
-    total = placed.groupBy("__k").agg(F.max("total_weight").alias("total_weight"))
-    draws = df.sparkSession.range(1, n_draws + 1).selectExpr("id AS draw", "0 AS __k").join(total, "__k")
+    total = placed.agg(F.max("total_weight")).scalar()
+    draws = df.sparkSession.range(1, n_draws + 1).withColumnRenamed("id", "draw").withColumn("total_weight", total)
     draws = draws.withColumn("__at", F.expr(f"pmod({hash_int(f'{seed}|draw', 'draw')}, total_weight)"))
     width = "greatest(1L, total_weight DIV 4096)"
     rows = placed.withColumn(
@@ -153,10 +152,8 @@ def group_balanced_sample(
 
 def domain_weights(df: DataFrame, is_target: Column) -> DataFrame:
     """Training weight: target rows 0, source rows n / n_source over the whole set."""
-    totals = df.agg(F.count("*").alias("__n"), F.count_if(~is_target).alias("__src"))
-    joined = df.withColumn("__k", F.lit(0)).join(totals.withColumn("__k", F.lit(0)), "__k")
-    weight = F.when(is_target, F.lit(0.0)).otherwise(F.col("__n") / F.col("__src"))
-    return joined.withColumn("sample_weight", weight).drop("__k", "__n", "__src")
+    share = df.agg(F.count("*") / F.count_if(~is_target)).scalar()
+    return df.withColumn("sample_weight", F.when(is_target, F.lit(0.0)).otherwise(share))
 
 
 def null_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
