@@ -138,7 +138,7 @@ def group_balanced_sample(
     """
     weighted = add_group_weights(df, group).selectExpr("*", f"{hash_key(seed, id_col)} AS __h", "0 AS __k")
     placed = running_sums(weighted, ["__k"], ["__h", id_col], ["weight"], "coalesce(substring(__h, 1, 4), '')")
-    total = placed.agg(F.max("total_weight")).scalar()
+    total = group_weights(df, group).agg(F.sum(F.col("n") * F.col("weight"))).scalar()
     draws = df.sparkSession.range(1, n_draws + 1).withColumnRenamed("id", "draw").withColumn("total_weight", total)
     draws = draws.withColumn("__at", F.expr(f"pmod({hash_int(f'{seed}|draw', 'draw')}, total_weight)"))
     width = "greatest(1L, total_weight DIV 4096)"

@@ -218,3 +218,35 @@ def test_param_grid():
     assert len(grid) == 4 and grid == ML.param_grid({"b": [3, 4], "a": [1, 2]})
     assert ML.param_grid({"a": [1, 2], "b": [3, 4]}, 2) == grid[:2]
     assert ML.hidden_layers(5, 2, 8) == [5, 8, 8, 2]
+
+
+def test_default_metrics_of_a_replicate_equal_those_of_its_rows(spark):
+    """Weights stand for repeated rows in every metric, fitted calibration too."""
+    from strataflow.operators import metrics as M
+
+    rng = np.random.default_rng(5)
+    p = rng.uniform(0.05, 0.95, 200)
+    pdf = pd.DataFrame({"ids": np.arange(200), "phase": "test", "pred_probs": p})
+    pdf["labels"] = (rng.uniform(size=200) < p).astype(int)
+    df = spark.createDataFrame(pdf)
+    got = B.bootstrap(df, 2, ["phase"]).toPandas().set_index(["boot_iter", "metric"]).performance
+    assert set(got.index.get_level_values(1)) == set(M.DEFAULT_METRICS)
+    drawn = B.resample_counts(df, ["phase"], ["ids"], 2)
+    repeated = drawn.selectExpr("boot_iter", "labels", "pred_probs", "explode(sequence(1, CAST(boot_weight AS INT)))")
+    want = M.evaluate(repeated, M.DEFAULT_METRICS, ["boot_iter"]).toPandas().set_index(["boot_iter", "metric"]).performance
+    for key, value in want.items():
+        assert got[key] == pytest.approx(value, abs=1e-9)
+
+
+def test_one_stratum_holds_most_rows(spark):
+    """Ranks of a hot stratum are dense and complete; no window sorts it whole."""
+    from strataflow.functions.hashing import hash_key
+    from strataflow.operators.running import hash_ranks
+
+    df = spark.range(6000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'small' ELSE 'hot' END AS s")
+    ranked = hash_ranks(df, ["s"], hash_key(1, "id"), ["id"])
+    got = ranked.groupBy("s").agg(F.countDistinct("rank0").alias("d"), F.max("rank0").alias("m"), F.max("n").alias("n"))
+    assert {r.s: (r.d, r.m, r.n) for r in got.collect()} == {"hot": (5400, 5399, 5400), "small": (600, 599, 600)}
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    row_windows = [line for line in plan.splitlines() if "Window [" in line and "__sum" not in line]
+    assert row_windows and all("__bucket" in line for line in row_windows)
