@@ -60,7 +60,6 @@ def test_sparse_roundtrip_and_refusal(spark):
 
 
 def test_resample_counts_add_up(spark):
-    rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"ids": np.arange(300), "phase": np.where(np.arange(300) < 200, "val", "test")})
     df = spark.createDataFrame(pdf)
     drawn = B.resample_counts(df, ["phase"], ["ids"], 50).toPandas()
@@ -77,7 +76,6 @@ def test_resample_counts_add_up(spark):
     cols = ["ids", "boot_iter", "boot_weight"]
     a = drawn[drawn.boot_iter > 40][cols].sort_values(cols).to_numpy()
     assert (a == later[cols].sort_values(cols).to_numpy()).all()
-    assert rng is not None
 
 
 def test_same_model_has_no_difference(spark):
