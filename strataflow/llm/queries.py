@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import bpe, packing
+from strataflow.llm import bpe, exact_dedup, packing, toxicity
 
 #: Vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,11 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op8_bpe")
 def op8_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+@query(
+    "op9_exact_dedup",
+    """
+    WITH t AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+        FROM documents
+    )
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+    FROM t WINDOW w AS (PARTITION BY body)
+    """,
+)
+def op9_exact_dedup(spark, sf_dir):
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
