@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import bpe, exact_dedup, packing, toxicity
+from strataflow.llm import bpe, exact_dedup, packing, sharding, topk, toxicity, urls
 
 #: Vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,36 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op4_url_filter")
+def op4_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_ring_shards")
+def op6_ring_shards(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"), 40)
+
+
+@query(
+    "op7_nra_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS xs FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.xs, c.xs)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+    ) WHERE rank <= 20
+    """,
+)
+def op7_nra_topk(spark, sf_dir):
+    return topk.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 @query("op8_bpe")
 def op8_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), VOCABULARY)
