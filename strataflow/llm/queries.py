@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import bpe, exact_dedup, packing, sharding, topk, toxicity, urls
+from strataflow.llm import bpe, exact_dedup, extraction, licenses, near_dedup, packing, sharding, topk, toxicity, urls
 
 #: Vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,11 +36,26 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_near_dedup")
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_url_filter")
 def op4_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op5_main_text")
+def op5_main_text(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_ring_shards")
 def op6_ring_shards(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
