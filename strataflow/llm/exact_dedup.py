@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.batches import slices
+from strataflow.llm.bitmaps import maybe_in
 from strataflow.session import scratch_path
 
 #: Bits of a fingerprint. Equal ones of different texts only cost a comparison.
@@ -192,7 +193,10 @@ def deduplicate(docs: DataFrame, owners: int | None = None) -> DataFrame:
     suspects = marked.where("suspect")
     # the suspects' texts, compared byte by byte: equal ones collapse in each task before they are sent
     bodies = docs.select(normalised().alias("body")).withColumn("text_sha256", F.sha2("body", 256))
-    texts = bodies.join(suspects.select("text_sha256").distinct(), "text_sha256", "left_semi")
+    wanted = suspects.select("text_sha256").distinct()
+    # a bit map of fixed size keeps other texts out of the shuffle; the join after it is exact
+    few = maybe_in(bodies, F.xxhash64("text_sha256"), wanted.select(F.xxhash64("text_sha256").alias("key")))
+    texts = few.join(wanted, "text_sha256", "left_semi")
     equal = texts.groupBy("body", "text_sha256").agg(F.count("*").alias("group_size")).drop("body")
     # two texts of one digest would be two rows here: then the digest can't stand for the text, and the query says so
     sizes = equal.groupBy("text_sha256").agg(F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
