@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.batches import per_slice, slices
 
 #: Labelled rows that a fit reads at most.
-MAX_FIT = 6144
+MAX_FIT = 4096
 BUCKETS = 1 << 16
 DIMENSIONS = 4
 #: Training texts that must hold a bucket for it to have a value.
