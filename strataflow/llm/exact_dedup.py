@@ -226,13 +226,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are found again by doc_id and text digest; where one row of several with the
     same id and text stays, one of them is taken.
     """
-    decided = deduplicate(docs)
-    stay = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    same = decided.where("doc_id <=> keep_id").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    decided = deduplicate(docs).where("doc_id <=> keep_id")
+    stay = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(
+        F.count("*").alias("__rows")
+    )
     own = docs.withColumn("__sha", F.sha2(normalised(), 256))
-    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
-    repeated = same.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
-    once = kept.join(repeated, on, "left_anti")
-    rest = kept.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return once.unionByName(rest).drop("__sha")
+    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")))
+    once = kept.where("__rows = 1")
+    several = kept.where("__rows > 1").dropDuplicates(["doc_id", "__sha"])
+    return once.unionByName(several).select(*docs.columns)

@@ -47,6 +47,8 @@ CHANCE = 0.17 * 2.0 ** (1 - MANTISSA)
 #: Members of a bucket that one task compares with as many others.
 BLOCK_ROWS = 1024
 FIRST_CANDIDATES = 4
+#: Members up to which a bucket's pairs come from a join.
+SMALL_BUCKET = 16
 CACHE_ENTRIES = 400_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +119,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, set_key, registers`` per row."""
+    """``doc_id, text_key, n, set_key, registers`` per row."""
     held: dict[str, Shingler] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
+                    "text_key": part.column("text_key"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set_key": pa.array(
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
@@ -136,8 +139,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    schema = "doc_id bigint, n bigint, set_key binary, registers binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, registers binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,7 +253,10 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, links`` of every row."""
+    """``doc_id, n_shingles, component_id, kept, links, text_key`` of every row.
+
+    ``links`` counts the confirmed links of the row's class to other classes.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "sketches")
     # written once: row numbers, and with them classes, stay the same whatever task is run again
@@ -278,13 +284,17 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # every class with the best of its buckets' heads
     stars = members.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
     of = lambda c: sketched.selectExpr(f"cid AS {c}", f"n AS n_{c}", f"registers AS r_{c}")
-    near = (
-        stars.join(of("a"), "a")
-        .join(of("b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select("a", "b", F.pandas_udf(_estimate, "double")("r_a", "r_b").alias("estimate"))
-        .where(F.col("estimate") >= LEAST_ESTIMATE)
-    )
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(of("a"), "a")
+            .join(of("b"), "b")
+            .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+            .select("a", "b", F.pandas_udf(_estimate, "double")("r_a", "r_b").alias("estimate"))
+            .where(F.col("estimate") >= LEAST_ESTIMATE)
+        )
+
+    near = estimated(stars)
     best = near.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).selectExpr("a", "best.b AS b")
     tested = cut_lineage(best)
     links = cut_lineage(_confirmed(docs, classes, tested, percent))
@@ -296,19 +306,25 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         parts = f"CAST(ceil(members / {BLOCK_ROWS}D) AS INT)"
-        opened = named.join(mixed.select("key"), "key", "left_semi").selectExpr(
+        opened = named.join(mixed.select("key"), "key", "left_semi")
+        # small buckets, which are most, give all their pairs in one join
+        few = opened.where(f"members <= {SMALL_BUCKET}")
+        ahead = few.selectExpr("key", "cid AS a", "component AS of_a")
+        behind = few.selectExpr("key", "cid AS b", "component AS of_b")
+        joined = ahead.join(behind, "key").where("a > b AND of_a <> of_b").select("a", "b").distinct()
+        # in others each pair of blocks meets once
+        meetings = opened.where(f"members > {SMALL_BUCKET}").selectExpr(
             "key", "cid", "component", f"{parts} AS parts", f"CAST(pmod(xxhash64(cid), {parts}) AS INT) AS block"
         )
-        # each pair of blocks of a bucket meets once
-        meetings = opened.selectExpr(
-            "*", "explode(sequence(0, parts - 1)) AS other"
-        ).selectExpr("key", "cid", "component", "block", "least(block, other) AS i", "greatest(block, other) AS j")
-        found = cut_lineage(
+        meetings = meetings.selectExpr("*", "explode(sequence(0, parts - 1)) AS other").selectExpr(
+            "key", "cid", "component", "block", "least(block, other) AS i", "greatest(block, other) AS j"
+        )
+        blocks = (
             meetings.join(sketched, "cid")
             .groupBy("key", "i", "j")
             .applyInPandas(_candidates(most, percent), "a bigint, b bigint")
-            .distinct()
         )
+        found = cut_lineage(blocks.unionByName(estimated(joined).select("a", "b")).distinct())
         new = found.where("a <> b").join(tested, ["a", "b"], "left_anti")
         new = cut_lineage(new.join(tested.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti"))
         if new.isEmpty():
@@ -323,22 +339,20 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links"))
     named = ids.join(smallest, "component").join(degree.withColumnRenamed("a", "cid"), "cid", "left")
+    none = "CAST(0 AS BIGINT) AS links"
     linked = rows.where("set_key IS NOT NULL").join(named.select("set_key", "component_id", "links"), "set_key")
-    empty_rows = rows.where("set_key IS NULL").selectExpr("doc_id", "n", "doc_id AS component_id", "CAST(0 AS BIGINT) AS links")
-    return (
-        linked.select("doc_id", "n", "component_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
-        .unionByName(empty_rows)
-        .selectExpr("doc_id", "n AS n_shingles", "component_id", "doc_id <=> component_id AS kept", "links")
+    linked = linked.selectExpr("doc_id", "text_key", "n", "component_id", "coalesce(links, 0L) AS links")
+    lone = rows.where("set_key IS NULL").selectExpr("doc_id", "text_key", "n", "doc_id AS component_id", none)
+    return linked.unionByName(lone).selectExpr(
+        "doc_id", "n AS n_shingles", "component_id", "doc_id <=> component_id AS kept", "links", "text_key"
     )
 
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows, all columns as they are, whose doc_id is that of their component.
-
-    Of repeated rows of that id one stays.
-    """
-    kept = cluster(docs, percent).where("kept").groupBy("doc_id").count()
-    own = docs.join(kept.select(F.col("doc_id").alias("__id"), "count"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = own.where("count = 1").select(*[docs[c] for c in docs.columns])
-    several = own.where("count > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return once.unionByName(several)
+    """The rows, all columns as they are, whose doc_id is that of their component; of repeated rows one."""
+    kept = cluster(docs, percent).where("kept")
+    stay = kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    own = docs.join(stay, same)
+    several = own.where("__rows > 1").dropDuplicates(["doc_id", "text"])
+    return own.where("__rows = 1").unionByName(several).select(*docs.columns)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import strataflow
 from strataflow.llm import bpe, exact_dedup, extraction, licenses, near_dedup, packing, sharding, topk, toxicity, urls
 
 #: Vocabulary of the token queries.
@@ -16,9 +18,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def find_package(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it; a cluster has it installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(strataflow.__file__).parents[1]))
+
+
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            find_package(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -38,7 +50,7 @@ def op1_toxicity(spark, sf_dir):
 
 @query("op2_near_dedup")
 def op2_near_dedup(spark, sf_dir):
-    return near_dedup.cluster(table(spark, sf_dir, "documents"))
+    return near_dedup.cluster(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op3_license_scan")

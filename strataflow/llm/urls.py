@@ -43,13 +43,13 @@ online-pharmacy-pills.test/no-prescription cheap-watches.test/replica/7 replica-
 casino-win.test/en/7 www.casino-bonus.test/slots best-casino.test/roulette casino-royal.test/jackpot mega-slots.test/win win-big-casino.test/free-spins
 free-bets.test/en/5 m.free-bets-now.test/odds sports-bets.test/tips betting-win.test/free bets-online.test/signup poker-win.test/table poker-free.test/chips
 ads-track.test/en/584 ads-server.test/click/1 track-clicks.test/pixel ad-tracker.test/banner popunder-ads.test/serve click-track.test/r?u adserv.test/track
-adult-x.test/en/31 www.adult-x-rated.test/watch adult-xxx.test/de/8 adult-movies.test/fr/77 xxx-videos.test/free adult-cams.test/live sexy-dates.test/chat hot-singles.test/meet porn-free.test/tube
+adult-x.test/en/31 m.adult-x.test/fr/305 blog.adult-x.test/es/9 adult-x.test/en adults-only-x.test/de/66 www.adult-x-rated.test/watch adult-xxx.test/de/8 adult-movies.test/fr/77 xxx-videos.test/free adult-cams.test/live sexy-dates.test/chat hot-singles.test/meet porn-free.test/tube
 free-money.test/claim prize-winner.test/claim-now you-won-prize.test/iphone lottery-win.test/ticket get-rich-quick.test/crypto crypto-double.test/send
 free-downloads.test/crack warez-crack.test/keygen torrent-free.test/movie serial-keys.test/full payday-loans.test/apply cheap-loans.test/fast miracle-diet.test/fat-burn weight-loss-pills.test/order
 phish-login.test/verify-account secure-update-bank.test/login.php account-verify.test/confirm free-gift-cards.test/win malware-drop.test/setup.exe
 """
 _ALLOWED = """
-thistle.test/en/25 www.meadow.test/about blog.northwind.test/2021/05/notes docs.fieldstone.test/guide/start m.harbour.test/en/474.html
+x.test a.test/ q.org.test i.test/en/3 up.test/about hello.test shop.test/item/3 my.site.test/en/9 www.firm.test/en/7 thistle.test/en/25 www.meadow.test/about blog.northwind.test/2021/05/notes docs.fieldstone.test/guide/start m.harbour.test/en/474.html
 library.university.test/catalogue/item/12 museum.city.test/exhibits/3 news.dailypaper.test/world/article-882 www.weather.test/forecast/berlin
 recipes.kitchen.test/soup/12 garden.home.test/plants/roses travel.guide.test/fr/paris history.archive.test/de/1848 science.journal.test/vol/12/paper.pdf
 blog.thenton.test/en/960 ththre.test/fr/825 blog.tionsh.test/es/533 www.therti.test/en/334 thring.test/en/328 m.therou.test/de/252 blog.therion.test/es/978
