@@ -15,8 +15,7 @@ text or on its detections. An empty table gives no rows.
 from __future__ import annotations
 
 import re
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +77,8 @@ _CREATIVE_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
 _SINGLE = (
     ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software", 60, 0.99),
     ("mit", "the software is provided", "the software is provided as is without warranty of any kind express or implied", 40, 0.8),
-    ("mit", "mit", "(?:released|licen[cs]ed|distributed|available|published)(?: under)?(?: the)?(?: terms of the)? mit(?: licen[cs]e)?", 50, 0.95),
+    ("mit", "the mit", "(?:released|licen[cs]ed|distributed|available|published)(?: under)?(?: the terms of)? the mit(?: licen[cs]e)?", 50, 0.95),
+    ("mit", "under mit", "(?:released|licen[cs]ed|distributed|available|published) under mit(?: licen[cs]e)?", 50, 0.95),
     ("mit", "mit", "licen[cs]e mit", 30, 0.8),
     ("mit-0", "mit no attribution", "mit no attribution(?: licen[cs]e)?", 60, 0.95),
     ("x11", "x11", "x11 licen[cs]e", 30, 0.9),
@@ -203,37 +203,58 @@ def rules() -> list[tuple[str, str, str, int, float, bool]]:
     return out
 
 
+_INNERMOST = re.compile(r"\(\?:([^()]*)\)([?*]?)")
+
+
+def _needs_license(pattern: str) -> bool:
+    """Whether whatever matches has a word that begins with licen."""
+
+    def group(m: re.Match) -> str:
+        every = not m[2] and all(_has_license(alternative) for alternative in m[1].split("|"))
+        return " licen" if every else " _ "
+
+    while "(?:" in pattern:
+        pattern = _INNERMOST.sub(group, pattern)
+    return _has_license(pattern)
+
+
+def _has_license(plain: str) -> bool:
+    return re.search(r"(?:^| )licen", plain) is not None
+
+
 def _anchors() -> list[str]:
     """Few beginnings of words such that whatever a rule matches has one of them.
 
     Most patterns need the word license; the others are found by their keyword.
     """
-    anchors = {"licen"}
-    for pattern, keyword, *_ in rules():
-        needed = pattern
-        while "(?:" in needed:
-            needed = re.sub(r"\(\?:[^()]*\)[?*]?", "", needed)
-        if not re.search(r"(?:^| )licen", needed):
-            anchors.add(keyword)
-    return sorted(anchors)
+    needed = {"licen"} | {keyword for pattern, keyword, *_ in rules() if not _needs_license(pattern)}
+    return sorted(a for a in needed if not any(a != b and a.startswith(b) for b in needed))
+
+
+def _gate() -> str:
+    """The anchors as one pattern, by first letter: a text without any is passed over in one reading."""
+    by_letter: dict[str, list[str]] = {}
+    for a in _anchors():
+        by_letter.setdefault(a[0], []).append(a[1:])
+    return " (?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items()) + ")"
 
 
 def _rule_table() -> Column:
-    """The rules as one constant array; its size is that of the tables above."""
-    return F.array(
-        *[
+    """The rules by keyword, as one constant array; its size is that of the tables above."""
+    by_keyword: dict[str, list[Column]] = {}
+    for number, (pattern, keyword, label, priority, sure, base) in enumerate(rules()):
+        by_keyword.setdefault(keyword, []).append(
             F.struct(
                 F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"),
-                F.lit(keyword).alias("keyword"),
                 F.lit(label).alias("label"),
                 F.lit(priority).alias("priority"),
                 F.lit(float(sure)).alias("sure"),
                 F.lit(base).alias("base"),
                 F.lit(number).alias("number"),
             )
-            for number, (pattern, keyword, label, priority, sure, base) in enumerate(rules())
-        ]
-    )
+        )
+    groups = [F.struct(F.lit(" " + k).alias("keyword"), F.array(*of).alias("rules")) for k, of in by_keyword.items()]
+    return F.array(*groups)
 
 
 _DETECTION = "struct<start:bigint,stop:bigint,label:string,priority:int,sure:double,base:boolean,number:int>"
@@ -286,10 +307,9 @@ def detect(docs: DataFrame) -> DataFrame:
     counted = words.select(
         "doc_id", "words", F.when(F.length("words") <= 2, F.lit(0).cast("bigint")).otherwise(_spaces(F.col("words")) - 1).alias("n_words")
     )
-    able = F.filter(table, lambda r: F.contains(F.col("words"), F.concat(F.lit(" "), r["keyword"])))
+    able = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("words"), g["keyword"])), lambda g: g["rules"]))
     every = F.flatten(F.transform(able, lambda r: _hits(F.col("words"), r)))
-    gate = reduce(or_, (F.contains(F.col("words"), F.lit(" " + a)) for a in _anchors()))
-    found = F.when(gate, every).otherwise(F.array().cast(f"array<{_DETECTION}>"))
+    found = F.when(F.col("words").rlike(_gate()), every).otherwise(F.array().cast(f"array<{_DETECTION}>"))
     return counted.select("doc_id", "n_words", found.alias("found")).withColumn(
         "kept", F.filter("found", lambda d: _survives(F.col("found"), d))
     )
