@@ -32,9 +32,11 @@ from strataflow.operators.running import hash_ranks, quoted
 from strataflow.session import cut_lineage
 
 BOOT, WEIGHT = "boot_iter", "boot_weight"
-# largest prime below 2**45: b * h2 stays below 2**63 for b up to 2**17
+# largest prime below 2**45; the number of a replicate is multiplied in two parts of
+# 17 bits, so that no product reaches 2**63
 PRIME = 35184372088777
-MAX_REPLICATE = 2**17
+PART = 2**17
+_TIMES = f"{BOOT} % {PART} * __h2 + CAST({BOOT} AS BIGINT) DIV {PART} * __h2 % {PRIME}L * {PART}"
 
 
 def resample_counts(
@@ -44,8 +46,6 @@ def resample_counts(
 
     ``ids`` identify a row within its stratum. Rows without a stratum value are left out.
     """
-    if first + n_boot - 1 > MAX_REPLICATE:
-        raise ValueError(f"replicates are numbered up to {MAX_REPLICATE}")
     strata, ids = list(strata), list(ids)
     units = df.where(" AND ".join(f"`{s}` IS NOT NULL" for s in strata)) if strata else df
     keys = strata
@@ -67,7 +67,7 @@ def resample_counts(
             *map(quoted, keys), "n", "__h1", "__h2", f"explode(sequence({first}, {first + n_boot - 1})) AS {BOOT}"
         )
         .selectExpr(
-            *map(quoted, keys), BOOT, f"coalesce((__h1 + CAST({BOOT} AS BIGINT) * __h2) % {PRIME}L % n, 0L) AS rank0"
+            *map(quoted, keys), BOOT, f"coalesce((__h1 + {_TIMES}) % {PRIME}L % n, 0L) AS rank0"
         )
         # one shuffle serves the count and the join; draws hit places at random, so
         # counting before the shuffle would save little
@@ -91,11 +91,17 @@ def bootstrap(
     seed: int = 44,
     first: int = 1,
     threshold: str | None = None,
+    label: str = "labels",
+    pred: str = "pred_probs",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Metrics per replicate and stratum; rows are drawn within strata and ``boot_strata`` together."""
+    """Metrics per replicate and stratum; rows are drawn within strata and ``boot_strata`` together.
+
+    How often a row is drawn is its count, beside the sample weight it may have.
+    """
     within = [*strata, *[s for s in boot_strata if s not in strata]]
     drawn = resample_counts(df, within, ids, n_boot, seed, first)
-    return evaluate(drawn, metrics, [BOOT, *strata], weight=WEIGHT, threshold=threshold)
+    return evaluate(drawn, metrics, [BOOT, *strata], label, pred, weight, threshold, count=WEIGHT)
 
 
 def quantile_interval(df: DataFrame, keys: Sequence[str], value: str = "performance", alpha: float = 0.05) -> DataFrame:
@@ -198,7 +204,7 @@ def compare_pairs(
 ) -> DataFrame:
     """Metrics of both scores of paired rows on the same draws, per replicate and stratum."""
     drawn = _stack_sides(resample_counts(pairs, strata, ids, n_boot, seed, first))
-    return _difference(evaluate(drawn, metrics, ["side", BOOT, *strata], weight=WEIGHT), [BOOT, *strata], "performance")
+    return _difference(evaluate(drawn, metrics, ["side", BOOT, *strata], count=WEIGHT), [BOOT, *strata], "performance")
 
 
 def compare_models(
@@ -220,7 +226,7 @@ def compare_models(
     pairs = pair_predictions(base, test, [*strata, "iter", *ids])
     drawn = _stack_sides(resample_counts(pairs, [*strata, "iter"], ids, n_boot, seed, first))
     if method == "avg":
-        per_run = evaluate(drawn, metrics, ["side", BOOT, *strata, "iter"], weight=WEIGHT)
+        per_run = evaluate(drawn, metrics, ["side", BOOT, *strata, "iter"], count=WEIGHT)
         return _difference(mean_over_iterations(per_run, ["side", BOOT, *strata]), [BOOT, *strata], "mean")
     if method == "ensemble":
         mean = ensemble_predictions(drawn, ["side", BOOT, *strata, *ids], ("pred_probs", "labels"), WEIGHT)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions.scalar import CLIP
-from strataflow.operators.metrics import NEGATIVE, POSITIVE, P, W, keyed, prepare, variant_sql
+from strataflow.operators.metrics import NEGATIVE, POSITIVE, C, P, W, keyed, prepare, variant_sql
 from strataflow.operators.running import attach, exact_quantiles, quoted
 from strataflow.session import cut_lineage
 
@@ -36,7 +36,6 @@ TRANSFORMS = {
 }
 
 STEPS_PER_ROUND = 4
-MAX_ROUNDS = 8
 TOLERANCE = 1e-10
 
 _SIGMOID = "1D / (1D + exp(-({})))"
@@ -56,9 +55,10 @@ def score_points(base: DataFrame, keys: Sequence[str], transform: str | None) ->
 def fit_logistic(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, intercept, slope, converged``: unpenalised maximum likelihood.
 
-    Strata with one class or one distinct input have no such fit and get NULL.
-    Steps run on standardised input and are kept short, so a far start cannot
-    overshoot; separable strata come back with ``converged = false``.
+    A maximum exists exactly if the inputs of the two classes overlap; strata with one
+    class, one distinct input or separable classes get NULL. Steps run on standardised
+    input until all strata stand still. A step that lowers the likelihood is halved,
+    so every stratum comes to its end.
     """
     k = [quoted(c) for c in keys]
     scale = points.groupBy(*keys).agg(
@@ -66,55 +66,74 @@ def fit_logistic(points: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.expr("sum(w0) AS n0"),
         F.expr("sum((w1 + w0) * x) / sum(w1 + w0) AS mx"),
         F.expr("sum((w1 + w0) * x * x) / sum(w1 + w0) AS mxx"),
-        F.expr("max(x) > min(x) AS varies"),
+        *[F.expr(f"{f}(CASE WHEN w{y} > 0 THEN x END) AS {f}{y}") for f in ("min", "max") for y in (0, 1)],
     )
-    usable = "n1 > 0 AND n0 > 0 AND varies"
+    usable = "n1 > 0 AND n0 > 0 AND max0 > min1 AND max1 > min0"
     coefs = scale.selectExpr(
         *k,
         "mx",
         "CASE WHEN mxx > mx * mx THEN sqrt(mxx - mx * mx) ELSE 1D END AS sx",
         f"CASE WHEN {usable} THEN ln(n1) - ln(n0) END AS a",
         f"CASE WHEN {usable} THEN 0D END AS b",
+        "CAST(NULL AS DOUBLE) AS best_a",
+        "CAST(NULL AS DOUBLE) AS best_b",
+        "CAST(NULL AS DOUBLE) AS best",
         f"CASE WHEN {usable} THEN 1D END AS move",
     )
-    for _ in range(MAX_ROUNDS):
+    while True:
         for _ in range(STEPS_PER_ROUND):
             coefs = _newton_step(points, coefs, list(keys))
         coefs = cut_lineage(coefs)
         if (coefs.agg(F.max("move")).first()[0] or 0.0) < TOLERANCE:
             break
     return coefs.selectExpr(
-        *k, "a - b / sx * mx AS intercept", "b / sx AS slope", f"move < {TOLERANCE!r}D AS converged"
+        *k, "a - b / sx * mx AS intercept", "b / sx AS slope", f"coalesce(move < {TOLERANCE!r}D, false) AS converged"
     )
 
 
+_STATE = ("mx", "sx", "a", "b", "best_a", "best_b", "best")
+# sum of w * ln(p) without overflow, t the log odds
+_LIKELIHOOD = "sum(-w1 * greatest(-t, 0D) - w0 * greatest(t, 0D) - n * log1p(exp(-abs(t))))"
+
+
 def _newton_step(points: DataFrame, coefs: DataFrame, keys: list[str]) -> DataFrame:
     """One step for every key; coefficients ride along, so a step is one join and one aggregation."""
     rows = attach(points, coefs, keys).selectExpr(
-        *map(quoted, keys), "mx", "sx", "a", "b", "w1", "w1 + w0 AS n", "(x - mx) / sx AS z"
+        *map(quoted, keys), *_STATE, "w1", "w0", "w1 + w0 AS n", "(x - mx) / sx AS z"
     )
-    rows = rows.withColumn("p", F.expr(_SIGMOID.format("a + b * z")))
+    rows = rows.withColumn("t", F.expr("a + b * z")).withColumn("p", F.expr(_SIGMOID.format("t")))
     sums = rows.groupBy(*keys).agg(
-        *[F.expr(f"first({c}) AS {c}") for c in ("mx", "sx", "a", "b")],
+        *[F.expr(f"first({c}) AS {c}") for c in _STATE],
         F.expr("sum(w1 - n * p) AS g0"),
         F.expr("sum((w1 - n * p) * z) AS g1"),
         F.expr("sum(n * p * (1D - p)) AS h00"),
         F.expr("sum(n * p * (1D - p) * z) AS h01"),
         F.expr("sum(n * p * (1D - p) * z * z) AS h11"),
+        F.expr(f"{_LIKELIHOOD} AS now"),
     )
     det = "(h00 * h11 - h01 * h01)"
     step = sums.selectExpr(
         *map(quoted, keys),
-        "mx",
-        "sx",
-        "a",
-        "b",
+        *_STATE,
+        "now",
+        "best IS NULL OR now >= best - 1e-13D * abs(best) AS better",
+        "best IS NOT NULL AND abs(now - best) <= 1e-13D * abs(best) AS level",
         f"try_divide(g0 * h11 - g1 * h01, {det}) AS da",
         f"try_divide(h00 * g1 - h01 * g0, {det}) AS db",
-    ).withColumn("move", F.expr("sqrt(da * da + db * db)"))
-    damp = "CASE WHEN move > 4D THEN 4D / move ELSE 1D END"
+    ).withColumn("far", F.expr("sqrt(da * da + db * db)"))
+    damp = "CASE WHEN far > 4D THEN 4D / far ELSE 1D END"
+    # what stands level with the best and would hardly move is done
+    move = "CASE WHEN NOT better THEN sqrt((a - best_a) * (a - best_a) + (b - best_b) * (b - best_b)) / 2 WHEN level AND far < 1e-6D THEN 0D ELSE far END"
     return step.selectExpr(
-        *map(quoted, keys), "mx", "sx", f"a + {damp} * da AS a", f"b + {damp} * db AS b", "move"
+        *map(quoted, keys),
+        "mx",
+        "sx",
+        f"CASE WHEN better THEN a + {damp} * da ELSE (a + best_a) / 2 END AS a",
+        f"CASE WHEN better THEN b + {damp} * db ELSE (b + best_b) / 2 END AS b",
+        "IF(better, a, best_a) AS best_a",
+        "IF(better, b, best_b) AS best_b",
+        "IF(better, now, best) AS best",
+        f"{move} AS move",
     )
 
 
@@ -124,7 +143,7 @@ def bin_edges(base: DataFrame, keys: Sequence[str], transform: str | None, n_bin
     Bins narrower than 1e-8 are merged; the first and last bin are open.
     """
     rows = base.where(f"{_inside(transform)} AND {W} > 0").withColumn("x", F.expr(TRANSFORMS[transform]))
-    q = exact_quantiles(rows, keys, "x", [i / n_bins for i in range(n_bins + 1)])
+    q = exact_quantiles(rows, keys, "x", [i / n_bins for i in range(n_bins + 1)], C)
     wide = f"filter(slice(q, 2, {n_bins}), (e, i) -> e - q[i] > {BIN_ATOL!r}D)"
     q = q.withColumn("ends", F.expr(wide))
     return q.selectExpr(

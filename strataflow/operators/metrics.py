@@ -2,15 +2,19 @@
 
 Metrics come in families that share one pass: sums over rows, fixed cut
 points, ranks over distinct scores, and binned calibration. Every metric takes
-weights, so a bootstrap replicate is one more stratum with other weights.
+weights and counts, so a bootstrap replicate is one more stratum: a count says how
+often a row is there, which also moves quantile edges; a weight only weighs it.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from strataflow.functions.scalar import CLIP, ratio
 from strataflow.operators.running import ALL, attach, exact_quantiles, quoted, running_sums, score_bucket
@@ -24,7 +28,7 @@ FIXED_THRESHOLDS = (0.01, 0.05, 0.1, 0.2, 0.5)
 AUC_UNDEFINED = -1.0
 LOSS_UNDEFINED = 1e18
 
-Y, P, W, T = "__y", "__p", "__w", "__t"
+Y, P, W, T, C = "__y", "__p", "__w", "__t", "__c"
 
 
 def prepare(
@@ -35,14 +39,20 @@ def prepare(
     weight: str | None = None,
     threshold: str | None = None,
     keep: Sequence[str] = (),
+    count: str | None = None,
 ) -> DataFrame:
-    """Strata, label, score, weight under fixed names; rows without a stratum or score are left out."""
+    """Strata, label, score, weight, count under fixed names; rows without a stratum or score are left out.
+
+    ``count`` names the column that says how many rows a row stands for; ``weight`` is that of each.
+    """
+    times = f" * CAST({quoted(count)} AS DOUBLE)" if count else ""
     out = df.selectExpr(
         *map(quoted, strata),
         *[quoted(k) for k in keep if k not in strata],
         f"CAST({quoted(label)} AS INT) AS {Y}",
         f"CAST({quoted(pred)} AS DOUBLE) AS {P}",
-        f"CAST({quoted(weight)} AS DOUBLE) AS {W}" if weight else f"1D AS {W}",
+        (f"CAST({quoted(weight)} AS DOUBLE)" if weight else "1D") + f"{times} AS {W}",
+        f"CAST({quoted(count)} AS BIGINT) AS {C}" if count else f"1L AS {C}",
         *([f"CAST({quoted(threshold)} AS DOUBLE) AS {T}"] if threshold else []),
     )
     tests = [f"{P} IS NOT NULL", f"NOT isnan({P})", f"{Y} IS NOT NULL", *[f"{quoted(s)} IS NOT NULL" for s in strata]]
@@ -132,13 +142,17 @@ NEGATIVE = f"CASE WHEN {Y} = 1 THEN 0D ELSE {W} END"
 
 
 def score_points(base: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key and distinct score with positive and negative weight."""
-    return base.groupBy(*keys, P).agg(F.expr(f"sum({POSITIVE}) AS pos"), F.expr(f"sum({NEGATIVE}) AS neg"))
+    """One row per key and distinct score with positive and negative weight and row counts."""
+    rows = [f"sum(CASE WHEN {'' if y else 'NOT '}({Y} = 1) THEN {C} ELSE 0L END) AS c{n}" for y, n in ((1, "pos"), (0, "neg"))]
+    sums = [f"sum({POSITIVE}) AS pos", f"sum({NEGATIVE}) AS neg", *rows]
+    return base.groupBy(*keys, P).agg(*[F.expr(s) for s in sums])
 
 
 def point_rows(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Points as weighted rows again, one per score and label: all metrics but those of a threshold column."""
-    return points.selectExpr(*map(quoted, keys), P, f"stack(2, 1, pos, 0, neg) AS ({Y}, {W})").where(f"{W} > 0")
+    return points.selectExpr(
+        *map(quoted, keys), P, f"stack(2, 1, pos, cpos, 0, neg, cneg) AS ({Y}, {W}, {C})"
+    ).where(f"{C} > 0")
 
 
 def rank_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -182,7 +196,7 @@ def equal_width_bins(base: DataFrame, keys: Sequence[str], n_bins: int = 10) ->
 
 def quantile_bins(base: DataFrame, keys: Sequence[str], n_bins: int = 10) -> DataFrame:
     """Add ``bin``: right-closed bins between unweighted quantiles; NULL when edges coincide."""
-    edges = exact_quantiles(base, keys, P, [i / n_bins for i in range(n_bins + 1)])
+    edges = exact_quantiles(base, keys, P, [i / n_bins for i in range(n_bins + 1)], C)
     place = " + ".join(f"CAST({P} > q[{i}] AS INT)" for i in range(1, n_bins))
     return attach(base, edges.drop("n"), keys).selectExpr(
         *map(quoted, base.columns), f"CASE WHEN size(array_distinct(q)) = {n_bins + 1} THEN {place} END AS bin"
@@ -253,7 +267,7 @@ def known_metrics() -> list[str]:
 def evaluate_prepared(
     base: DataFrame, metrics: Sequence[str], strata: Sequence[str] = ()
 ) -> DataFrame:
-    """Metrics of a prepared frame; names that are not known are left out."""
+    """Metrics of a prepared frame; names that are not known are left out, with a warning."""
     from strataflow.operators import calibration
 
     strata = list(strata)
@@ -275,6 +289,8 @@ def evaluate_prepared(
             at = _at_threshold(m)
             if at is not None:
                 rows[m] = at
+            elif m not in THRESHOLD_METRICS:
+                warnings.warn(f"metric {m!r} is not known and left out", stacklevel=3)
     parts = []
     if rows:
         wide = base.groupBy(*keys).agg(*[F.expr(f"{e} AS `{n}`") for n, e in rows.items()])
@@ -304,6 +320,7 @@ def evaluate(
     pred: str = "pred_probs",
     weight: str | None = None,
     threshold: str | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """``metric, strata..., performance`` for every stratum.
 
@@ -314,7 +331,7 @@ def evaluate(
     names = list(metrics)
     if threshold and not any(m in THRESHOLD_METRICS for m in names):
         names += DEFAULT_THRESHOLD_METRICS
-    return evaluate_prepared(prepare(df, strata, label, pred, weight, threshold), names, strata)
+    return evaluate_prepared(prepare(df, strata, label, pred, weight, threshold, count=count), names, strata)
 
 
 def clean_results(results: DataFrame) -> DataFrame:
@@ -328,37 +345,37 @@ def clean_results(results: DataFrame) -> DataFrame:
 def custom_metric(
     df: DataFrame,
     name: str,
-    fn: Callable,
+    state: Callable,
+    finish: Callable,
     strata: Sequence[str] = (),
     label: str = "labels",
     pred: str = "pred_probs",
     weight: str | None = None,
-    max_rows: int = 5_000_000,
 ) -> DataFrame:
-    """A user function ``fn(labels, pred_probs, sample_weight) -> float`` per stratum.
+    """A user's own metric with mergeable state.
 
-    The function sees a whole stratum as arrays, so this is for strata that fit
-    a task: equal (label, score) rows are merged into weights first, and a
-    stratum with more than ``max_rows`` distinct pairs is refused, not cut.
-    Metrics that are sums belong in ``register_row_metric``.
+    ``state(labels, pred_probs, sample_weight)`` gives the same few numbers for any
+    rows; they are added over all parts of a stratum, and ``finish(sums)`` is its value.
+    No task ever holds a whole stratum. What is one SQL sum belongs in ``register_row_metric``.
     """
-    import pandas as pd
-    from pyspark.sql import types as ST
-
     base, keys = keyed(prepare(df, strata, label, pred, weight), strata)
-    merged = base.groupBy(*keys, Y, P).agg(F.sum(W).alias(W))
-    sizes = merged.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if sizes > max_rows:
-        raise ValueError(f"a stratum has {sizes} distinct rows, more than {max_rows}")
-    fields = [merged.schema[k] for k in keys]
-    schema = ST.StructType([*fields, ST.StructField("performance", ST.DoubleType())])
-
-    def run(key, pdf):
-        value = fn(pdf[Y].to_numpy(), pdf[P].to_numpy(), pdf[W].to_numpy())
-        return pd.DataFrame([[*key, float(value)]], columns=[*keys, "performance"])
-
-    out = merged.groupBy(*keys).applyInPandas(run, schema)
-    return out.select(F.lit(name).alias("metric"), *strata, "performance")
+    fields = [base.schema[k] for k in keys]
+    schema = ST.StructType([*fields, ST.StructField("state", ST.ArrayType(ST.DoubleType()))])
+
+    def partial(parts):
+        for pdf in parts:
+            for key, rows in pdf.groupby(keys, sort=False):
+                sums = state(rows[Y].to_numpy(), rows[P].to_numpy(), rows[W].to_numpy())
+                yield pd.DataFrame([[*key, [float(x) for x in sums]]], columns=[*keys, "state"])
+
+    def value(sums: pd.Series) -> pd.Series:
+        return pd.Series([float(finish(s)) for s in sums], dtype="float64")
+
+    parts = base.mapInPandas(partial, schema).select(*keys, F.posexplode("state").alias("at", "x"))
+    added = parts.groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    whole = added.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))
+    performance = F.pandas_udf(value, "double")(F.transform("s", lambda e: e["x"]))
+    return whole.select(F.lit(name).alias("metric"), *strata, performance.alias("performance"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

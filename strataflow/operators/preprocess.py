@@ -154,17 +154,20 @@ class QuantileBinsModel(Model, _Step):
 
 
 class OneHotColumns(Estimator, _Step):
-    """One 0/1 column per column and category; unknown categories give all zeros."""
+    """One 0/1 column per column and category; unknown categories give all zeros.
+
+    The categories become column names, so their number is that of the output's
+    columns; ``one_hot_long`` gives the same as rows, for any number of them.
+    """
 
     @keyword_only
-    def __init__(self, include=(), exclude=(), categories=None, drop=None, max_categories=1000):
+    def __init__(self, include=(), exclude=(), categories=None, drop=None):
         super().__init__()
         self._put(
             include=list(include),
             exclude=list(exclude),
             categories=categories or {},
             drop=drop,
-            max_categories=max_categories,
         )
 
     def _fit(self, df):
@@ -173,10 +176,7 @@ class OneHotColumns(Estimator, _Step):
         found = {n: list(map(str, p["categories"][n])) for n in names if n in p["categories"]}
         open_names = [n for n in names if n not in found]
         if open_names:
-            limit = p["max_categories"] * len(open_names)
-            rows = category_counts(df, open_names).select("feature_id", "category").limit(limit + 1).collect()
-            if len(rows) > limit:
-                raise ValueError(f"more than {p['max_categories']} categories per column on average")
+            rows = category_counts(df, open_names).select("feature_id", "category").collect()
             for n in open_names:
                 found[n] = sorted(r["category"] for r in rows if r["feature_id"] == n)
         if p["drop"] == "first":
@@ -221,6 +221,23 @@ def category_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
+def category_vocabulary(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``feature_id, category, idx``: every category of the columns with a dense index, as a table."""
+    from strataflow.operators.features import vocabulary
+
+    words = category_counts(df, names).select(F.to_json(F.array("feature_id", "category")).alias("feature_id"))
+    parts = F.from_json("feature_id", "array<string>")
+    return vocabulary(words).select(parts[0].alias("feature_id"), parts[1].alias("category"), "idx")
+
+
+def one_hot_long(df: DataFrame, names: Sequence[str], vocabulary: DataFrame, id_col: str = "subject_id") -> DataFrame:
+    """``id, idx``: the ones of each row, by the fitted vocabulary; unknown categories give none."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("n"), category_text(_c(n)).alias("v")) for n in names])
+    rows = df.select(id_col, F.explode(pairs).alias("p"))
+    rows = rows.select(id_col, F.col("p.n").alias("feature_id"), F.col("p.v").alias("category"))
+    return rows.join(vocabulary, ["feature_id", "category"]).select(id_col, "idx")
+
+
 def quantile_edges_long(long: DataFrame, n_bins: int = 5, digits: int = 4) -> DataFrame:
     """``feature_id, n, edges``: exact inner cut points, rounded."""
     probs = [i / n_bins for i in range(1, n_bins)]

@@ -64,14 +64,18 @@ def results_table(
 ) -> DataFrame:
     """Text table: one row per ``index``, one column per listed combination of ``columns``.
 
-    Missing column values count as a blank; the list keeps the report order.
+    Missing column values count as a blank; the list keeps the report order. Two rows
+    for one cell are refused.
     """
     out = performance_text(df)
     for col, mapping in (labels or {}).items():
         out = out.withColumn(col, remap(F.col(col), mapping))
     heading = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in columns])
     names = [" | ".join(str(v) for v in cell) for cell in cells]
-    wide = out.withColumn("__h", heading).groupBy(*index).pivot("__h", names).agg(F.first("Performance"))
+    twice = F.raise_error(F.concat(F.lit("more than one value for the cell "), F.col("__h"))).cast("string")
+    single = F.when(F.count("*") > 1, twice).otherwise(F.first("Performance")).alias("Performance")
+    cell = out.withColumn("__h", heading).groupBy(*index, "__h").agg(single)
+    wide = cell.groupBy(*index).pivot("__h", names).agg(F.first("Performance"))
     return wide.na.fill(" ", names)
 
 

@@ -107,14 +107,18 @@ def hash_ranks(df: DataFrame, keys: Sequence[str], order_hash: str, tie: Sequenc
     return ranked.selectExpr(*map(quoted, columns), "before___one AS rank0", "total___one AS n")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], count: str = "1L"
+) -> DataFrame:
     """Exact quantiles with linear interpolation: columns ``keys, n, q`` (array in ``probs`` order).
 
+    ``count`` is SQL text: how many rows a row stands for.
+
     ``percentile`` keeps all distinct values of a group in one buffer; this
     keeps one row per distinct value, spread over tasks.
     """
     keys, v = list(keys), quoted(value)
-    ranked = score_table(df.where(f"{v} IS NOT NULL AND NOT isnan({v})"), keys, value, {"cnt": "1L"})
+    ranked = score_table(df.where(f"{v} IS NOT NULL AND NOT isnan({v})"), keys, value, {"cnt": count})
     aggs, parts = ["max(total_cnt) AS n"], []
     for i, p in enumerate(probs):
         pos = f"(total_cnt - 1) * {float(p)!r}D"

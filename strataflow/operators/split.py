@@ -36,8 +36,9 @@ def stratified_split(
 
 def check_folds(folds: DataFrame, id_col: str, fold_col: str, needed: Sequence[str] = tuple(FOLDS)) -> None:
     """Every fold is there and no id lies in two folds."""
-    present = {r[0] for r in folds.select(fold_col).distinct().limit(100).collect()}
-    missing = set(needed) - present
+    # at most one row per fold that is asked for
+    present = folds.where(F.col(fold_col).isin(*needed)).select(fold_col).distinct().collect()
+    missing = set(needed) - {r[0] for r in present}
     if missing:
         raise ValueError(f"folds missing: {sorted(missing)}")
     twice = folds.groupBy(id_col).agg(F.countDistinct(fold_col).alias("n")).where(F.col("n") > 1)
@@ -203,6 +204,17 @@ def long_to_sparse(long: DataFrame, vocabulary: DataFrame, size: int, id_col: st
     return pairs.select(id_col, as_vector("p").alias("features"))
 
 
+def sparse_for_all(
+    rows: DataFrame, long: DataFrame, vocabulary: DataFrame, size: int, id_col: str = "subject_id"
+) -> DataFrame:
+    """Each row of ``rows`` with its vector; one without features gets an empty vector."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    filled = F.udf(lambda x: x if x is not None else SparseVector(size, [], []), VectorUDT())
+    joined = rows.join(long_to_sparse(long, vocabulary, size, id_col), id_col, "left")
+    return joined.withColumn("features", filled("features"))
+
+
 def stack_folds(parts: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
     """Folds in one table keyed by ``(fold_id, id)``."""
     out = None

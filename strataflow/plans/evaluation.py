@@ -219,15 +219,17 @@ def _(v):
 SELECT 'balanced_error' AS metric, {q(PG)}, {r(f"1 - ({threshold_sql('sensitivity', 'pred_probs >= 0.5::DOUBLE')} + {threshold_sql('specificity', 'pred_probs >= 0.5::DOUBLE')}) / 2")} AS performance
 FROM {PRED} GROUP BY {q(PG)}""")
 def _(v):
-    """A user's own function over arrays, per stratum."""
+    """A user's own function: sums over any part of a stratum, and what they come to."""
 
-    def balanced_error(labels, scores, weights):
+    def counts(labels, scores, weights):
         called = scores >= 0.5
-        se = (weights * (called & (labels == 1))).sum() / (weights * (labels == 1)).sum()
-        sp = (weights * (~called & (labels == 0))).sum() / (weights * (labels == 0)).sum()
-        return 1 - (se + sp) / 2
+        right = [(weights * ((labels == y) & (called == y))).sum() for y in (1, 0)]
+        return [*right, *[(weights * (labels == y)).sum() for y in (1, 0)]]
 
-    return M.custom_metric(v.predictions(), "balanced_error", balanced_error, PG)
+    def balanced_error(s):
+        return 1 - (s[0] / s[2] + s[1] / s[3]) / 2
+
+    return M.custom_metric(v.predictions(), "balanced_error", counts, balanced_error, PG)
 
 
 # --- fairness ---------------------------------------------------------------

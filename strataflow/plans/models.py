@@ -14,12 +14,15 @@ from strataflow.sources import tables as IO
 
 
 def training_frame(v):
-    """Folds with sparse feature vectors; also the vocabulary size."""
-    long = wide_long(v)
-    vocab = cut_lineage(X.vocabulary(long))
+    """Folds with sparse feature vectors; also the vocabulary size.
+
+    Words are those of the training fold; patients without any keep an empty vector.
+    """
+    long, rows = wide_long(v), cut_lineage(folds(v))
+    train = long.join(part(rows, "train").select("subject_id"), "subject_id", "left_semi")
+    vocab = cut_lineage(X.vocabulary(train))
     size = vocab.count()
-    data = folds(v).join(S.long_to_sparse(long, vocab, size), "subject_id")
-    return cut_lineage(data), size
+    return cut_lineage(S.sparse_for_all(rows, long, vocab, size)), size
 
 
 def part(data, *names):

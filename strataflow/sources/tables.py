@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# literals, quoted names and comments of a script: a semicolon inside ends nothing
+_PIECES = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^'"`;/-]+|.""", re.S
+)
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script without its comments."""
+    out = [""]
+    for piece in _PIECES.findall(script):
+        if piece == ";":
+            out.append("")
+        elif not piece.startswith(("--", "/*")):
+            out[-1] += piece
+    return [s.strip() for s in out if s.strip()]
 
 
 def run_sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
@@ -19,9 +35,8 @@ def run_sql_file(spark: SparkSession, path: str) -> DataFrame | None:
     """Run a script of ``;``-separated statements; the last result is returned."""
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     out = None
-    for statement in (s.strip() for s in text.split(";")):
-        if statement:
-            out = spark.sql(statement)
+    for statement in statements(text):
+        out = spark.sql(statement)
     return out
 
 
@@ -53,9 +68,10 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def save_bundle(folds: DataFrame, path: str, analysis_id: str, dataset: str) -> str:
-    """One table of all folds, laid out by task, dataset and fold."""
+    """One table of all folds, laid out by task, dataset and fold; folders written before are replaced."""
     out = folds.withColumns({"analysis_id": F.lit(analysis_id), "dataset": F.lit(dataset)})
-    out.write.mode("append").partitionBy("analysis_id", "dataset", "fold_id").parquet(path)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("analysis_id", "dataset", "fold_id").parquet(path)
     return path
 
 
@@ -67,18 +83,15 @@ def load_bundle(spark: SparkSession, path: str, analysis_id: str, dataset: str,
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished result lies at the path, on any file system Spark can reach."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path) is not None
-    except AnalysisException:
-        return False
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def read_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """Stored result if there is one, else compute, store and read back."""
     if not path_exists(spark, path):
-        compute().write.mode("errorifexists").parquet(path)
+        # what an unfinished write left there is replaced
+        compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

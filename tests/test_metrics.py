@@ -188,13 +188,31 @@ def test_emd_without_rows_of_the_label_is_marked(spark):
     assert got[("emd_1_ova", 0)] == -1.0 and got[("emd_1_ova", 1)] == 0.0
 
 
-def test_custom_metric_refuses_large_strata(spark):
-    y, p, _, _ = sample(7)
-    df = frame(spark, y, p)
-    got = M.custom_metric(df, "rate", lambda labels, scores, w: (labels * w).sum() / w.sum()).first()
+def test_custom_metric_adds_up_its_parts(spark):
+    y, p, _, g = sample(7)
+    df = frame(spark, y, p, None, g).repartition(5)
+    state = lambda labels, scores, w: [(labels * w).sum(), w.sum()]
+    got = M.custom_metric(df, "rate", state, lambda s: s[0] / s[1]).first()
     assert got["performance"] == pytest.approx(y.mean())
-    with pytest.raises(ValueError):
-        M.custom_metric(df, "rate", lambda *a: 0.0, max_rows=10)
+    by = values(M.custom_metric(df, "rate", state, lambda s: s[0] / s[1], ["group"]), "group")
+    assert all(by[("rate", k)] == pytest.approx(y[g == k].mean()) for k in range(3))
+
+
+def test_metrics_do_not_depend_on_their_company(spark):
+    y, p, _, _ = sample(8)
+    df = frame(spark, y, p.round(1))
+    names = ["ece_q_abs", "ece_abs", "ace_abs_bin_none", "ace_rmse_bin_log", "ace_abs_logistic_log", "brier"]
+    alone = {n: M.evaluate(df, [n]).first()["performance"] for n in names}
+    both = {r["metric"]: r["performance"] for r in M.evaluate(df, [*names, "auc", "auprc"]).collect()}
+    for n in names:
+        assert alone[n] == pytest.approx(both[n]), n
+    with pytest.warns(UserWarning, match="auk"):
+        assert M.evaluate(df, ["brier", "auk"]).count() == 1
+
+
+def test_separable_strata_have_no_curve(spark):
+    df = frame(spark, [0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9])
+    assert M.evaluate(df, ["ace_abs_logistic_log"]).first()["performance"] is None
 
 
 def test_register_row_metric(spark):

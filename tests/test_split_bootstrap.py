@@ -134,14 +134,12 @@ def test_quantile_bins(spark):
     assert got[25] == 1 + sum(e <= 25 for e in edges)
 
 
-def test_one_hot_unknown_and_limits(spark):
+def test_one_hot_unknown(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "subject_id long, kind string")
     b = spark.createDataFrame([(3, "new"), (4, "x")], "subject_id long, kind string")
     model = PP.OneHotColumns(include=["kind"]).fit(a)
     assert model.output_columns() == ["kind_None", "kind_x"]
     assert sorted(map(tuple, model.transform(b).collect())) == [(3, 0, 0), (4, 0, 1)]
-    with pytest.raises(ValueError):
-        PP.OneHotColumns(include=["kind"], max_categories=1).fit(a)
     fixed = PP.OneHotColumns(include=["kind"], categories={"kind": ["x", "new"]}, drop="first").fit(a)
     assert fixed.output_columns() == ["kind_new"]
 
@@ -236,6 +234,73 @@ def test_default_metrics_of_a_replicate_equal_those_of_its_rows(spark):
         assert got[key] == pytest.approx(value, abs=1e-9)
 
 
+def test_every_metric_of_a_replicate_equals_that_of_its_rows(spark):
+    """With ties, fixed and quantile bins, fitted curves and a sample weight."""
+    from strataflow.operators import metrics as M
+
+    rng = np.random.default_rng(6)
+    p = rng.uniform(0.03, 0.97, 240).round(2)
+    pdf = pd.DataFrame({"ids": np.arange(240), "phase": "test", "pred_probs": p, "w": rng.uniform(0.5, 2, 240)})
+    pdf["labels"] = (rng.uniform(size=240) < p).astype(int)
+    df = spark.createDataFrame(pdf)
+    names = [m for m in M.known_metrics() if m not in M.THRESHOLD_METRICS]
+    got = B.bootstrap(df, 2, ["phase"], metrics=names, weight="w").toPandas().set_index(["boot_iter", "metric"]).performance
+    drawn = B.resample_counts(df, ["phase"], ["ids"], 2)
+    repeated = drawn.selectExpr("boot_iter", "labels", "pred_probs", "w", "explode(sequence(1, CAST(boot_weight AS INT)))")
+    want = M.evaluate(repeated, names, ["boot_iter"], weight="w").toPandas().set_index(["boot_iter", "metric"]).performance
+    assert set(got.index) == set(want.index) and len(want) == 2 * len(names)
+    for key, value in want.items():
+        assert (pd.isna(got[key]) and pd.isna(value)) or got[key] == pytest.approx(value, abs=1e-9), key
+
+
+def test_replicates_of_any_number(spark):
+    df = spark.range(50).selectExpr("id AS ids", "'a' AS phase")
+    late = B.resample_counts(df, ["phase"], ["ids"], 2, first=2**20 + 5)
+    assert {r["boot_iter"] for r in late.collect()} == {2**20 + 5, 2**20 + 6}
+    assert late.groupBy("boot_iter").agg(F.sum("boot_weight").alias("n")).where("n <> 50").count() == 0
+
+
+def test_folds_among_many_others(spark):
+    names = [f"other{i}" for i in range(400)] + ["train", "val", "test"]
+    folds = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "subject_id long, fold_id string")
+    S.check_folds(folds, "subject_id", "fold_id")
+    with pytest.raises(ValueError):
+        S.check_folds(folds.where("fold_id <> 'val'"), "subject_id", "fold_id")
+
+
+def test_categories_without_a_limit(spark):
+    df = spark.range(3000).selectExpr("id AS subject_id", "CAST(id % 1500 AS STRING) AS kind", "IF(id = 7, NULL, 'x') AS other")
+    model = PP.OneHotColumns(include=["kind"]).fit(df.limit(1500))
+    assert len(model.output_columns()) == 1500
+    words = PP.category_vocabulary(df, ["kind", "other"])
+    assert words.count() == 1502 and words.agg(F.max("idx")).first()[0] == 1501
+    ones = PP.one_hot_long(df, ["kind", "other"], words)
+    assert ones.count() == 6000 and ones.groupBy("subject_id").count().where("count <> 2").count() == 0
+
+
+def test_scripts_bundles_and_unfinished_results(spark, tmp_path):
+    script = "SELECT 'a;b' AS x; -- no; end\n/* ; */ SELECT `x;` FROM (SELECT 2 AS `x;`)"
+    assert IO.statements(script) == ["SELECT 'a;b' AS x", "SELECT `x;` FROM (SELECT 2 AS `x;`)"]
+    folds = spark.createDataFrame([(1, "train"), (2, "val")], "id long, fold_id string")
+    path = str(tmp_path / "bundle")
+    for _ in range(2):
+        IO.save_bundle(folds, path, "a", "d")
+    assert IO.load_bundle(spark, path, "a", "d").count() == 2
+    cache = str(tmp_path / "cache")
+    spark.range(5).write.parquet(cache)
+    (tmp_path / "cache" / "_SUCCESS").unlink()
+    assert not IO.path_exists(spark, cache)
+    assert IO.read_or_compute(spark, cache, lambda: spark.range(3)).count() == 3 and IO.path_exists(spark, cache)
+
+
+def test_nobody_is_lost_from_training(spark):
+    rows = spark.createDataFrame([(1, "train"), (2, "val"), (3, "test")], "subject_id long, fold_id string")
+    long = spark.createDataFrame([(1, "f", 2.0), (2, "g", 1.0)], "subject_id long, feature_id string, feature_val double")
+    words = spark.createDataFrame([("f", 0)], "feature_id string, idx int")
+    got = {r["subject_id"]: r["features"].toArray().tolist() for r in S.sparse_for_all(rows, long, words, 1).collect()}
+    assert got == {1: [2.0], 2: [0.0], 3: [0.0]}
+
+
 def test_one_stratum_holds_most_rows(spark):
     """Ranks of a hot stratum are dense and complete; no window sorts it whole."""
     from strataflow.functions.hashing import hash_key
