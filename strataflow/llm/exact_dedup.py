@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.batches import slices
-from strataflow.llm.bitmaps import maybe_in
 from strataflow.session import scratch_path
 
 #: Bits of a fingerprint. Equal ones of different texts only cost a comparison.
 BITS = 48
 #: Rows whose fingerprints one sender sorts together.
 SENDER_ROWS = 65_536
+#: The suspects' bit map has 2 ** MAP_BITS bits: 2 MB, whatever the number of rows.
+MAP_BITS = 24
 
 # --- Golomb-Rice codes of sorted numbers
 
@@ -66,7 +67,7 @@ def decode_gaps(n: int, width: int, quotients: bytes, remainders: bytes) -> np.n
 
 _PRINTS = (
     "kind string, sender bigint, owner int, n int, width int, quotients binary, remainders binary, several binary,"
-    " row_no bigint, place int, doc_id bigint, text_sha256 string"
+    " row_no bigint, place int, doc_id bigint, text_sha256 string, text_key bigint"
 )
 _SCHEMA = pa.schema(
     [
@@ -82,6 +83,7 @@ _SCHEMA = pa.schema(
         ("place", pa.int32()),
         ("doc_id", pa.int64()),
         ("text_sha256", pa.string()),
+        ("text_key", pa.int64()),
     ]
 )
 
@@ -93,7 +95,7 @@ def _filled(length: int, **columns) -> pa.RecordBatch:
     )
 
 
-def _send(sender: int, ids: list, digests: list[bytes], owners: int) -> Iterator[pa.RecordBatch]:
+def _send(sender: int, ids: list, keys: list, digests: list[bytes], owners: int) -> Iterator[pa.RecordBatch]:
     """A sender's rows with the place of each one's fingerprint, and its message to each owner."""
     prints = np.frombuffer(b"".join(d[:8] for d in digests), ">u8") >> np.uint64(64 - BITS)
     prints = prints.astype(np.int64)
@@ -111,6 +113,7 @@ def _send(sender: int, ids: list, digests: list[bytes], owners: int) -> Iterator
         place=place[back],
         doc_id=ids,
         text_sha256=[d.hex() for d in digests],
+        text_key=keys,
     )
     used = np.flatnonzero(np.diff(first))
     packed = [encode_gaps(unique[first[o] : first[o + 1]] - -(-(int(o) << BITS) // owners) + 1) for o in used]
@@ -133,18 +136,63 @@ def fingerprints(docs: DataFrame, owners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
         ids: list = []
+        keys: list = []
         digests: list[bytes] = []
         for part, texts in slices(batches):
             ids += part.column("doc_id").to_pylist()
-            digests += [hashlib.sha256(t.encode().lower()).digest() for t in texts]  # bytes: A-Z alone
+            keys += part.column("text_key").to_pylist()
+            digests += [hashlib.sha256(_folded(t)).digest() for t in texts]
             while len(digests) >= SENDER_ROWS:
-                yield from _send(task << 24 | k, ids[:SENDER_ROWS], digests[:SENDER_ROWS], owners)
-                del ids[:SENDER_ROWS], digests[:SENDER_ROWS]
+                head = (ids[:SENDER_ROWS], keys[:SENDER_ROWS], digests[:SENDER_ROWS])
+                yield from _send(task << 24 | k, *head, owners)
+                del ids[:SENDER_ROWS], keys[:SENDER_ROWS], digests[:SENDER_ROWS]
                 k += 1
         if digests:
-            yield from _send(task << 24 | k, ids, digests, owners)
+            yield from _send(task << 24 | k, ids, keys, digests, owners)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PRINTS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _PRINTS)
+
+
+def _folded(text: str) -> bytes:
+    """UTF-8 with A-Z lower-cased, all else as it is."""
+    return text.encode().lower()
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``text_sha256, body`` of the texts whose digest may be in ``wanted``.
+
+    A bit map of fixed size, by the digest's first bits, keeps other texts out; few
+    pass beside those wanted, and an exact join follows.
+    """
+    spot = F.conv(F.substring("text_sha256", 1, MAP_BITS // 4), 16, 10).cast("bigint") + 1
+    parts = (
+        wanted.select(spot.alias("spot"))
+        .groupBy(F.bitmap_bucket_number("spot").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+        .collect()  # at most 2 ** MAP_BITS bits
+    )
+    marks = np.zeros(1 << MAP_BITS - 3, np.uint8)
+    for r in parts:
+        at = (r["part"] - 1) * len(r["bits"])
+        marks[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches):
+            found: list[tuple[str, bytes]] = []
+            for t in texts:
+                body = _folded(t)
+                digest = hashlib.sha256(body).digest()
+                n = int.from_bytes(digest[:4], "big") >> 32 - MAP_BITS
+                if marks[n >> 3] >> (n & 7) & 1:
+                    found.append((digest.hex(), body))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "text_sha256": pa.array([d for d, _ in found], pa.string()),
+                    "body": pa.array([b for _, b in found], pa.binary()),
+                }
+            )
+
+    return docs.select("text").mapInArrow(run, "text_sha256 string, body binary")
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,14 +208,8 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "bitmap": bitmaps})
 
 
-def normalised(text: str = "text"):
-    """A-Z lower-cased, all else as it is."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower())
-
-
 def deduplicate(docs: DataFrame, owners: int | None = None) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256``: one row per row of ``docs``."""
+    """``doc_id, keep_id, group_size, kept, text_sha256, text_key``: one row per row of ``docs``."""
     spark = docs.sparkSession
     owners = owners or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = scratch_path(spark, "fingerprints")
@@ -182,21 +224,18 @@ def deduplicate(docs: DataFrame, owners: int | None = None) -> DataFrame:
     )
     byte = "conv(hex(substring(bitmap, place DIV 8 + 1, 1)), 16, 10)"
     marked = (
-        rows.select("sender", "owner", "row_no", "place", "doc_id", "text_sha256")
+        rows.select("sender", "owner", "row_no", "place", "doc_id", "text_sha256", "text_key")
         .join(answers, ["sender", "owner"])
         .withColumn("suspect", F.expr(f"CAST({byte} AS INT) >> (7 - place % 8) & 1 = 1"))
         .drop("bitmap", "owner", "place")
     )
     alone = marked.where("NOT suspect").selectExpr(
-        "doc_id", "doc_id AS keep_id", "1L AS group_size", "true AS kept", "text_sha256"
+        "doc_id", "doc_id AS keep_id", "1L AS group_size", "true AS kept", "text_sha256", "text_key"
     )
     suspects = marked.where("suspect")
     # the suspects' texts, compared byte by byte: equal ones collapse in each task before they are sent
-    bodies = docs.select(normalised().alias("body")).withColumn("text_sha256", F.sha2("body", 256))
     wanted = suspects.select("text_sha256").distinct()
-    # a bit map of fixed size keeps other texts out of the shuffle; the join after it is exact
-    few = maybe_in(bodies, F.xxhash64("text_sha256"), wanted.select(F.xxhash64("text_sha256").alias("key")))
-    texts = few.join(wanted, "text_sha256", "left_semi")
+    texts = _bodies(docs, wanted).join(wanted, "text_sha256", "left_semi")
     equal = texts.groupBy("body", "text_sha256").agg(F.count("*").alias("group_size")).drop("body")
     # two texts of one digest would be two rows here: then the digest can't stand for the text, and the query says so
     sizes = equal.groupBy("text_sha256").agg(F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
@@ -216,22 +255,16 @@ def deduplicate(docs: DataFrame, owners: int | None = None) -> DataFrame:
         "group_size",
         "sender = stays.sender AND row_no = stays.row_no AS kept",
         "text_sha256",
+        "text_key",
     )
     return alone.unionByName(grouped)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are.
-
-    Rows are found again by doc_id and text digest; where one row of several with the
-    same id and text stays, one of them is taken.
-    """
-    decided = deduplicate(docs).where("doc_id <=> keep_id")
-    stay = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(
-        F.count("*").alias("__rows")
-    )
-    own = docs.withColumn("__sha", F.sha2(normalised(), 256))
-    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")))
-    once = kept.where("__rows = 1")
-    several = kept.where("__rows > 1").dropDuplicates(["doc_id", "__sha"])
-    return once.unionByName(several).select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns as they are; of repeated rows one."""
+    decided = deduplicate(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    stay = decided.agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows")).where("__kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    kept = docs.join(stay, same)
+    several = kept.where("__rows > 1").dropDuplicates(["doc_id", "text"])
+    return kept.where("__rows = 1").unionByName(several).select(*docs.columns)

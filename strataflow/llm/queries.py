@@ -111,7 +111,7 @@ def op8_bpe(spark, sf_dir):
     """,
 )
 def op9_exact_dedup(spark, sf_dir):
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op10_packing")
