@@ -2,7 +2,7 @@
 
 
 from strataflow.operators import bootstrap as B
-from strataflow.plans.evaluation import BEST_SQL
+from strataflow.plans.evaluation import BEST_SQL, ece_sql
 from strataflow.plans.registry import query, r
 from strataflow.plans.sqltext import draw_views, interval_sql, metrics_sql, q
 
@@ -31,6 +31,20 @@ def _(v):
     return B.bootstrap_ci(v.predictions(), N_BOOT, ["phase", "iter"], metrics=FAST + ["auprc"])
 
 
+REPEATED = ["boot_iter", "phase", "iter"]
+
+
+@query("bs_binned_calibration", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, {q(REPEATED)}, {r('ece_abs')} AS performance FROM ({ece_sql(m == 'ece_q_abs', 'repeated', REPEATED)})"
+    for m in ("ece_abs", "ece_q_abs")),
+    {**AVG_DRAWS, "repeated": "SELECT * EXCLUDE (k) FROM (SELECT *, unnest(range(1, w::BIGINT + 1)) AS k FROM drawn)"})
+def _(v):
+    """A row drawn several times counts as so many rows, in quantile edges too."""
+    return B.bootstrap(v.predictions(), N_BOOT, ["phase", "iter"], metrics=["ece_abs", "ece_q_abs", "auc"]).where(
+        "metric <> 'auc'"
+    )
+
+
 @query("bs_avg", two_level("drawn", ["boot_iter", "phase"]), AVG_DRAWS)
 def _(v):
     return B.evaluate_avg(v.predictions(), N_BOOT, metrics=FAST)

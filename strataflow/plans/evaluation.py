@@ -96,8 +96,8 @@ def _(v):
     return M.clean_results(M.evaluate(both, ["auc", "loss_bce", "brier"], ["group"]))
 
 
-def ece_sql(quantile: bool) -> str:
-    s = q(STRATA)
+def ece_sql(quantile: bool, src: str = "predictions", strata=None) -> str:
+    s = q(strata or STRATA)
     if quantile:
         place = " + ".join(f"(p > quantile_{i})::INTEGER" for i in range(1, 10))
         ends = ", ".join(f"quantile_cont(pred_probs, {i / 10}) AS quantile_{i}" for i in range(1, 10))
@@ -109,8 +109,8 @@ SELECT {s}, sum(n) AS n, sum(n * abs(d)) / sum(n) AS ece_abs, sqrt(sum(n * d * d
        sum(n * d) / sum(n) AS ece_signed, sum(n * d * d) / sum(n) AS ece_squared
 FROM (SELECT {s}, bin, count(*) AS n, avg(p) - avg(labels) AS d
       FROM (SELECT {s}, labels, p, {place} AS bin
-            FROM (SELECT *, pred_probs AS p FROM predictions) JOIN
-                 (SELECT {s}, {ends} FROM predictions GROUP BY {s}) USING ({s}))
+            FROM (SELECT *, pred_probs AS p FROM {src}) JOIN
+                 (SELECT {s}, {ends} FROM {src} GROUP BY {s}) USING ({s}))
       GROUP BY {s}, bin) GROUP BY {s}"""
 
 
@@ -127,6 +127,19 @@ def _(v):
     return M.evaluate(v.predictions(), ["ece_q_abs", "ece_q_rmse"], STRATA)
 
 
+TIED = "floor(pred_probs * 200) / 200"
+
+
+@query("ev_mixed_metrics", f"""
+SELECT 'ece_q_abs' AS metric, {q(STRATA)}, {r("ece_abs")} AS performance FROM ({ece_sql(True, "tied")})
+UNION ALL {metrics_sql(weighted("tied"), STRATA, ["auc", "auprc", "brier"])}""",
+       {"tied": f"SELECT * REPLACE ({TIED} AS pred_probs) FROM predictions"})
+def _(v):
+    """Quantile bins beside ranks on tied scores: no family changes with its company."""
+    df = v.predictions().withColumn("pred_probs", F.expr(TIED))
+    return M.evaluate(df, ["auc", "auprc", "brier", "ece_q_abs"], STRATA)
+
+
 @query("ev_ece_pointwise", f"""
 SELECT {q(STRATA)}, {r("sqrt(sum(w * (p - m) * (p - m)) / sum(w))")} AS performance FROM (
   SELECT *, sum(w * labels) OVER b / sum(w) OVER b AS m FROM (
