@@ -183,6 +183,13 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return tested.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node, and those pointed to point nowhere."""
+    ends = edges.selectExpr("u AS id", "1 AS out", "0 AS into").unionByName(edges.selectExpr("v AS id", "0 AS out", "1 AS into"))
+    ends = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``cid, component`` (its smallest cid) of all ends of ``links`` (a, b), by large and small stars.
 
@@ -190,8 +197,7 @@ def components(links: DataFrame) -> DataFrame:
     of very many links is no heavy group.
     """
     edges = cut_lineage(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct())
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v")
@@ -199,10 +205,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("IF(v = m, u, v) AS u", "m AS v").where("u > v")
         edges = cut_lineage(small.unionByName(least.selectExpr("u", "m AS v")).distinct())
-        now = edges.selectExpr("count(*) AS n", "sum(CAST(xxhash64(u, v) AS DECIMAL(38, 0))) AS s").first()
-        if now == before:
-            break
-        before = now
     return edges.selectExpr("u AS cid", "v AS component").unionByName(
         edges.selectExpr("v AS cid", "v AS component").distinct()
     )
@@ -327,13 +329,14 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = cut_lineage(blocks.unionByName(estimated(joined).select("a", "b")).distinct())
         new = found.where("a <> b").join(tested, ["a", "b"], "left_anti")
         new = cut_lineage(new.join(tested.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if found.where("a = b").isEmpty():
-                break
-        else:
-            links = cut_lineage(links.unionByName(_confirmed(docs, classes, new, percent)).distinct())
-            tested = cut_lineage(tested.unionByName(new))
+        confirmed = _confirmed(docs, classes, new, percent)
+        links = cut_lineage(links.unionByName(confirmed).distinct())
+        # all pairs of different components were brought up, unless a block says that it left some
+        if found.where("a = b").isEmpty():
+            break
+        tested = cut_lineage(tested.unionByName(new))
         most *= 8
+    labels = components(links)
     ids = classes.select("cid", "set_key", "doc_id").join(labels, "cid", "left")
     ids = ids.withColumn("component", F.coalesce("component", "cid"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
