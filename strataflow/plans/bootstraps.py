@@ -143,8 +143,9 @@ def _(v):
 DEMO = {"pred_demo": "SELECT p.*, d.insurance, d.gender, d.language FROM predictions p LEFT JOIN demographics d ON p.ids = d.ids"}
 
 
-def with_demographics(v):
-    return v.predictions().join(v.demographics, "ids", "left")
+def with_demographics(v, predictions=None):
+    rows = v.predictions() if predictions is None else predictions
+    return rows.join(v.demographics, "ids", "left")
 
 
 @query("jn_pred_demographics", f"""
@@ -160,6 +161,40 @@ def _(v):
     return B.evaluate_avg(with_demographics(v), N_BOOT, ["phase", "language"], FAST)
 
 
+def compared_by(src: str, by: str) -> tuple[str, dict]:
+    """Statement and views of a comparison within phase and one more column of ``src``."""
+    keys, name = ["phase", by], f"drawn_by_{by}"
+    views = draw_views(src, [*keys, "iter"], ["ids"], N_BOOT, name)
+    views[f"sides_by_{by}"] = f"""
+SELECT * EXCLUDE (pred_base, pred_test), 'base' AS side, pred_base AS pred_probs FROM {name}
+UNION ALL SELECT * EXCLUDE (pred_base, pred_test), 'test', pred_test FROM {name}"""
+    rows = two_level(f"sides_by_{by}", ["side", "boot_iter", *keys], rounded=False)
+    return difference(rows, ["boot_iter", *keys], "mean"), {**PAIRS, **views}
+
+
+BY_GROUP_SQL, BY_GROUP_VIEWS = compared_by("pairs", "group")
+
+
+@query("bs_compare_by_group", BY_GROUP_SQL, BY_GROUP_VIEWS)
+def _(v):
+    return B.compare_models(
+        v.predictions(), v.predictions(15485863), "avg", ["phase", "group"], n_boot=N_BOOT, metrics=FAST
+    )
+
+
+BY_LANGUAGE_SQL, BY_LANGUAGE_VIEWS = compared_by("pairs_demo", "language")
+
+
+@query("bs_compare_by_demographic", BY_LANGUAGE_SQL, {
+    "pairs": PAIRS["pairs"],
+    "pairs_demo": "SELECT p.*, d.language FROM pairs p LEFT JOIN demographics d ON p.ids = d.ids",
+    **{k: x for k, x in BY_LANGUAGE_VIEWS.items() if k.endswith("by_language") or "drawn_by" in k}})
+def _(v):
+    """Both models within an attribute; rows without a value are left out."""
+    base, test = with_demographics(v), with_demographics(v, v.predictions(15485863))
+    return B.compare_models(base, test, "avg", ["phase", "language"], n_boot=N_BOOT, metrics=FAST)
+
+
 @query("bs_cross_experiment", difference(two_level("cross_sides", ["side", "boot_iter"], rounded=False), ["boot_iter"], "mean"), {
     "xexp": """
 SELECT a.iter, a.ids, a.labels, a.pred_probs AS pred_base, b.pred_probs AS pred_test
