@@ -37,8 +37,10 @@ from strataflow.session import cut_lineage, scratch_path
 SHINGLE = 5
 REGISTERS = 128
 MANTISSA = 10
-#: Registers of a band. A pair at similarity 0.85 misses all 25 bands with probability 4e-7.
-BAND = 5
+#: (smallest set, registers, registers of a band). A pair at similarity 0.85 misses all 25
+#: bands of the first kind with probability 4e-7, all 36 of the second with 1e-6. Larger
+#: sets, of which more agree a little, get the longer bands.
+BANDS = ((1, REGISTERS, 5), (400, 2 * REGISTERS, 7))
 PERCENT = 85
 #: Estimates from which a pair is confirmed: over four standard errors below the threshold.
 LEAST_ESTIMATE = 0.62
@@ -46,9 +48,11 @@ LEAST_ESTIMATE = 0.62
 CHANCE = 0.17 * 2.0 ** (1 - MANTISSA)
 #: Members of a bucket that one task compares with as many others.
 BLOCK_ROWS = 1024
-FIRST_CANDIDATES = 4
+FIRST_CANDIDATES = 16
 #: Members up to which a bucket's pairs come from a join.
 SMALL_BUCKET = 16
+#: Hops to smaller neighbours before pairs are brought up.
+HOPS = 3
 CACHE_ENTRIES = 400_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -95,20 +99,37 @@ class Shingler:
         return np.unique(_mixed(acc))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Registers as little-endian unsigned 16-bit numbers; 0 is an empty one."""
+def sketch(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """Registers as unsigned 16-bit numbers; 0 is an empty one."""
     g = _mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D))
-    bits = np.uint64(REGISTERS.bit_length() - 1)
-    key = np.sort((g & np.uint64(REGISTERS - 1)) << np.uint64(64 - bits) | g >> bits)
+    bits = np.uint64(registers.bit_length() - 1)
+    key = np.sort((g & np.uint64(registers - 1)) << np.uint64(64 - bits) | g >> bits)
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     low = (key[first] & np.uint64((1 << 64 - int(bits)) - 1)) >> np.uint64(64 - int(bits) - 53)
     part, exponent = np.frexp(low.astype(np.float64))
     zeros = np.where(low > 0, 53 - exponent, 53)
     fraction = np.where(low > 0, (part - 0.5) * 2 * (1 << MANTISSA), 0)
-    out = np.zeros(REGISTERS, "<u2")
+    out = np.zeros(registers, "<u2")
     out[bucket[first]] = (zeros << MANTISSA) + fraction.astype(np.int64) + 1
-    return out.tobytes()
+    return out
+
+
+def band_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """A key for each band that is not empty, of the kind for this size of set.
+
+    A set that may reach the threshold with sets of the next kind has keys of both.
+    """
+    keys = []
+    for k, (least, registers, width) in enumerate(BANDS):
+        beyond = BANDS[k + 1][0] if k + 1 < len(BANDS) else np.inf
+        if 100 * len(hashes) >= percent * least and len(hashes) < beyond:
+            rows = sketch(hashes, registers)[: registers // width * width].reshape(-1, width).astype(np.uint64)
+            acc = np.arange(len(rows), dtype=np.uint64) + np.uint64(1000 * (k + 1))
+            for c in range(width):
+                acc = acc * _P + rows[:, c]
+            keys.append(_mixed(acc)[rows.any(1)])
+    return np.concatenate(keys).view(np.int64)
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +140,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n, set_key, registers`` per row."""
+    """``doc_id, text_key, n, set_key, registers, keys`` per row."""
     held: dict[str, Shingler] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +156,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                         pa.binary(),
                     ),
-                    "registers": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                    "registers": pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    "keys": pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
             )
 
-    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, registers binary"
+    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, registers binary, keys array<bigint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
@@ -183,6 +205,19 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return tested.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct()
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """``cid, component`` after a few hops to smaller neighbours: equal labels are connected.
+
+    Different labels may be, too; their pairs are then brought up though they need not be.
+    """
+    both = links.select("a", "b").unionByName(links.selectExpr("b AS a", "a AS b"))
+    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS cid", "least(a, m) AS component"))
+    of = label.selectExpr("cid AS component", "component AS next")
+    for _ in range(HOPS):
+        label = label.join(of, "component").selectExpr("cid", "next AS component")
+    return label
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node points to one smaller node, and those pointed to point nowhere."""
     ends = edges.selectExpr("u AS id", "1 AS out", "0 AS into").unionByName(edges.selectExpr("v AS id", "0 AS out", "1 AS into"))
@@ -272,13 +307,10 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.min("doc_id").alias("doc_id"),
             F.first("n").alias("n"),
             F.first("registers").alias("registers"),
+            F.first("keys").alias("keys"),
         )
     )
-    bands = REGISTERS // BAND
-    cut = f"substring(registers, {2 * BAND} * k + 1, {2 * BAND})"
-    empty = f"repeat('00', {2 * BAND})"
-    keys = f"transform(filter(sequence(0, {bands - 1}), k -> hex({cut}) <> {empty}), k -> xxhash64(k, {cut}))"
-    banded = classes.selectExpr("cid", f"explode({keys}) AS key")
+    banded = classes.select("cid", F.explode("keys").alias("key"))
     heads = banded.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1")
     members = cut_lineage(banded.join(heads, "key"))
     sketched = classes.select("cid", "n", "registers")
@@ -302,7 +334,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = cut_lineage(_confirmed(docs, classes, tested, percent))
     most = FIRST_CANDIDATES
     while True:
-        labels = components(links)
+        labels = _near_labels(links)
         named = members.join(labels, "cid", "left").selectExpr(
             "key", "cid", "members", "coalesce(component, cid) AS component"
         )
