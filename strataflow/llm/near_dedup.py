@@ -42,8 +42,8 @@ MANTISSA = 10
 #: sets, of which more agree a little, get the longer bands.
 BANDS = ((1, REGISTERS, 5), (400, 2 * REGISTERS, 7))
 PERCENT = 85
-#: Estimates from which a pair is confirmed: over four standard errors below the threshold.
-LEAST_ESTIMATE = 0.62
+#: Standard errors of the estimate below the threshold from which a pair is confirmed.
+ERRORS = 4.5
 #: Chance that registers of different hashes agree, for 10 bits of mantissa.
 CHANCE = 0.17 * 2.0 ** (1 - MANTISSA)
 #: Members of a bucket that one task compares with as many others.
@@ -53,7 +53,7 @@ FIRST_CANDIDATES = 16
 SMALL_BUCKET = 16
 #: Hops to smaller neighbours before pairs are brought up.
 HOPS = 3
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,9 +134,20 @@ def band_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of register rows: agreeing of used ones, less those that agree by chance."""
-    used = ((a > 0) | (b > 0)).sum(-1)
+    return _estimates(a, b)[0]
+
+
+def _estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    used = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
     agree = ((a == b) & (a > 0)).sum(-1)
-    return np.clip((agree - CHANCE * used) / (1 - CHANCE) / np.maximum(used, 1), 0, 1)
+    return np.clip((agree - CHANCE * used) / (1 - CHANCE) / used, 0, 1), used
+
+
+def could_reach(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates, and which pairs may reach the threshold: the fewer registers are used, the wider the margin."""
+    est, used = _estimates(a, b)
+    least = percent / 100
+    return est, est >= least - ERRORS * np.sqrt(least * (1 - least) / used)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -215,7 +226,7 @@ def _near_labels(links: DataFrame) -> DataFrame:
     of = label.selectExpr("cid AS component", "component AS next")
     for _ in range(HOPS):
         label = label.join(of, "component").selectExpr("cid", "next AS component")
-    return label
+    return cut_lineage(label)
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -265,9 +276,9 @@ def _best_pairs(pdf: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
     cut = 0
     for k in range(0, len(rows), 32):
         part = rows[k : k + 32]
-        est = estimates(registers[part][:, None, :], registers[cols][None, :, :])
+        est, near = could_reach(registers[part][:, None, :], registers[cols][None, :, :], percent)
         sizes = 100 * np.minimum(n[part][:, None], n[cols]) >= percent * np.maximum(n[part][:, None], n[cols])
-        able = (est >= LEAST_ESTIMATE) & (comp[part][:, None] != comp[cols]) & sizes
+        able = near & (comp[part][:, None] != comp[cols]) & sizes
         est = np.where(able, est, -1)
         if est.shape[1] > most:
             best = np.argpartition(-est, most - 1, axis=1)[:, :most]
@@ -284,9 +295,14 @@ def _best_pairs(pdf: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 1], "b": pairs[:, 0]})
 
 
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    rows = [np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (a, b)]
-    return pd.Series(estimates(*rows))
+def _estimate(percent: int):
+    """The estimate of pairs that may reach the threshold, -1 for others."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        est, near = could_reach(*[np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (a, b)], percent)
+        return pd.Series(np.where(near, est, -1.0))
+
+    return F.pandas_udf(run, "double")
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -324,8 +340,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs.join(of("a"), "a")
             .join(of("b"), "b")
             .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-            .select("a", "b", F.pandas_udf(_estimate, "double")("r_a", "r_b").alias("estimate"))
-            .where(F.col("estimate") >= LEAST_ESTIMATE)
+            .select("a", "b", _estimate(percent)("r_a", "r_b").alias("estimate"))
+            .where("estimate >= 0")
         )
 
     near = estimated(stars)
@@ -340,7 +356,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         parts = f"CAST(ceil(members / {BLOCK_ROWS}D) AS INT)"
-        opened = named.join(mixed.select("key"), "key", "left_semi")
+        opened = cut_lineage(named.join(mixed.select("key"), "key", "left_semi"))
         # small buckets, which are most, give all their pairs in one join
         few = opened.where(f"members <= {SMALL_BUCKET}")
         ahead = few.selectExpr("key", "cid AS a", "component AS of_a")
