@@ -315,6 +315,11 @@ def vocabulary(long: DataFrame) -> DataFrame:
     return placed.selectExpr("feature_id", "CAST(before___one AS INT) AS idx")
 
 
+def feature_names(long: DataFrame) -> list[str]:
+    """All feature ids of the data in name order: the columns of its wide form."""
+    return [r[0] for r in long.select("feature_id").distinct().orderBy("feature_id").collect()]
+
+
 def pivot_features(long: DataFrame, feature_ids: Sequence[str], zero_fill_tag: str = "count") -> DataFrame:
     """Wide form for an explicit list of features; missing counts become 0."""
     wide = long.groupBy("subject_id").pivot("feature_id", list(feature_ids)).agg(F.avg("feature_val"))

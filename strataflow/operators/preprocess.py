@@ -279,6 +279,50 @@ def prune_long(long: DataFrame, thresh: int = 25, special: Mapping[str, float] |
     return long.join(kept, "feature_id", "left_semi")
 
 
+def fit_steps_long(train: DataFrame, thresh: int = 25, n_bins: int = 5) -> DataFrame:
+    """``feature_id, edges`` of the kept features; counts have no edges."""
+    kept = prune_long(train, thresh, {"count": 0})
+    edges = quantile_edges_long(kept.where(~F.col("feature_id").contains("count")), n_bins).select("feature_id", "edges")
+    return kept.select("feature_id").distinct().join(edges, "feature_id", "left")
+
+
+def apply_steps_long(long: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Rows of the kept features with ``category``: 1 for counts, the bin number for measurements.
+
+    What has no row is 0: a count of 0, or a measurement that is missing.
+    """
+    n_low = F.size(F.filter("edges", lambda e: e <= F.col("feature_val")))
+    number = F.when(F.col("feature_id").contains("count"), F.lit(1)).otherwise(1 + n_low)
+    shown = F.col("feature_val").isNotNull() & (~F.col("feature_id").contains("count") | (F.col("feature_val") != 0))
+    binned = long.join(fitted, "feature_id").where(shown)
+    return binned.withColumn("category", number.cast("string")).drop("edges", "feature_val")
+
+
+def step_totals_long(rows: DataFrame, binned: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``fold_id, feature, total``: ones per fold of the 0/1 columns the steps would make, zeros too.
+
+    ``rows`` (fold_id) holds every patient, ``binned`` has fold_id. Bin 0 is counted as
+    the patients without a row; categories are those of the training fold.
+    """
+    sizes = rows.groupBy("fold_id").agg(F.count("*").alias("n"))
+    grid = sizes.crossJoin(fitted.select("feature_id"))
+    found = binned.groupBy("fold_id", "feature_id", "category").agg(F.count("*").alias("total"))
+    present = found.groupBy("fold_id", "feature_id").agg(F.sum("total").alias("present"))
+    missing = (
+        grid.where(~F.col("feature_id").contains("count"))
+        .join(present, ["fold_id", "feature_id"], "left")
+        .select("fold_id", "feature_id", F.lit("0").alias("category"), (F.col("n") - F.coalesce("present", F.lit(0))).alias("total"))
+    )
+    every = found.unionByName(missing)
+    words = every.where("fold_id = 'train' AND total > 0").select("feature_id", "category")
+    words = words.unionByName(
+        fitted.where(F.col("feature_id").contains("count")).select("feature_id", F.lit("1").alias("category"))
+    ).distinct()
+    totals = sizes.select("fold_id").crossJoin(words).join(every, ["fold_id", "feature_id", "category"], "left")
+    name = F.when(F.col("feature_id").contains("count"), F.col("feature_id")).otherwise(F.concat_ws("_", "feature_id", "category"))
+    return totals.select("fold_id", name.alias("feature"), F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+
+
 def standard_steps(
     thresh: int = 25, n_bins: int = 5, keep: Sequence[str] = ("subject_id", "label", "group_var", "fold_id")
 ) -> Pipeline:

@@ -7,6 +7,7 @@ from strataflow.operators import features as X
 from strataflow.operators.reporting import feature_counts
 from strataflow.plans.cohorts import long_stay
 from strataflow.plans.registry import query, r
+from strataflow.session import cut_lineage
 
 BINS = X.build_time_bins()
 PAST = [b for b in BINS if float(b.right) <= 0]
@@ -197,6 +198,32 @@ def _(v):
     return feature_table(v)
 
 
+# all seven sources; the columns are what the data holds
+ALL_LONG = {"all_long": long_sql()}
+PIVOT_ALL = """(PIVOT (SELECT subject_id, replace(feature_id, '.', '_') AS feature_id, feature_val FROM all_long)
+      ON feature_id USING avg(feature_val) GROUP BY subject_id)"""
+MEASURES_ALL = r("COLUMNS('.*_measurement_.*')")
+
+
+def wide_all(v):
+    long = cut_lineage(long_features(v).select("subject_id", "feature_id", "feature_val"))
+    return X.pivot_features(long, X.feature_names(long))
+
+
+@query("fx_wide_all", f"""
+SELECT subject_id, {r("coalesce(COLUMNS('.*_count_.*'), 0)")}, {MEASURES_ALL} FROM {PIVOT_ALL}""", ALL_LONG)
+def _(v):
+    return wide_all(v)
+
+
+@query("fx_table_all", f"""
+SELECT subject_id, label, group_var, insurance, marital_status, ethnicity, language, age, gender,
+       {r("CASE WHEN __seen THEN coalesce(COLUMNS('.*_count_.*'), 0) END")}, {MEASURES_ALL}
+FROM cohort_demographics LEFT JOIN (SELECT *, TRUE AS __seen FROM {PIVOT_ALL}) USING (subject_id)""", ALL_LONG)
+def _(v):
+    return X.feature_table(C.demographics(long_stay(v), v.admissions, v.patients), wide_all(v))
+
+
 LAB_IDS = [f"{i}_labs_measurement_avg_{BINS[0].name}" for i in range(20)]
 
 

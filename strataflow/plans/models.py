@@ -6,7 +6,7 @@ from strataflow.operators import diagnostics as D
 from strataflow.operators import features as X
 from strataflow.operators import modeling as ML
 from strataflow.operators import split as S
-from strataflow.plans.features import wide_long
+from strataflow.plans.features import long_features
 from strataflow.plans.registry import query, r
 from strataflow.plans.splits import folds
 from strataflow.session import cut_lineage, scratch_path
@@ -14,11 +14,11 @@ from strataflow.sources import tables as IO
 
 
 def training_frame(v):
-    """Folds with sparse feature vectors; also the vocabulary size.
+    """Folds with sparse feature vectors over all seven sources; also the vocabulary size.
 
     Words are those of the training fold; patients without any keep an empty vector.
     """
-    long, rows = wide_long(v), cut_lineage(folds(v))
+    long, rows = cut_lineage(long_features(v)), cut_lineage(folds(v))
     train = long.join(part(rows, "train").select("subject_id"), "subject_id", "left_semi")
     vocab = cut_lineage(X.vocabulary(train))
     size = vocab.count()

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from strataflow.operators import cohort as C
 from strataflow.operators import preprocess as PP
 from strataflow.operators import split as S
 from strataflow.plans.cohorts import long_stay
-from strataflow.plans.features import HCPCS_IDS, ICU_IDS, WIDE_IDS, feature_table, long_features, long_sql, rounded, wide_views
+from strataflow.plans.features import ALL_LONG, HCPCS_IDS, ICU_IDS, WIDE_IDS, feature_table, long_features, long_sql, rounded, wide_views
 from strataflow.plans.registry import query, r
 from strataflow.plans.splits import FOLD_VIEWS
 from strataflow.session import cut_lineage
@@ -186,3 +187,37 @@ def _(v):
     names = [c for c in out.columns if c not in ("subject_id", "label", "group_var", "fold_id")]
     sums = out.groupBy("fold_id").agg(*[F.sum(F.col(f"`{n}`")).cast("bigint").alias(n) for n in names])
     return sums.unpivot(["fold_id"], names, "feature", "total")
+
+
+ALL_VIEWS = {
+    **{n.replace("steps_", "mat_all_"): sql.replace("steps_", "mat_all_") for n, sql in STEP_VIEWS.items()},
+    **ALL_LONG,
+    "mat_all_num": """
+SELECT p.subject_id, p.fold_id, w.feature_id AS f,
+       (CASE WHEN w.feature_id LIKE '%count%' THEN coalesce(l.feature_val, 0) ELSE l.feature_val END)::DOUBLE AS x
+FROM folds p CROSS JOIN (SELECT DISTINCT feature_id FROM all_long) w
+LEFT JOIN all_long l ON l.subject_id = p.subject_id AND l.feature_id = w.feature_id
+UNION ALL SELECT subject_id, fold_id, 'age_measurement', age::DOUBLE FROM tab""",
+}
+
+
+@query("pp_all_long", """
+SELECT fold_id, s.f AS feature, sum(CASE WHEN x = 0 THEN 0 ELSE 1 END)::BIGINT AS total
+FROM mat_all_num s JOIN mat_all_kept k ON s.f = k.f WHERE s.f LIKE '%count%' GROUP BY fold_id, s.f
+UNION ALL
+SELECT s.fold_id, v.f || '_' || v.c AS feature, count(*) FILTER (s.c = v.c)::BIGINT AS total
+FROM mat_all_vocab v JOIN mat_all_cat s ON s.f = v.f GROUP BY s.fold_id, v.f, v.c""", ALL_VIEWS)
+def _(v):
+    """All steps over all features of the seven sources, in long form."""
+    rows = cut_lineage(S.stratified_split(C.demographics(long_stay(v), v.admissions, v.patients)))
+    age = rows.selectExpr("subject_id", "'age_measurement' AS feature_id", "CAST(age AS DOUBLE) AS feature_val")
+    long = long_features(v).select("subject_id", "feature_id", "feature_val").unionByName(age)
+    long = cut_lineage(long.join(rows.select("subject_id", "fold_id"), "subject_id"))
+    fitted = cut_lineage(PP.fit_steps_long(long.where("fold_id = 'train'")))
+    totals = PP.step_totals_long(rows, PP.apply_steps_long(long, fitted), fitted)
+    # text columns: filled, pruned and one-hot encoded; few of them, so in wide form
+    text = rows.select("subject_id", "label", "group_var", "fold_id", *[c for c in DEMO if c != "age"])
+    out = PP.standard_steps().fit(text.where("fold_id = 'train'")).transform(text)
+    names = [c for c in out.columns if c not in ("subject_id", "label", "group_var", "fold_id")]
+    sums = out.groupBy("fold_id").agg(*[F.sum(F.col(f"`{n}`")).cast("bigint").alias(n) for n in names])
+    return totals.unionByName(sums.unpivot(["fold_id"], names, "feature", "total"))

@@ -8,9 +8,10 @@ from strataflow.operators import cohort as C
 from strataflow.operators import features as X
 from strataflow.operators import split as S
 from strataflow.plans.cohorts import COHORT_SQL, long_stay
-from strataflow.plans.features import WIDE_IDS, feature_table, rounded, wide_long, wide_views
+from strataflow.plans.features import ALL_LONG, WIDE_IDS, feature_table, long_features, rounded, wide_long, wide_views
 from strataflow.plans.registry import query, r
 from strataflow.plans.sqltext import folds_sql
+from strataflow.session import cut_lineage
 from strataflow.sources.fixtures import LAST_GROUP
 
 FOLD_VIEWS = {
@@ -148,9 +149,20 @@ SELECT subject_id, count(*) FILTER (feature_val <> 0) AS n_entries, {r("sum(feat
 FROM wide_long GROUP BY subject_id""", wide_views())
 def _(v):
     """Long features to sparse vectors and back to arrays."""
+    return sparse_totals(wide_long(v))
+
+
+@query("ds_sparse_all", f"""
+SELECT subject_id, count(*) FILTER (feature_val <> 0) AS n_entries, {r("sum(feature_val)")} AS total
+FROM all_long GROUP BY subject_id""", ALL_LONG)
+def _(v):
+    """The same over all seven sources."""
+    return sparse_totals(cut_lineage(long_features(v)))
+
+
+def sparse_totals(long):
     from pyspark.ml.functions import vector_to_array
 
-    long = wide_long(v)
     vocab = X.vocabulary(long)
     size = vocab.count()
     vectors = S.long_to_sparse(long, vocab, size).withColumn("a", vector_to_array("features"))
