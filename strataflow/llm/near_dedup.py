@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,10 +38,12 @@ from strataflow.session import cut_lineage, scratch_path
 SHINGLE = 5
 REGISTERS = 128
 MANTISSA = 10
-#: (smallest set, registers, registers of a band). A pair at similarity 0.85 misses all 25
-#: bands of the first kind with probability 4e-7, all 36 of the second with 1e-6. Larger
-#: sets, of which more agree a little, get the longer bands.
-BANDS = ((1, REGISTERS, 5), (400, 2 * REGISTERS, 7))
+#: (smallest set, registers). Larger sets, of which more agree a little, get more registers
+#: and with them longer bands.
+KINDS = ((1, REGISTERS), (400, 2 * REGISTERS))
+#: Most probable miss of all bands by a pair at the threshold. At 0.85 the widths are 5 (25
+#: bands, 4e-7) and 7 (36 bands, 9e-7), at 0.80 they are 4 (32 bands, 5e-8) and 5 (51 bands, 2e-9).
+MISS = 1e-6
 PERCENT = 85
 #: Standard errors of the estimate below the threshold from which a pair is confirmed.
 ERRORS = 4.5
@@ -115,14 +118,22 @@ def sketch(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     return out
 
 
+@lru_cache
+def band_width(registers: int, percent: int) -> int:
+    """The longest band with which a pair at the threshold is missed no more often than ``MISS``."""
+    missed = lambda width: (1 - (percent / 100) ** width) ** (registers // width)
+    return max((w for w in range(1, registers + 1) if missed(w) <= MISS), default=1)
+
+
 def band_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A key for each band that is not empty, of the kind for this size of set.
 
     A set that may reach the threshold with sets of the next kind has keys of both.
     """
     keys = []
-    for k, (least, registers, width) in enumerate(BANDS):
-        beyond = BANDS[k + 1][0] if k + 1 < len(BANDS) else np.inf
+    for k, (least, registers) in enumerate(KINDS):
+        beyond = KINDS[k + 1][0] if k + 1 < len(KINDS) else np.inf
+        width = band_width(registers, percent)
         if 100 * len(hashes) >= percent * least and len(hashes) < beyond:
             rows = sketch(hashes, registers)[: registers // width * width].reshape(-1, width).astype(np.uint64)
             acc = np.arange(len(rows), dtype=np.uint64) + np.uint64(1000 * (k + 1))
@@ -150,8 +161,8 @@ def could_reach(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray,
     return est, est >= least - ERRORS * np.sqrt(least * (1 - least) / used)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n, set_key, registers, keys`` per row."""
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_key, n, set_key, registers, keys`` per row; the keys are those for this threshold."""
     held: dict[str, Shingler] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +179,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         pa.binary(),
                     ),
                     "registers": pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    "keys": pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    "keys": pa.array([band_keys(s, percent) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
             )
 
@@ -313,7 +324,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "sketches")
     # written once: row numbers, and with them classes, stay the same whatever task is run again
-    sketches(docs).withColumn("row_id", F.monotonically_increasing_id()).write.parquet(path)
+    sketches(docs, percent).withColumn("row_id", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
     classes = cut_lineage(
         rows.where("set_key IS NOT NULL")
