@@ -45,8 +45,9 @@ KINDS = ((1, REGISTERS), (400, 2 * REGISTERS))
 #: bands, 4e-7) and 7 (36 bands, 9e-7), at 0.80 they are 4 (32 bands, 5e-8) and 5 (51 bands, 2e-9).
 MISS = 1e-6
 PERCENT = 85
-#: Standard errors of the estimate below the threshold from which a pair is confirmed.
-ERRORS = 4.5
+#: Standard errors of the estimate below the threshold from which a pair is confirmed. By the
+#: binomial a pair at 0.85 is left out with probability 4e-8 (128 used registers) to 2e-6 (16).
+ERRORS = 6
 #: Chance that registers of different hashes agree, for 10 bits of mantissa.
 CHANCE = 0.17 * 2.0 ** (1 - MANTISSA)
 #: Members of a bucket that one task compares with as many others.

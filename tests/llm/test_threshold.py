@@ -1,3 +1,5 @@
+from math import comb
+
 import numpy as np
 import pytest
 
@@ -34,3 +36,15 @@ def test_clusters_at_another_threshold(spark, percent):
     got = near_dedup.cluster(documents(spark, rows), percent).collect()
     want = sorted(brute(rows, percent), key=as_key)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=as_key) == want
+
+
+@pytest.mark.parametrize("used", [8, 16, 32, 64, 128])
+def test_estimate_leaves_few_pairs_out(used):
+    missed = 0.0
+    for agree in range(used + 1):
+        a, b = np.zeros((2, near_dedup.REGISTERS), "<u2")
+        a[:used], b[:used] = 1, 2
+        b[:agree] = 1
+        if not near_dedup.could_reach(a, b, 85)[1]:
+            missed += comb(used, agree) * 0.85**agree * 0.15 ** (used - agree)
+    assert missed < 3e-6
