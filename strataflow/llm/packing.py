@@ -5,8 +5,9 @@ Best-fit decreasing runs in many partitions side by side. A dual feasible functi
 most 1, so the sum of all weights is a lower bound on the number of bins; the best
 of a family of such functions certifies a partition whose bin count meets it. What a
 partition cannot certify lies in its bins with gaps: their pieces go on, are dealt
-anew over fewer partitions, and are packed again by best-fit decreasing, until one
-partition has taken part in a round as a whole. Full bins never move again.
+anew over as many partitions as their number asks for, and are packed again by best-fit
+decreasing, until one partition holds them all or a round saves too few bins. Full bins
+never move again, and no task packs more pieces for there being more of them.
 
 Only documents longer than a bin are cut: full pieces at the end, a shorter first one.
 Every row is a document of its own, repeated rows too. A null or empty text has the
@@ -30,8 +31,10 @@ from strataflow.session import cut_lineage
 CAPACITY = 2048
 #: Pieces of a partition; its bins are built in one task.
 PER_PARTITION = 4096
-#: Partitions that meet in one of the next round.
-FAN_IN = 8
+#: A round is the last when it saves less than this share of the bins it was given.
+LEAST_SAVED = 0.005
+#: Rounds that sequence ids have room for.
+MOST_ROUNDS = 100
 #: A bin with a larger gap counts as having one.
 GAP = 16
 
@@ -127,26 +130,40 @@ def _pack_round(items: DataFrame, round_no: int, partitions: int, capacity: int)
         # a certified partition can gain only by what others put into its emptier bins
         stays = last | (capacity - filled <= (capacity // 8 if certified else GAP))
         part = int(pdf["part"].iloc[0])
-        pdf["sequence_id"] = (np.int64(round_no) << 58) | (np.int64(part) << 24) | bin_of
+        pdf["sequence_id"] = (np.int64(round_no) << 56) | (np.int64(part) << 24) | bin_of
         pdf["offset"], pdf["settled"] = offset, stays[bin_of]
         return pdf.drop(columns="part")
 
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(partitions)))
+    # items are a checkpoint, so row numbers stay; with them repeated rows are dealt apart
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(round_no))
+    dealt = items.withColumn("part", F.pmod(key, F.lit(partitions)))
     return dealt.groupBy("part").applyInPandas(pack, _PACKED + ", settled boolean")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:
     """Pieces with their sequence and their place in it."""
-    pieces = cut_lineage(pieces_of(docs, path, capacity, closing))
+    return pack_pieces(cut_lineage(pieces_of(docs, path, capacity, closing)), capacity)
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The same from a checkpoint of pieces."""
     full = pieces.where(F.col("length") == capacity)
     # a full piece is a sequence of its own: row ids in the upper range, never a round's
     done = full.withColumn("sequence_id", F.monotonically_increasing_id() - F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("bigint"))
     rest = pieces.where(F.col("length") < capacity)
-    partitions, round_no = -(-rest.count() // PER_PARTITION), 0
-    while partitions:
-        packed = cut_lineage(_pack_round(rest, round_no, partitions, capacity))
+    count, bins, before = rest.count(), None, None
+    for round_no in range(MOST_ROUNDS):
+        if not count:
+            return done
+        packed = cut_lineage(_pack_round(rest, round_no, -(-count // PER_PARTITION), capacity))
+        # a bin has one piece at offset 0
+        first, on = F.col("offset") == 0, ~F.col("settled")
+        made, count, left = packed.agg(F.count_if(first), F.count_if(on), F.count_if(first & on)).first()
+        if bins is not None and made > bins:
+            return done.unionByName(before)
+        if bins is not None and bins - made < LEAST_SAVED * bins:
+            return done.unionByName(packed.drop("settled"))
         done = done.unionByName(packed.where("settled").drop("settled"))
-        rest = packed.where("NOT settled").drop("settled", "sequence_id", "offset")
-        # each round has a fraction of the partitions, so there are few rounds
-        round_no, partitions = round_no + 1, 0 if partitions == 1 else -(-partitions // FAN_IN)
-    return done
+        before = packed.where("NOT settled").drop("settled")
+        rest, bins = before.drop("sequence_id", "offset"), left
+    return done.unionByName(before) if count else done
