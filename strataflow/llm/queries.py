@@ -9,10 +9,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import strataflow
-from strataflow.llm import bpe, exact_dedup, extraction, licenses, near_dedup, packing, sharding, topk, toxicity, urls
+from strataflow.llm import (
+    bpe,
+    counting,
+    exact_dedup,
+    extraction,
+    lexical,
+    licenses,
+    near_dedup,
+    packing,
+    sharding,
+    spelling,
+    topk,
+    toxicity,
+    urls,
+)
 
 #: Vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +132,47 @@ def op9_exact_dedup(spark, sf_dir):
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+    ), held AS (SELECT * FROM d WHERE len(terms) > 0),
+    stats AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS total FROM held),
+    tf AS (SELECT r, term, count(*) AS times FROM (SELECT r, unnest(terms) AS term FROM held) GROUP BY r, term),
+    i AS (
+        SELECT row_number() OVER () AS place, item_id, list_distinct(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark
+    ), asked AS (SELECT place, item_id, unnest(terms) AS term FROM i),
+    weight AS (
+        SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats
+    ), parts AS (
+        SELECT place, item_id, doc_id, r, w * ((1000000000 * times) // (1000 * times
+            + 20 * (50 + (50 * len(terms) * n_docs) // total))) AS part
+        FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN held USING (r), stats
+    ), scores AS (
+        SELECT place, item_id, r, doc_id, sum(part)::BIGINT AS score FROM parts GROUP BY ALL HAVING sum(part) > 0
+    )
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores
+    ) WHERE rank <= 50
+    """,
+)
+def op11_ranked_search(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark, sf_dir):
+    return counting.count_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
