@@ -1,8 +1,10 @@
 """Near duplicates: HyperMinHash sketches, banded, estimated, and confirmed on full sets.
 
-A text's set holds its distinct word shingles. Of its hashes each of ``REGISTERS``
-buckets keeps the smallest, compressed to a register: its count of leading zeros and
-``MANTISSA`` bits after the leading one. Rows of one set are one class. Bands of
+A text's set holds its distinct word shingles. A register is a smallest hash, compressed
+to its count of leading zeros and ``MANTISSA`` bits after the leading one. In large sets
+each register has a bucket of the hashes; in small ones, which would leave buckets empty,
+it has a hash of its own over all shingles, so that registers agree independently and
+no band rests on one shingle. Rows of one set are one class. Bands of
 registers bring classes together; registers give an estimate of the Jaccard
 similarity, corrected for registers that agree by chance; what may reach the
 threshold is confirmed on the full sets, read again from the texts of those classes alone.
@@ -10,11 +12,14 @@ threshold is confirmed on the full sets, read again from the texts of those clas
 Candidates stay linear in the members of a bucket. First every class is tested
 against the best of the smallest members of its buckets. Then only buckets that still
 hold several components are opened, in blocks of bounded size, and each class is
-tested against its best candidates of other components; their number grows from round
-to round until no pair of different components that could qualify is left untested.
+tested against its best candidates of other components. There small sets meet as they
+are, with 32 bits of each hash, so that groups of texts just below the threshold bring
+up no pairs; large ones meet by their registers. The number of candidates grows from round to round until no pair of different components that could qualify is left untested.
 Nothing is capped: a round that left candidates out is followed by another.
 
-A null or wordless text has an empty set: a class of its own, linked with nothing.
+A null or wordless text has an empty set: a class of its own, linked with nothing. Texts
+are read whole, however long. Columns beside ``doc_id`` and ``text`` are not read, whatever
+their names; ``keep_representatives`` returns them as they are.
 Repeated rows are one class. Null doc_ids count as no id: a component's id is the
 smallest that is not null. An empty table gives no rows.
 """
@@ -38,9 +43,11 @@ from strataflow.session import cut_lineage, scratch_path
 SHINGLE = 5
 REGISTERS = 128
 MANTISSA = 10
-#: (smallest set, registers). Larger sets, of which more agree a little, get more registers
-#: and with them longer bands.
-KINDS = ((1, REGISTERS), (400, 2 * REGISTERS))
+#: Shingles from which a set counts as large: its registers have buckets, and its bands are those
+#: of twice as many registers, as more of them agree a little.
+LARGE = 400
+#: (smallest set, registers that bands are made of).
+KINDS = ((1, REGISTERS), (LARGE, 2 * REGISTERS))
 #: Most probable miss of all bands by a pair at the threshold. At 0.85 the widths are 5 (25
 #: bands, 4e-7) and 7 (36 bands, 9e-7), at 0.80 they are 4 (32 bands, 5e-8) and 5 (51 bands, 2e-9).
 MISS = 1e-6
@@ -52,11 +59,13 @@ ERRORS = 6
 CHANCE = 0.17 * 2.0 ** (1 - MANTISSA)
 #: Members of a bucket that one task compares with as many others.
 BLOCK_ROWS = 1024
-FIRST_CANDIDATES = 16
-#: Members up to which a bucket's pairs come from a join.
-SMALL_BUCKET = 16
-#: Hops to smaller neighbours before pairs are brought up.
-HOPS = 3
+FIRST_CANDIDATES = 4
+#: Shingles by which 32 bits of their hashes may overstate what two small sets share.
+SLACK = 2
+#: Shingles of a block that are counted at once.
+COLUMNS = 4096
+#: Rows of a block that are compared at once.
+STRIP = 128
 CACHE_ENTRIES = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -103,22 +112,50 @@ class Shingler:
         return np.unique(_mixed(acc))
 
 
+def _compressed(low: np.ndarray, bits: int) -> np.ndarray:
+    """Leading zeros and mantissa of numbers of so many bits, as numbers from 1 on."""
+    part, exponent = np.frexp(low.astype(np.float64))
+    zeros = np.where(low > 0, bits - exponent, bits)
+    fraction = np.where(low > 0, (part - 0.5) * 2 * (1 << MANTISSA), 0)
+    return (zeros << MANTISSA) + fraction.astype(np.int64) + 1
+
+
 def sketch(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """Registers as unsigned 16-bit numbers; 0 is an empty one."""
+    """Registers of buckets as unsigned 16-bit numbers; 0 is an empty one."""
     g = _mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D))
     bits = np.uint64(registers.bit_length() - 1)
     key = np.sort((g & np.uint64(registers - 1)) << np.uint64(64 - bits) | g >> bits)
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     low = (key[first] & np.uint64((1 << 64 - int(bits)) - 1)) >> np.uint64(64 - int(bits) - 53)
-    part, exponent = np.frexp(low.astype(np.float64))
-    zeros = np.where(low > 0, 53 - exponent, 53)
-    fraction = np.where(low > 0, (part - 0.5) * 2 * (1 << MANTISSA), 0)
     out = np.zeros(registers, "<u2")
-    out[bucket[first]] = (zeros << MANTISSA) + fraction.astype(np.int64) + 1
+    out[bucket[first]] = _compressed(low, 53)
     return out
 
 
+_OWN = _mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _P)
+_SALT, _ODD = (_OWN >> np.uint64(32)).astype(np.uint32), (_OWN | np.uint64(1)).astype(np.uint32)
+
+
+def own_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Registers that each have a hash of their own over all of a small set; none is empty."""
+    t = ((_mixed(hashes) >> np.uint64(32)).astype(np.uint32)[:, None] ^ _SALT) * _ODD
+    t ^= t >> np.uint32(15)
+    t *= np.uint32(0x2C1B3C6D)
+    t ^= t >> np.uint32(12)
+    t *= np.uint32(0x297A2D39)
+    return _compressed(t.min(0), 32).astype("<u2")
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype("<u4")
+
+
+def near_large(percent: int) -> int:
+    """The smallest set that may reach the threshold with a large one."""
+    return -(-percent * LARGE // 100)
+
+
 @lru_cache
 def band_width(registers: int, percent: int) -> int:
     """The longest band with which a pair at the threshold is missed no more often than ``MISS``."""
@@ -129,18 +166,19 @@ def band_width(registers: int, percent: int) -> int:
 def band_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A key for each band that is not empty, of the kind for this size of set.
 
-    A set that may reach the threshold with sets of the next kind has keys of both.
+    A set that may reach the threshold with large ones has keys of both kinds.
     """
     keys = []
-    for k, (least, registers) in enumerate(KINDS):
-        beyond = KINDS[k + 1][0] if k + 1 < len(KINDS) else np.inf
+    for kind, (_, registers) in enumerate(KINDS):
+        if len(hashes) >= LARGE if kind == 0 else len(hashes) < near_large(percent):
+            continue
         width = band_width(registers, percent)
-        if 100 * len(hashes) >= percent * least and len(hashes) < beyond:
-            rows = sketch(hashes, registers)[: registers // width * width].reshape(-1, width).astype(np.uint64)
-            acc = np.arange(len(rows), dtype=np.uint64) + np.uint64(1000 * (k + 1))
-            for c in range(width):
-                acc = acc * _P + rows[:, c]
-            keys.append(_mixed(acc)[rows.any(1)])
+        filled = sketch(hashes, registers) if kind else own_sketch(hashes)
+        rows = filled[: registers // width * width].reshape(-1, width).astype(np.uint64)
+        acc = np.arange(len(rows), dtype=np.uint64) + np.uint64(1000 * (kind + 1))
+        for c in range(width):
+            acc = acc * _P + rows[:, c]
+        keys.append(_mixed(acc)[rows.any(1)])
     return np.concatenate(keys).view(np.int64)
 
 
@@ -163,7 +201,12 @@ def could_reach(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, text_key, n, set_key, registers, keys`` per row; the keys are those for this threshold."""
+    """``doc_id, text_key, n, set_key, own, items, shared, keys`` per row; registers and keys are those for this threshold.
+
+    ``own`` registers and ``items`` (32 bits of each hash) have small sets, ``shared`` registers (of buckets) those that
+    may reach the threshold with large ones.
+    """
+    least = near_large(percent)
     held: dict[str, Shingler] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +222,14 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                         pa.binary(),
                     ),
-                    "registers": pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    "own": pa.array([own_sketch(s).tobytes() if 0 < len(s) < LARGE else None for s in sets], pa.binary()),
+                    "items": pa.array([_short(s).tobytes() if 0 < len(s) < LARGE else None for s in sets], pa.binary()),
+                    "shared": pa.array([sketch(s).tobytes() if len(s) >= least else None for s in sets], pa.binary()),
                     "keys": pa.array([band_keys(s, percent) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
             )
 
-    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, registers binary, keys array<bigint>"
+    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, own binary, items binary, shared binary, keys array<bigint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
@@ -228,19 +273,6 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return tested.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct()
 
 
-def _near_labels(links: DataFrame) -> DataFrame:
-    """``cid, component`` after a few hops to smaller neighbours: equal labels are connected.
-
-    Different labels may be, too; their pairs are then brought up though they need not be.
-    """
-    both = links.select("a", "b").unionByName(links.selectExpr("b AS a", "a AS b"))
-    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS cid", "least(a, m) AS component"))
-    of = label.selectExpr("cid AS component", "component AS next")
-    for _ in range(HOPS):
-        label = label.join(of, "component").selectExpr("cid", "next AS component")
-    return cut_lineage(label)
-
-
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node points to one smaller node, and those pointed to point nowhere."""
     ends = edges.selectExpr("u AS id", "1 AS out", "0 AS into").unionByName(edges.selectExpr("v AS id", "0 AS out", "1 AS into"))
@@ -268,43 +300,94 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+_MEETING = "key bigint, i int, j int, cid bigint, block int, component bigint, n bigint, items binary, shared binary"
+
+
 def _candidates(most: int, percent: int):
-    """Pairs of different components in one bucket (or two blocks of it): each class with its best few."""
+    """Pairs of different components in one bucket (or two blocks of it): each class with its best few.
+
+    Rows come sorted by bucket and blocks; one such group may go over the end of a batch.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _best_pairs(pdf, most, percent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pd.DataFrame | None = None
+
+        def pairs(pdf: pd.DataFrame, bounds: np.ndarray) -> pa.RecordBatch:
+            found = [_best_pairs(pdf.iloc[a:b], most, percent) for a, b in zip(bounds, bounds[1:])]
+            both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_pydict({"a": both[:, 1], "b": both[:, 0]})
+
+        for batch in batches:
+            pdf = batch.to_pandas()
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            change = np.ones(len(pdf), bool)
+            change[1:] = np.logical_or.reduce([np.diff(pdf[c].to_numpy()) != 0 for c in ("key", "i", "j")])
+            bounds = np.flatnonzero(change)
+            if len(bounds):
+                yield pairs(pdf, bounds)
+                rest = pdf.iloc[bounds[-1] :]
+        if rest is not None and len(rest):
+            yield pairs(rest, np.array([0, len(rest)]))
 
     return run
 
 
-def _best_pairs(pdf: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
-    out: list[np.ndarray] = []
+def _common(items: list[bytes | None], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """How many short hashes each of ``rows`` shares with each of ``cols``; large sets, without items, share none."""
+    sets = [np.frombuffer(x, "<u4") if x is not None else np.empty(0, "<u4") for x in items]
+    value, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    # what one set holds alone is shared with none
+    column = np.cumsum(count > 1) - 1
+    used = count[place] > 1
+    place, owner = column[place[used]], owner[used]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    for low in range(0, int((count > 1).sum()), COLUMNS):
+        part = slice(*np.searchsorted(place, [low, low + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[part], place[part] - low] = 1
+        shared += held[rows] @ held[cols].T
+    return shared
+
+
+def _best_pairs(pdf: pd.DataFrame, most: int, percent: int) -> np.ndarray:
     first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     pdf = pdf.sort_values("cid", kind="stable")
-    registers = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(-1, REGISTERS)
     cid, comp = pdf["cid"].to_numpy(), pdf["component"].to_numpy()
-    n, block = pdf["n"].to_numpy(), pdf["block"].to_numpy()
+    n, block, shared = pdf["n"].to_numpy(), pdf["block"].to_numpy(), pdf["shared"].tolist()
     rows, cols = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    cut = 0
-    for k in range(0, len(rows), 32):
-        part = rows[k : k + 32]
-        est, near = could_reach(registers[part][:, None, :], registers[cols][None, :, :], percent)
-        sizes = 100 * np.minimum(n[part][:, None], n[cols]) >= percent * np.maximum(n[part][:, None], n[cols])
-        able = near & (comp[part][:, None] != comp[cols]) & sizes
-        est = np.where(able, est, -1)
+    common = _common(pdf["items"].tolist(), rows, cols)
+    found, cut = [], 0
+    for k in range(0, len(rows), STRIP):
+        part = rows[k : k + STRIP]
+        sizes = n[part][:, None], n[cols][None, :]
+        able = (comp[part][:, None] != comp[cols]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+        most_common = np.minimum(common[k : k + STRIP] + SLACK, np.minimum(*sizes))
+        near = 100 * most_common >= percent * (sizes[0] + sizes[1] - most_common)
+        est = common[k : k + STRIP] / np.maximum(sizes[0] + sizes[1] - common[k : k + STRIP], 1)
+        # a large set meets others by registers
+        r, c = np.nonzero(able & (np.maximum(*sizes) >= LARGE))
+        for at in range(0, len(r), STRIP):
+            x, y = r[at : at + STRIP], c[at : at + STRIP]
+            a, b = (np.stack([np.frombuffer(shared[i], "<u2") for i in of.tolist()]) for of in (part[x], cols[y]))
+            est[x, y], near[x, y] = could_reach(a, b, percent)
+        est = np.where(able & near, est, -1.0)
+        able = est >= 0
         if est.shape[1] > most:
             best = np.argpartition(-est, most - 1, axis=1)[:, :most]
             cut += int((able.sum(1) > most).sum())
         else:
             best = np.broadcast_to(np.arange(est.shape[1]), est.shape)
         r, c = np.nonzero(np.take_along_axis(able, best, 1))
-        out.append(np.stack([cid[part[r]], cid[cols[best[r, c]]]], 1))
-    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, 1), axis=0)
+        found.append(np.stack([cid[part[r]], cid[cols[best[r, c]]]], 1))
+    pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.empty((0, 2), np.int64)
     # one row with a = b says that candidates were left for the next round
     if cut:
         pairs = np.concatenate([pairs, [[cid[0], cid[0]]]])
-    return pd.DataFrame({"a": pairs[:, 1], "b": pairs[:, 0]})
+    return pairs
 
 
 def _estimate(percent: int):
@@ -334,61 +417,60 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.min("row_id").alias("cid"),
             F.min("doc_id").alias("doc_id"),
             F.first("n").alias("n"),
-            F.first("registers").alias("registers"),
+            F.first("own").alias("own"),
+            F.first("shared").alias("shared"),
             F.first("keys").alias("keys"),
         )
     )
     banded = classes.select("cid", F.explode("keys").alias("key"))
     heads = banded.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1")
     members = cut_lineage(banded.join(heads, "key"))
-    sketched = classes.select("cid", "n", "registers")
+    sketched = classes.select("cid", "n", "own", "shared")
 
     # every class with the best of its buckets' heads
     stars = members.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
-    of = lambda c: sketched.selectExpr(f"cid AS {c}", f"n AS n_{c}", f"registers AS r_{c}")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(of("a"), "a")
-            .join(of("b"), "b")
-            .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-            .select("a", "b", _estimate(percent)("r_a", "r_b").alias("estimate"))
-            .where("estimate >= 0")
-        )
-
-    near = estimated(stars)
+    of = lambda c: sketched.selectExpr(f"cid AS {c}", f"n AS n_{c}", f"own AS o_{c}", f"shared AS s_{c}")
+    least = near_large(percent)
+    large = f"n_a >= {least} AND n_b >= {least}"
+    sized = (
+        stars.join(of("a"), "a")
+        .join(of("b"), "b")
+        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        .selectExpr("a", "b", f"IF({large}, s_a, o_a) AS r_a", f"IF({large}, s_b, o_b) AS r_b")
+    )
+    near = sized.select("a", "b", _estimate(percent)("r_a", "r_b").alias("estimate")).where("estimate >= 0")
     best = near.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).selectExpr("a", "best.b AS b")
     tested = cut_lineage(best)
     links = cut_lineage(_confirmed(docs, classes, tested, percent))
     most = FIRST_CANDIDATES
     while True:
-        labels = _near_labels(links)
+        labels = cut_lineage(components(links))
         named = members.join(labels, "cid", "left").selectExpr(
             "key", "cid", "members", "coalesce(component, cid) AS component"
         )
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         parts = f"CAST(ceil(members / {BLOCK_ROWS}D) AS INT)"
         opened = cut_lineage(named.join(mixed.select("key"), "key", "left_semi"))
-        # small buckets, which are most, give all their pairs in one join
-        few = opened.where(f"members <= {SMALL_BUCKET}")
-        ahead = few.selectExpr("key", "cid AS a", "component AS of_a")
-        behind = few.selectExpr("key", "cid AS b", "component AS of_b")
-        joined = ahead.join(behind, "key").where("a > b AND of_a <> of_b").select("a", "b").distinct()
-        # in others each pair of blocks meets once
-        meetings = opened.where(f"members > {SMALL_BUCKET}").selectExpr(
+        # each pair of blocks of a bucket meets once
+        meetings = opened.selectExpr(
             "key", "cid", "component", f"{parts} AS parts", f"CAST(pmod(xxhash64(cid), {parts}) AS INT) AS block"
         )
         meetings = meetings.selectExpr("*", "explode(sequence(0, parts - 1)) AS other").selectExpr(
             "key", "cid", "component", "block", "least(block, other) AS i", "greatest(block, other) AS j"
         )
+        # a class is named after one of its rows, which has its set
+        ids = cut_lineage(opened.select("cid").distinct())
+        those = maybe_in(rows.select("row_id", "n", "items", "shared"), F.xxhash64("row_id"), ids.select(F.xxhash64("cid").alias("key")))
+        held = those.withColumnRenamed("row_id", "cid").join(ids, "cid", "left_semi")
         blocks = (
-            meetings.join(sketched, "cid")
-            .groupBy("key", "i", "j")
-            .applyInPandas(_candidates(most, percent), "a bigint, b bigint")
+            meetings.join(held, "cid")
+            .select(*[c.split()[0] for c in _MEETING.split(", ")])
+            .repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j")
+            .mapInArrow(_candidates(most, percent), "a bigint, b bigint")
         )
-        found = cut_lineage(blocks.unionByName(estimated(joined).select("a", "b")).distinct())
-        new = found.where("a <> b").join(tested, ["a", "b"], "left_anti")
-        new = cut_lineage(new.join(tested.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti"))
+        found = cut_lineage(blocks.distinct())
+        new = cut_lineage(found.where("a <> b").join(tested, ["a", "b"], "left_anti"))
         confirmed = _confirmed(docs, classes, new, percent)
         links = cut_lineage(links.unionByName(confirmed).distinct())
         # all pairs of different components were brought up, unless a block says that it left some
@@ -396,7 +478,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         tested = cut_lineage(tested.unionByName(new))
         most *= 8
-    labels = components(links)
+    labels = components(links)  # links of the last round included
     ids = classes.select("cid", "set_key", "doc_id").join(labels, "cid", "left")
     ids = ids.withColumn("component", F.coalesce("component", "cid"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -414,8 +496,11 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows, all columns as they are, whose doc_id is that of their component; of repeated rows one."""
     kept = cluster(docs, percent).where("kept")
-    stay = kept.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    own = docs.join(stay, same)
-    several = own.where("__rows > 1").dropDuplicates(["doc_id", "text"])
-    return own.where("__rows = 1").unionByName(several).select(*docs.columns)
+    stay = kept.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.count("*").alias("copies"))
+    # the row as one column beside new ones: its own names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("key"))
+    own = rows.join(stay, same)
+    several = own.where("copies > 1").withColumns({"id": F.col("row.doc_id"), "text": F.col("row.text")})
+    several = several.dropDuplicates(["id", "text"]).select("row", "id", "key", "copies")
+    return own.where("copies = 1").select("row").unionByName(several.select("row")).select("row.*")

@@ -133,3 +133,54 @@ def test_components(spark):
     got = {r["cid"]: r["component"] for r in near_dedup.components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 20: 20, 30: 20}
     assert near_dedup.components(links.limit(0)).count() == 0
+
+
+def test_small_sets_with_one_common_passage_bring_few_candidates(spark):
+    """Short texts that share a passage and nothing else do not meet in buckets."""
+    rng = random.Random(11)
+    passage = " ".join(prose(3, 8))
+    rows = []
+    for i in range(2000):
+        own = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.randint(10, 30))]
+        rows.append((i, " ".join(own[:5]) + " " + passage + " " + " ".join(own[5:])))
+    made = near_dedup.sketches(documents(spark, rows)).selectExpr("doc_id", "explode(keys) AS key")
+    size = [r["count"] for r in made.groupBy("key").count().where("count > 1").collect()]
+    assert sum(n * (n - 1) // 2 for n in size) < 400
+    got = near_dedup.cluster(documents(spark, rows)).collect()
+    assert all(r["kept"] for r in got) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("n", [7, 60, 399])
+def test_own_registers_agree_as_often_as_sets_do(n):
+    rng = np.random.default_rng(n)
+    common, each = int(n * 0.85), (n - int(n * 0.85)) // 2
+    share = common / (common + 2 * each)
+    agree = []
+    for _ in range(80):
+        x = rng.integers(0, 1 << 63, common + 2 * each).astype(np.uint64)
+        a, b = near_dedup.own_sketch(x[: common + each]), near_dedup.own_sketch(x[each:][:common] if not each else np.concatenate([x[:common], x[common + each :]]))
+        assert a.all() and b.all()
+        agree.append((a == b).mean())
+    assert abs(np.mean(agree) - share) < 0.02
+
+
+@pytest.mark.parametrize("keep", [near_dedup.keep_representatives, exact_dedup.keep_one])
+def test_clashing_names_stay(spark, keep):
+    names = "doc_id long, text string, row string, id string, key string, copies string, __id string, __key string, __rows string, __kept string, stays string"
+    text = " ".join(prose(6, 30))
+    rows = [(d, t, *"abcdefghi") for d, t in ((1, text), (2, text), (2, text), (3, "other"), (4, None))]
+    docs = spark.createDataFrame(rows, names)
+    out = keep(docs)
+    assert out.dtypes == docs.dtypes and out.count() == 3
+    assert {tuple(r)[2:] for r in out.collect()} == {tuple("abcdefghi")}
+
+
+def test_what_small_sets_share(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 5)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype("<u4") for _ in range(12)]
+    items = [s.tobytes() for s in sets] + [None]
+    rows, cols = np.array([0, 3, 12, 5]), np.arange(13)
+    got = near_dedup._common(items, rows, cols)
+    sets.append(np.empty(0, "<u4"))
+    assert got.tolist() == [[len(np.intersect1d(sets[r], sets[c])) if r != c or r == 12 else got[k, c] for c in cols] for k, r in enumerate(rows)]
