@@ -8,7 +8,9 @@ For scoring the product of each embedding with the output weights is one number
 bucket, and a text's logit the mean of its words' numbers: one pass, no shuffle.
 
 The fit uses at most ``MAX_FIT`` labelled rows, those of the smallest row hash; all
-else sees every row. Null and empty texts, and texts without words, get the score of
+else sees every row, repeated ones too, and whole texts, however long. Columns beside
+``doc_id`` and ``text`` are not read, whatever their names; ``keep_clean`` returns them as
+they are. Null and empty texts, and texts without words, get the score of
 the bias alone. Null labels are no labels; a document labelled both ways is toxic.
 Without labels of both kinds the score is the share of toxic ones (0 without any).
 """
@@ -110,8 +112,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     # what fewer than LEAST_DOCUMENTS texts hold is noise; it keeps the value 0
-    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= LEAST_DOCUMENTS
-    bags = [(b[seen[b]], w[seen[b]]) for b, w in bags]
+    holders = np.zeros(BUCKETS, np.int64)
+    for b, _ in bags:
+        holders[b] += 1
+    seen = holders >= LEAST_DOCUMENTS
+    # in place: a bag as it came and as it is used are never all there at once
+    for i, (b, w) in enumerate(bags):
+        bags[i] = (b[seen[b]], w[seen[b]])
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
@@ -191,7 +198,7 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT) -> Model:
     """Fit on the bags of at most ``max_rows`` labelled documents outside the held-out fifth.
 
-    What reaches the driver is bounded: ``max_rows`` bags of at most ``BUCKETS`` pairs.
+    What reaches the driver is bounded: ``max_rows`` bags of at most ``BUCKETS`` pairs of 6 bytes.
     """
     known = (
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -212,18 +219,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT) -> Model:
                 {
                     "doc_id": part.column("doc_id"),
                     "toxic": part.column("toxic"),
-                    "buckets": pa.array([b for b, _ in made], pa.list_(pa.int32())),
-                    "weights": pa.array([w for _, w in made], pa.list_(pa.float32())),
+                    "buckets": pa.array([b.astype("<u2").tobytes() for b, _ in made], pa.binary()),
+                    "weights": pa.array([w.astype("<f4").tobytes() for _, w in made], pa.binary()),
                 }
             )
 
-    made = texts.mapInArrow(bags, "doc_id bigint, toxic int, buckets array<int>, weights array<float>")
+    made = texts.mapInArrow(bags, "doc_id bigint, toxic int, buckets binary, weights binary")
     # repeated rows of one document count once
-    rows = made.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = made.dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy())
+    toxic = rows.column("toxic").to_numpy()[order]
     pairs = [
-        (np.asarray(b.values), np.asarray(w.values)) for b, w in zip(rows.column("buckets"), rows.column("weights"))
+        (np.frombuffer(rows.column("buckets")[i].as_py(), "<u2"), np.frombuffer(rows.column("weights")[i].as_py(), "<f4"))
+        for i in order.tolist()
     ]
-    return fit(pairs, np.asarray(rows.column("toxic")))
+    del rows
+    return fit(pairs, toxic)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
