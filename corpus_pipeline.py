@@ -11,6 +11,9 @@ from strataflow.session import scratch_path
 #: SQL cannot state a trained score or a token count.
 ORACLE_SQL = None
 
+#: Near copies share at least so many percent of their five-word shingles.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
@@ -25,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return near_dedup.keep_representatives(docs)
+    return near_dedup.keep_representatives(docs, NEAR_PERCENT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,9 +262,12 @@ def deduplicate(docs: DataFrame, owners: int | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are; of repeated rows one."""
-    decided = deduplicate(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    stay = decided.agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows")).where("__kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    kept = docs.join(stay, same)
-    several = kept.where("__rows > 1").dropDuplicates(["doc_id", "text"])
-    return kept.where("__rows = 1").unionByName(several).select(*docs.columns)
+    decided = deduplicate(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    stay = decided.agg(F.max("kept").alias("stays"), F.count("*").alias("copies")).where("stays")
+    # the row as one column beside new ones: its own names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("key"))
+    kept = rows.join(stay, same)
+    several = kept.where("copies > 1").withColumns({"id": F.col("row.doc_id"), "text": F.col("row.text")})
+    several = several.dropDuplicates(["id", "text"])
+    return kept.where("copies = 1").select("row").unionByName(several.select("row")).select("row.*")

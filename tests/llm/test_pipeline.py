@@ -24,7 +24,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     for d, t in left:
         keep[fold(t)] = max(keep.get(fold(t), (d, t)), (d, t), key=lambda r: r[0])
     left = list(keep.values())
-    left = [r for r, (_, _, c) in zip(left, brute(left)) if r[0] == c]
+    left = [r for r, (_, _, c) in zip(left, brute(left, pipeline.NEAR_PERCENT)) if r[0] == c]
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == {d for d, _ in left}
     from tests.llm.test_tokens import check_packing
