@@ -36,12 +36,17 @@ HEADLINE = [
 ]
 
 
-def bootstrap_100(spark, sf_dir):
-    """The resampling workload at 100 replicates: interval per metric, phase and run."""
-    from strataflow.operators.bootstrap import bootstrap_ci
-    from strataflow.sources.fixtures import Views
+def bootstrap(n_boot):
+    """The resampling workload in blocks of replicates: interval per metric, phase and run."""
 
-    return bootstrap_ci(Views(spark, sf_dir).predictions(), 100, ["phase", "iter"], metrics=["auc", "auprc", "loss_bce"])
+    def run(spark, sf_dir):
+        from strataflow.operators.replicates import replicate_intervals
+        from strataflow.sources.fixtures import Views
+
+        metrics = ["auc", "auprc", "loss_bce"]
+        return replicate_intervals(Views(spark, sf_dir).predictions(), n_boot, ["phase", "iter"], metrics=metrics)
+
+    return run
 
 
 def main() -> None:
@@ -51,7 +56,8 @@ def main() -> None:
     spark = local_session(CPUS, shuffle_partitions=int(CPUS), memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     work = {name: all_queries()[name] for name in HEADLINE}
-    work["bs_100_replicates"] = bootstrap_100
+    work["bs_100_replicates"] = bootstrap(100)
+    work["bs_1000_replicates"] = bootstrap(1000)
     # one small query starts the JVM's compilers and the file readers
     work["coh_longlos"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     seconds = {}

@@ -2,9 +2,10 @@
 
 
 from strataflow.operators import bootstrap as B
+from strataflow.operators import replicates as R
 from strataflow.plans.evaluation import BEST_SQL, ece_sql
 from strataflow.plans.registry import query, r
-from strataflow.plans.sqltext import draw_views, interval_sql, metrics_sql, q
+from strataflow.plans.sqltext import block_draw_views, draw_views, interval_sql, metrics_sql, q
 
 N_BOOT = 10
 FAST = ["auc", "loss_bce", "brier"]
@@ -207,3 +208,26 @@ def _(v):
     return B.compare_across_experiments(v.predictions(), v.predictions(15485863), 3, N_BOOT, FAST)
 
 
+# --- replicates in blocks ---------------------------------------------------------
+
+#: Small cells and a narrow tree, so that the given tables need several of both.
+BLOCK_LEAF, BLOCK_FAN, BLOCK_LEVELS = 256, 3, 12
+BLOCK_METRICS = ["auc", "auprc", "loss_bce", "brier", "mean_prediction"]
+BLOCK_VIEWS = block_draw_views("predictions", ["phase", "iter"], N_BOOT, BLOCK_LEAF, BLOCK_LEVELS)
+BLOCK_SQL = metrics_sql("blocks", REPEATED, BLOCK_METRICS)
+
+
+@query("bs_block_metrics", f"""{BLOCK_SQL}
+UNION ALL SELECT 'n' AS metric, boot_iter, phase, iter, {r("count(*)")} AS performance
+FROM predictions, range(1, {N_BOOT + 1}) AS b(boot_iter) GROUP BY ALL""", BLOCK_VIEWS)
+def _(v):
+    """Every metric of every replicate; ``n``, the rows drawn, is that of the stratum each time."""
+    return R.replicate_metrics(v.predictions(), N_BOOT, ["phase", "iter"], leaf=BLOCK_LEAF, fan=BLOCK_FAN)
+
+
+@query("bs_block_ci", interval_sql(
+    f"({metrics_sql('blocks', REPEATED, BLOCK_METRICS, rounded=False)})", ["metric", "phase", "iter"]), BLOCK_VIEWS)
+def _(v):
+    return R.replicate_intervals(
+        v.predictions(), N_BOOT, ["phase", "iter"], metrics=BLOCK_METRICS, leaf=BLOCK_LEAF, fan=BLOCK_FAN
+    )

@@ -169,3 +169,73 @@ def interval_sql(src: str, keys: Sequence[str], value: str = "performance", alph
         for n, p in (("ci_lower", alpha / 2), ("ci_med", 0.5), ("ci_upper", 1 - alpha / 2))
     )
     return f"SELECT {q(keys)}, {cols} FROM {src} WHERE {value} IS NOT NULL GROUP BY {q(keys)}"
+
+
+def block_draw_views(src: str, strata: Sequence[str], n_boot: int, leaf: int, levels: int, name: str = "blocks", seed: int = 44) -> dict[str, str]:
+    """View ``<name>``: ``strata, boot_iter, pred_probs, labels, w``, the draws dealt down a tree over cells of scores.
+
+    ``levels`` halvings must reach the cells of all rows; halvings of empty nodes draw nothing.
+    """
+    s, key = q(strata), f"concat_ws('|', {q(strata)})"
+    whole = " AND ".join(f'"{c}" IS NOT NULL' for c in [*strata, "labels", "pred_probs"])
+    hashed = lambda *parts: f"md5(concat_ws('|', {', '.join(map(str, [seed, *parts]))}))"
+    part = lambda d, a: f"('0x' || substr({d}, {a}, 12))::BIGINT % {PRIME}"
+    number = lambda d: f"(({part(d, 1)} + boot_iter * ({part(d, 13)})) % {PRIME} + 0.5) / {PRIME}"
+
+    def quantiles(trials: str) -> str:
+        """Least k whose cumulated binomial terms reach u: ``trials`` has ``id, m, p, u``."""
+        reach = "12 * sqrt(m * p * (1 - p)) + 20"
+        return f"""
+SELECT id, min(k) FILTER (cum >= u * tot) AS got FROM (
+  SELECT *, sum(w) OVER (PARTITION BY id ORDER BY k) AS cum, sum(w) OVER (PARTITION BY id) AS tot FROM (
+    SELECT *, exp(lw - max(lw) OVER (PARTITION BY id)) AS w FROM (
+      SELECT *, sum(CASE WHEN k = lo THEN 0.0::DOUBLE ELSE ln((m - k + 1)::DOUBLE / k * (p / (1 - p))) END) OVER (PARTITION BY id ORDER BY k) AS lw
+      FROM (SELECT *, unnest(range(lo, hi + 1)) AS k FROM (
+        SELECT *, greatest(floor(m * p - ({reach})), 0)::BIGINT AS lo, least(ceil(m * p + ({reach})), m)::BIGINT AS hi FROM {trials})))))
+GROUP BY id"""
+
+    views = {
+        f"mat_{name}_points": f"""
+SELECT *, 2 * (before // {leaf}) + CASE WHEN c0 + c1 >= {leaf} THEN 1 ELSE 0 END AS cell FROM (
+  SELECT *, coalesce(sum(c0 + c1) OVER (PARTITION BY name ORDER BY pred_probs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM (SELECT {key} AS name, {s}, pred_probs, count(*) FILTER (labels <> 1) AS c0, count(*) FILTER (labels = 1) AS c1
+        FROM {src} WHERE {whole} GROUP BY ALL))""",
+        f"mat_{name}_sizes": f"""
+SELECT name, label, cell, CASE label WHEN 0 THEN c0 ELSE c1 END AS size
+FROM (SELECT name, cell, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1 FROM mat_{name}_points GROUP BY ALL), range(2) AS l(label)""",
+        f"mat_{name}_roots": f"""
+SELECT row_number() OVER () AS id, name, n1, n AS m, n1::DOUBLE / n AS p, boot_iter, {number(hashed("'label'", "name"))} AS u
+FROM (SELECT name, sum(size)::BIGINT AS n, (sum(size) FILTER (label = 1))::BIGINT AS n1 FROM mat_{name}_sizes GROUP BY name),
+     range(1, {n_boot + 1}) AS b(boot_iter)""",
+        f"mat_{name}_{levels}": f"""
+SELECT name, label, 0 AS node, boot_iter, CASE label WHEN 1 THEN ones ELSE m - ones END AS m FROM (
+  SELECT name, boot_iter, m, CASE WHEN n1 = m THEN m WHEN n1 = 0 THEN 0 ELSE got END AS ones FROM mat_{name}_roots
+  LEFT JOIN ({quantiles(f"(FROM mat_{name}_roots WHERE n1 > 0 AND n1 < m)")}) USING (id)), range(2) AS l(label)""",
+    }
+    for level in range(levels - 1, -1, -1):
+        size = f"SELECT name, label, cell >> {level} AS node, sum(size)::BIGINT AS size FROM mat_{name}_sizes GROUP BY ALL"
+        views[f"mat_{name}_halves_{level}"] = f"""
+SELECT row_number() OVER () AS id, p.name, p.label, p.node, p.boot_iter, p.m, coalesce(a.size, 0) AS a, coalesce(b.size, 0) AS b,
+       coalesce(a.size, 0)::DOUBLE / (coalesce(a.size, 0) + coalesce(b.size, 0)) AS p,
+       {number(hashed("'split'", "p.name", "p.label", level + 1, "p.node"))} AS u
+FROM mat_{name}_{level + 1} p LEFT JOIN ({size}) a ON p.name = a.name AND p.label = a.label AND a.node = 2 * p.node
+LEFT JOIN ({size}) b ON p.name = b.name AND p.label = b.label AND b.node = 2 * p.node + 1"""
+        views[f"mat_{name}_{level}"] = f"""
+SELECT name, label, 2 * node + side AS node, boot_iter, CASE side WHEN 0 THEN low ELSE m - low END AS m FROM (
+  SELECT name, label, node, boot_iter, m, a, b, CASE WHEN b = 0 THEN m WHEN a = 0 THEN 0 ELSE got END AS low FROM mat_{name}_halves_{level}
+  LEFT JOIN ({quantiles(f"(FROM mat_{name}_halves_{level} WHERE a > 0 AND b > 0)")}) USING (id)), range(2) AS l(side)
+WHERE CASE side WHEN 0 THEN a ELSE b END > 0"""
+    views[f"mat_{name}_rows"] = f"""
+SELECT {s}, name, cell, label, pred_probs, c AS size,
+       (sum(c) OVER (PARTITION BY name, cell, label ORDER BY pred_probs ROWS UNBOUNDED PRECEDING) - c)::BIGINT AS start
+FROM (SELECT {s}, name, cell, pred_probs, label, CASE label WHEN 0 THEN c0 ELSE c1 END AS c FROM mat_{name}_points, range(2) AS l(label))
+WHERE c > 0"""
+    views[f"mat_{name}_places"] = f"""
+SELECT name, label, cell, boot_iter, ({part("digest", 1)} + boot_iter * ({part("digest", 13)})) % {PRIME} % size AS place FROM (
+  SELECT m.name, m.label, m.node AS cell, m.boot_iter, size, {hashed("'draw'", "m.name", "m.label", "m.node", "j")} AS digest
+  FROM (SELECT *, unnest(range(m)) AS j FROM mat_{name}_0) m JOIN mat_{name}_sizes z ON m.name = z.name AND m.label = z.label AND m.node = z.cell)"""
+    views[name] = f"""
+SELECT {q(strata, 'r.')}, boot_iter::INTEGER AS boot_iter, pred_probs, r.label::INTEGER AS labels, count(*)::DOUBLE AS w
+FROM mat_{name}_places p ASOF JOIN mat_{name}_rows r ON p.name = r.name AND p.label = r.label AND p.cell = r.cell AND p.place >= r.start
+GROUP BY ALL"""
+    return views

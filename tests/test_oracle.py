@@ -33,6 +33,8 @@ FAST = [
     "bs_resample_counts",
     "bs_avg",
     "bs_compare_best",
+    "bs_block_metrics",
+    "bs_block_ci",
     "rpt_results_table",
     "rpt_lambda_from_name",
     "src_partition_prune",
