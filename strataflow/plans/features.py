@@ -200,9 +200,20 @@ def _(v):
 
 # all seven sources; the columns are what the data holds
 ALL_LONG = {"all_long": long_sql()}
-PIVOT_ALL = """(PIVOT (SELECT subject_id, replace(feature_id, '.', '_') AS feature_id, feature_val FROM all_long)
-      ON feature_id USING avg(feature_val) GROUP BY subject_id)"""
-MEASURES_ALL = r("COLUMNS('.*_measurement_.*')")
+GRID_VIEWS = {
+    **ALL_LONG,
+    "mat_all_words": "SELECT DISTINCT feature_id FROM all_long",
+    "mat_all_values": "SELECT subject_id, feature_id, avg(feature_val) AS x FROM all_long GROUP BY subject_id, feature_id",
+    "mat_all_seen": "SELECT DISTINCT subject_id FROM all_long",
+}
+#: A missing count of a patient with events is 0.
+VALUE_ALL = r("CASE WHEN x IS NULL AND feature_id LIKE '%count%' AND s.subject_id IS NOT NULL THEN 0 ELSE x END")
+
+
+def stacked(wide, keys):
+    """A wide frame as one row per patient and feature, NULLs and zeros included."""
+    features = [c for c in wide.columns if c not in keys]
+    return wide.unpivot(list(keys), [F.col(f"`{c}`") for c in features], "feature", "value")
 
 
 def wide_all(v):
@@ -211,17 +222,24 @@ def wide_all(v):
 
 
 @query("fx_wide_all", f"""
-SELECT subject_id, {r("coalesce(COLUMNS('.*_count_.*'), 0)")}, {MEASURES_ALL} FROM {PIVOT_ALL}""", ALL_LONG)
+SELECT s.subject_id, feature_id AS feature, {VALUE_ALL} AS value
+FROM mat_all_seen s CROSS JOIN mat_all_words LEFT JOIN mat_all_values USING (subject_id, feature_id)""", GRID_VIEWS)
 def _(v):
-    return wide_all(v)
+    return stacked(wide_all(v), ["subject_id"])
+
+
+TABLE_KEYS = ["subject_id", "label", "group_var", "insurance", "marital_status", "ethnicity", "language", "age", "gender"]
 
 
 @query("fx_table_all", f"""
-SELECT subject_id, label, group_var, insurance, marital_status, ethnicity, language, age, gender,
-       {r("CASE WHEN __seen THEN coalesce(COLUMNS('.*_count_.*'), 0) END")}, {MEASURES_ALL}
-FROM cohort_demographics LEFT JOIN (SELECT *, TRUE AS __seen FROM {PIVOT_ALL}) USING (subject_id)""", ALL_LONG)
+SELECT {", ".join("d." + k for k in TABLE_KEYS)}, feature_id AS feature, {VALUE_ALL} AS value
+FROM cohort_demographics d CROSS JOIN mat_all_words LEFT JOIN mat_all_seen s ON d.subject_id = s.subject_id
+LEFT JOIN mat_all_values a ON a.subject_id = d.subject_id AND a.feature_id = mat_all_words.feature_id""".replace(
+    "feature_id AS feature", "mat_all_words.feature_id AS feature").replace("AND feature_id LIKE", "AND mat_all_words.feature_id LIKE"), GRID_VIEWS)
 def _(v):
-    return X.feature_table(C.demographics(long_stay(v), v.admissions, v.patients), wide_all(v))
+    demo, wide = C.demographics(long_stay(v), v.admissions, v.patients), wide_all(v)
+    table = X.feature_table(demo, wide).select(*TABLE_KEYS, *[F.col(f"`{c}`") for c in wide.columns[1:]])
+    return stacked(table, TABLE_KEYS)
 
 
 LAB_IDS = [f"{i}_labs_measurement_avg_{BINS[0].name}" for i in range(20)]
