@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Characters of text that a task works on at once.
+#: Bytes of text that a task works on at once.
 SLICE_CHARS = 4_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Arrow batches cut so that the texts of a part hold about ``SLICE_CHARS``; null texts become empty."""
+    """Arrow batches cut so that the texts of a part hold about ``SLICE_CHARS``; null texts become empty.
+
+    Only the texts of one part are strings at a time, and what a batch held goes back before the next.
+    """
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= SLICE_CHARS:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, done = 0, 0
+        while start < batch.num_rows:
+            stop = min(int(np.searchsorted(ends, done + SLICE_CHARS)) + 1, batch.num_rows)
+            part = batch.slice(start, stop - start)
+            yield part, [t or "" for t in part.column(text).to_pylist()]
+            start, done = stop, int(ends[stop - 1])
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def per_slice(df: DataFrame, work: Callable[[pa.RecordBatch, list[str]], dict], schema: str) -> DataFrame:
