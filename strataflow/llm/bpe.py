@@ -310,6 +310,11 @@ class Encoder:
         self.plain: dict[str, bytes] = {}
         self._special = re.compile("(" + "|".join(map(re.escape, self.merges.specials)) + ")")
 
+    def forget(self) -> None:
+        """Give up what was kept of parts."""
+        self.spaced.clear()
+        self.plain.clear()
+
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         single = [p.isalpha() or p[:1] == " " and p[1:].isalpha() for p in parts]
         split = [(p,) if one else pretokens(p) for p, one in zip(parts, single)]

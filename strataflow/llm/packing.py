@@ -62,6 +62,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int
                 [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        # the worker lives on: what this task learned would stay beside what the next stage holds
+        encoder(path).forget()
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -40,7 +40,7 @@ BATCH = 128
 RATE = 0.05
 #: Weight of the penalty against all rows together: few rows are fitted less closely.
 DECAY = 0.12
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _LONGEST = 40  # bytes of a word that its n-grams are taken from; longer ones fall apart into such parts
 
 #: Lower-cases A-Z and turns ASCII characters that are neither letters nor digits into spaces.
