@@ -59,17 +59,19 @@ def vectors(spark, rows):
 
 
 def brute(rows, every, k):
-    ints = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            one = tuple(int(np.floor(64 * float(np.float32(x)))) for x in v)
-            ints[i] = min(ints.get(i, one), one)
-    out = []
-    for q, x in ints.items():
+    """Every row is a candidate and, by its id, a query; rows of one id are ranked together."""
+    ints = [
+        (i, [int(np.floor(64 * float(np.float32(x)))) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    found = {}
+    for q, x in ints:
         if q % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ints.items() if i != q and len(y) == len(x))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
-    return sorted(out)
+            found.setdefault(q, []).extend(
+                (-sum(a * b for a, b in zip(x, y)), i) for i, y in ints if i != q and len(y) == len(x)
+            )
+    return sorted((q, r + 1, i, -s) for q, f in found.items() for r, (s, i) in enumerate(sorted(f)[:k]))
 
 
 @pytest.mark.parametrize("block", [2048, 13])
@@ -82,7 +84,8 @@ def test_topk(spark, block, monkeypatch):
     rows = [(i, [float(x) for x in centre[i % 4] + rng.normal(size=12) * rng.choice([0.05, 1.0])]) for i in range(260)]
     rows += [(300 + i, [0.5] * 12) for i in range(40)]  # ties
     rows += [(400, None), (401, [None] * 12), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [1.0] * 12)]
-    rows += [(20, rows[20][1]), (404, [1.0, 2.0]), (420, [3.0, 1.0]), (440, []), (460, [9.0e5] * 12)]
+    rows += [(20, rows[20][1]), (40, rows[41][1]), *[(7, rows[7][1])] * 3, (8, rows[3][1]), (-20, rows[1][1]), (-3, rows[2][1])]
+    rows += [(404, [1.0, 2.0]), (420, [3.0, 1.0]), (440, []), (460, [9.0e5] * 12)]
     got = topk.top_products(vectors(spark, rows), "vec_id % 20 = 0", 5).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 20, 5)
 
@@ -108,3 +111,18 @@ def test_bounds_stop_reading(monkeypatch):
     topk.read_block(best, np.array([-5, -6, -7]), q, 1000 + np.arange(2000), x)
     assert sum(depths) < 3 * 2000 * 0.1
     assert best.id.tolist() == [[0, 1]] * 3
+
+
+def test_partly_read_candidates_set_the_floor(monkeypatch):
+    """In the first block, before any score is known, the k-th lower bound ends the reading."""
+    x = np.zeros((400, 4), np.int64)
+    x[:3] = 50, 40, 30, 60
+    x[3:] = np.random.default_rng(3).integers(-2, 3, (397, 4))
+    read = []
+    bounds = topk._bounds
+    monkeypatch.setattr(topk, "_bounds", lambda *a: (read.append(len(a[1])), bounds(*a))[1])
+    best = topk.Best(1, 3)
+    topk.read_block(best, np.array([-1]), np.array([[3, 1, 2, 5]]), np.arange(400), x)
+    assert read == [400] and best.id.tolist() == [[0, 1, 2]]
+    upper, lower = bounds(np.array([[2, -1]]), np.array([[5, 1], [1, 9]]), np.array([3, 3]), np.array([2, 2]), np.array([8, 9]), np.array([-4, 0]), np.int64)
+    assert upper.tolist() == [[9, 4]] and lower.tolist() == [[9, -17]]
