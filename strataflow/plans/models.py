@@ -76,7 +76,7 @@ GRID = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
 
 def searched(v, metric="loss_bce"):
     data, _ = training_frame(v)
-    return ML.grid_search("lr", GRID, part(data, "train"), part(data, "val"), metric=metric)
+    return ML.search_logistic(GRID, part(data, "train"), part(data, "val"), metric=metric)
 
 
 @query("ml_grid_search")
@@ -96,6 +96,63 @@ def _(v):
     return IO.read_params(v.spark, paths, "analysis_id string, metric string, regParam double, elasticNetParam double")
 
 
+# --- many logistic models at once -------------------------------------------------
+
+PENALTIES = (0.0, 0.01, 0.03, 0.1, 0.3, 1.0)
+RIDGE = {
+    "mat_ridge_rows": """
+SELECT labels::DOUBLE AS y, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, x AS raw, phase
+FROM (SELECT labels, phase, ln(pred_probs / (1 - pred_probs)) AS x FROM predictions)""",
+    "mat_ridge_0": f"""
+SELECT reg, (SELECT ln(avg(y) / (1 - avg(y))) FROM mat_ridge_rows) AS a, 0.0::DOUBLE AS b
+FROM (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PENALTIES)}]) AS reg)""",
+}
+for _i in range(1, 10):
+    RIDGE[f"mat_ridge_{_i}"] = f"""
+SELECT reg, a + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b
+FROM (SELECT reg, any_value(a) AS a, any_value(b) AS b, avg(y - p) AS g0, avg((y - p) * x) - reg * any_value(b) AS g1,
+             avg(p * (1 - p)) AS h00, avg(p * (1 - p) * x) AS h01, avg(p * (1 - p) * x * x) + reg AS h11
+      FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM mat_ridge_rows CROSS JOIN mat_ridge_{_i - 1}) GROUP BY reg)"""
+
+
+def penalised(v):
+    """Predictions as one feature, and the models of all penalties on it."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = v.predictions().select(
+        "phase", F.col("labels").alias("label"),
+        array_to_vector(F.array(F.expr("ln(pred_probs / (1 - pred_probs))"))).alias("features"),
+    )
+    rows = cut_lineage(rows)
+    return rows, ML.fit_many(rows, [{"regParam": p} for p in PENALTIES])
+
+
+@query("ml_penalty_path", f"""
+SELECT reg, {r("b / s", 5)} AS slope, {r("a - b * m / s", 5)} AS intercept
+FROM mat_ridge_9, (SELECT avg(raw) AS m, stddev_samp(raw) AS s FROM mat_ridge_rows)""", RIDGE)
+def _(v):
+    """Models of all penalties, fitted together, against Newton's steps."""
+    _, found = penalised(v)
+    rows = [(p, float(c[0]), float(b)) for p, c, b in zip(PENALTIES, found.coefficients, found.intercepts)]
+    made = v.spark.createDataFrame(rows, "reg double, slope double, intercept double")
+    return made.selectExpr("reg", "round(slope, 5) + 0D AS slope", "round(intercept, 5) + 0D AS intercept")
+
+
+@query("ml_penalty_scores", f"""
+SELECT reg, phase, count(*) AS n, {r("avg(p)", 5)} AS mean_prediction, {r("avg((p - y) * (p - y))", 5)} AS brier
+FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM mat_ridge_rows CROSS JOIN mat_ridge_9) GROUP BY reg, phase""", RIDGE)
+def _(v):
+    """The same models' scores of all rows, made in one pass."""
+    rows, found = penalised(v)
+    scored = found.score(rows, keep=["phase", "label"])
+    reg = F.element_at(F.array(*map(F.lit, PENALTIES)), F.col("setting") + 1)
+    return scored.withColumn("reg", reg).groupBy("reg", "phase").agg(
+        F.count("*").alias("n"),
+        F.expr("round(avg(pred_probs), 5) + 0D").alias("mean_prediction"),
+        F.expr("round(avg((pred_probs - label) * (pred_probs - label)), 5) + 0D").alias("brier"),
+    )
+
+
 # --- group penalties --------------------------------------------------------------
 
 CORAL_CELLS = """
