@@ -15,7 +15,7 @@ of replicates and append their results; ranges join without overlap.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +164,28 @@ def evaluate_best(
 EVALUATIONS = {"avg": evaluate_avg, "ensemble": evaluate_ensemble, "best": evaluate_best}
 
 
+#: Lower ends of the age bands after the first.
+AGE_ENDS = (40, 60, 80)
+
+
+def age_band(age: str, ends: Sequence[int] = AGE_ENDS) -> str:
+    """SQL expression of an age's band, such as ``40-59``; NULL stays NULL."""
+    names = [f"under {ends[0]}", *[f"{a}-{b - 1}" for a, b in zip(ends, ends[1:])], f"{ends[-1]} and over"]
+    whens = " ".join(f"WHEN {age} < {e} THEN '{n}'" for e, n in zip(ends, names))
+    return f"CASE {whens} WHEN {age} >= {ends[-1]} THEN '{names[-1]}' END"
+
+
+def stack_attributes(df: DataFrame, attributes: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
+    """A row per row and attribute it has a value of: ``keep, attribute, value``.
+
+    ``attributes`` gives each name's SQL expression. All attributes are evaluated from one
+    scan, as strata of ``(attribute, value)``.
+    """
+    pairs = ", ".join(f"'{name}', CAST({expr} AS STRING)" for name, expr in attributes.items())
+    stacked = df.selectExpr(*map(quoted, keep), f"stack({len(attributes)}, {pairs}) AS (attribute, value)")
+    return stacked.where("value IS NOT NULL")
+
+
 def pair_predictions(
     base: DataFrame, test: DataFrame, keys: Sequence[str] = ("phase", "iter", "ids"), check: bool = False
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 
 from strataflow.operators import bootstrap as B
 from strataflow.operators import replicates as R
+from strataflow.operators.metrics import mean_over_iterations
 from strataflow.plans.evaluation import BEST_SQL, ece_sql
 from strataflow.plans.registry import query, r
 from strataflow.plans.sqltext import block_draw_views, draw_views, interval_sql, metrics_sql, q
@@ -231,3 +232,47 @@ def _(v):
     return R.replicate_intervals(
         v.predictions(), N_BOOT, ["phase", "iter"], metrics=BLOCK_METRICS, leaf=BLOCK_LEAF, fan=BLOCK_FAN
     )
+
+
+# --- all attributes at once -------------------------------------------------------
+
+ATTRIBUTES = {
+    **{a: a for a in ("insurance", "marital_status", "ethnicity", "language", "gender")},
+    "age": B.age_band("age"),
+}
+BY_VALUE = ["phase", "attribute", "value"]
+
+
+def stacked_sql(src: str, columns: str) -> str:
+    each = " UNION ALL ".join(f"SELECT {columns}, '{n}' AS attribute, ({e})::VARCHAR AS value FROM w" for n, e in ATTRIBUTES.items())
+    return f"WITH w AS (SELECT p.*, d.* EXCLUDE (ids) FROM {src} p JOIN demographics d ON p.ids = d.ids) SELECT * FROM ({each}) WHERE value IS NOT NULL"
+
+
+def by_attribute(v, predictions=None):
+    return B.stack_attributes(with_demographics(v, predictions), ATTRIBUTES, ["phase", "iter", "ids", "labels", "pred_probs"])
+
+
+@query("bs_by_attributes", two_level("attr_blocks", ["boot_iter", *BY_VALUE], BLOCK_METRICS), {
+    "pred_attr": stacked_sql("predictions", "phase, iter, ids, labels, pred_probs"),
+    **block_draw_views("pred_attr", [*BY_VALUE, "iter"], N_BOOT, BLOCK_LEAF, BLOCK_LEVELS, "attr_blocks")})
+def _(v):
+    """Replicates within every value of all six attributes, in blocks: mean and deviation over the runs."""
+    metrics = R.replicate_metrics(
+        by_attribute(v), N_BOOT, [*BY_VALUE, "iter"], BLOCK_METRICS, leaf=BLOCK_LEAF, fan=BLOCK_FAN
+    )
+    return mean_over_iterations(metrics, ["boot_iter", *BY_VALUE])
+
+
+@query("bs_compare_by_attributes", difference(
+    two_level("attr_sides", ["side", "boot_iter", *BY_VALUE], rounded=False), ["boot_iter", *BY_VALUE], "mean"), {
+    "pairs": PAIRS["pairs"],
+    "pairs_attr": stacked_sql("pairs", "phase, iter, ids, labels, pred_base, pred_test"),
+    **draw_views("pairs_attr", [*BY_VALUE, "iter"], ["ids"], N_BOOT, "drawn_attr"),
+    "attr_sides": """
+SELECT * EXCLUDE (pred_base, pred_test), 'base' AS side, pred_base AS pred_probs FROM drawn_attr
+UNION ALL SELECT * EXCLUDE (pred_base, pred_test), 'test', pred_test FROM drawn_attr"""})
+def _(v):
+    """Both models within every value of all six attributes."""
+    return B.compare_models(
+        by_attribute(v), by_attribute(v, v.predictions(15485863)), "avg", BY_VALUE, n_boot=N_BOOT, metrics=FAST
+    )

@@ -254,6 +254,9 @@ class Views:
             "o_orderpriority AS insurance",
             "CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender",
             "CASE o_orderkey % 3 WHEN 0 THEN 'ENGLISH' WHEN 1 THEN 'OTHER' END AS language",
+            "CASE o_custkey % 4 WHEN 0 THEN 'SINGLE' WHEN 1 THEN 'MARRIED' WHEN 2 THEN 'WIDOWED' END AS marital_status",
+            "CASE WHEN o_custkey % 5 < 3 THEN 'WHITE' ELSE 'OTHER' END AS ethnicity",
+            "18 + o_custkey % 73 AS age",
         )
         return orders
 
@@ -356,7 +359,9 @@ FROM (SELECT o_orderkey AS ids, (CASE WHEN year(o_orderdate) < 1997 THEN 0 WHEN
     "demographics": """
 SELECT o_orderkey AS ids, o_orderpriority AS insurance,
        CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
-       CASE o_orderkey % 3 WHEN 0 THEN 'ENGLISH' WHEN 1 THEN 'OTHER' END AS language
+       CASE o_orderkey % 3 WHEN 0 THEN 'ENGLISH' WHEN 1 THEN 'OTHER' END AS language,
+       CASE o_custkey % 4 WHEN 0 THEN 'SINGLE' WHEN 1 THEN 'MARRIED' WHEN 2 THEN 'WIDOWED' END AS marital_status,
+       CASE WHEN o_custkey % 5 < 3 THEN 'WHITE' ELSE 'OTHER' END AS ethnicity, 18 + o_custkey % 73 AS age
 FROM orders""",
     "toxicity": """
 SELECT d.doc_id, lang AS "group", 1.0::DOUBLE / (1.0::DOUBLE + n_chars::DOUBLE / 1000.0::DOUBLE) AS pred_probs,

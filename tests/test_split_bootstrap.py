@@ -313,3 +313,14 @@ def test_one_stratum_holds_most_rows(spark):
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     row_windows = [line for line in plan.splitlines() if "Window [" in line and "__sum" not in line]
     assert row_windows and all("__bucket" in line for line in row_windows)
+
+
+def test_attributes_are_stacked(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 39), (2, None, 40), (3, "b", 80), (4, None, None)], "ids int, kind string, age int"
+    )
+    got = B.stack_attributes(rows, {"kind": "kind", "age": B.age_band("age")}, ["ids"]).collect()
+    assert sorted(tuple(r) for r in got) == [
+        (1, "age", "under 40"), (1, "kind", "a"), (2, "age", "40-59"), (3, "age", "80 and over"), (3, "kind", "b"),
+    ]
+    assert B.stack_attributes(rows.where("false"), {"kind": "kind"}, ["ids"]).count() == 0
