@@ -35,15 +35,15 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-# Labelled addresses. Fixed values, written for this table.
+# Labelled addresses. Fixed values, written for this table; none is taken from the pages that are judged.
 _BLOCKED = """
-spam-farm.test/en/1 www.spam-links.test/page/3 best-spam.test/ seo-link-farm.test/list linkfarm.test/out/99
-cheap-pills.test/en/44 www.cheap-meds.test/order/12 buy-pills-online.test/cart pills-discount.test/viagra m.cheap-viagra.test/item/8
+spam-posts.test/en/2 www.spam-links.test/page/3 best-spam.test/ seo-link-farm.test/list linkfarm.test/out/99
+discount-pills.test/en/44 www.cheap-meds.test/order/12 buy-pills-online.test/cart pills-discount.test/viagra m.cheap-viagra.test/item/8
 online-pharmacy-pills.test/no-prescription cheap-watches.test/replica/7 replica-bags.test/cheap
-casino-win.test/en/7 www.casino-bonus.test/slots best-casino.test/roulette casino-royal.test/jackpot mega-slots.test/win win-big-casino.test/free-spins
-free-bets.test/en/5 m.free-bets-now.test/odds sports-bets.test/tips betting-win.test/free bets-online.test/signup poker-win.test/table poker-free.test/chips
-ads-track.test/en/584 ads-server.test/click/1 track-clicks.test/pixel ad-tracker.test/banner popunder-ads.test/serve click-track.test/r?u adserv.test/track
-adult-x.test/en/31 m.adult-x.test/fr/305 blog.adult-x.test/es/9 adult-x.test/en adults-only-x.test/de/66 www.adult-x-rated.test/watch adult-xxx.test/de/8 adult-movies.test/fr/77 xxx-videos.test/free adult-cams.test/live sexy-dates.test/chat hot-singles.test/meet porn-free.test/tube
+casino-night.test/en/7 www.casino-bonus.test/slots best-casino.test/roulette casino-royal.test/jackpot mega-slots.test/win win-big-casino.test/free-spins
+free-wagers.test/en/5 m.bets-today.test/odds sports-bets.test/tips betting-win.test/free bets-online.test/signup poker-win.test/table poker-free.test/chips
+ads-network.test/en/71 tracking-pixel.test/de/6 ads-server.test/click/1 track-clicks.test/pixel ad-tracker.test/banner popunder-ads.test/serve click-track.test/r?u adserv.test/track
+adult-chat.test/en/12 www.adult-photos.test/es/4 adult-dating.test/de/19 adults-only.test/watch m.adult-stories.test/fr/2 adult-movies.test/fr/77 xxx-videos.test/free adult-cams.test/live sexy-dates.test/chat hot-singles.test/meet porn-free.test/tube
 free-money.test/claim prize-winner.test/claim-now you-won-prize.test/iphone lottery-win.test/ticket get-rich-quick.test/crypto crypto-double.test/send
 free-downloads.test/crack warez-crack.test/keygen torrent-free.test/movie serial-keys.test/full payday-loans.test/apply cheap-loans.test/fast miracle-diet.test/fat-burn weight-loss-pills.test/order
 phish-login.test/verify-account secure-update-bank.test/login.php account-verify.test/confirm free-gift-cards.test/win malware-drop.test/setup.exe
@@ -52,9 +52,10 @@ _ALLOWED = """
 x.test a.test/ q.org.test i.test/en/3 up.test/about hello.test shop.test/item/3 my.site.test/en/9 www.firm.test/en/7 thistle.test/en/25 www.meadow.test/about blog.northwind.test/2021/05/notes docs.fieldstone.test/guide/start m.harbour.test/en/474.html
 library.university.test/catalogue/item/12 museum.city.test/exhibits/3 news.dailypaper.test/world/article-882 www.weather.test/forecast/berlin
 recipes.kitchen.test/soup/12 garden.home.test/plants/roses travel.guide.test/fr/paris history.archive.test/de/1848 science.journal.test/vol/12/paper.pdf
-blog.thenton.test/en/960 ththre.test/fr/825 blog.tionsh.test/es/533 www.therti.test/en/334 thring.test/en/328 m.therou.test/de/252 blog.therion.test/es/978
-therha.test/en/676 ththan.test/en/369 blog.thernd.test/de/612 www.ththen.test/en/148.html ther.test/es/41 ststion.test/en/671 blog.entle.test/en/78
-inerat.test/fr/449 blog.ouster.test/es/575 www.erted.test/en/119 ndthing.test/de/963 m.anther.test/fr/88 esting.test/en/853 blog.rether.test/fr/10
+blog.gardener.test/en/412 oakridge.test/fr/96 blog.winterbourne.test/es/208 www.stonemason.test/en/517 lanterns.test/en/33 m.riverside.test/de/770 blog.carpenter.test/es/64
+millstream.test/en/845 bluebell.test/en/129 blog.heather.test/de/381 www.weavers.test/en/902.html tern.test/es/75 station.test/en/258 blog.potter.test/en/610
+orchard.test/fr/147 blog.lighthouse.test/es/936 www.mercer.test/en/484 nothing.test/de/53 m.panther.test/fr/699 resting.test/en/317 blog.brother.test/fr/28
+theatre.test/en/571 together.test/de/222 wanderer.test/es/830 www.leather.test/en/19 feathers.test/fr/444 m.northern.test/en/708 blog.thunder.test/de/155
 code.repository.test/project/readme api.service.test/v2/docs forum.makers.test/thread/771 school.district.test/calendar hospital.region.test/departments
 government.portal.test/forms/tax parliament.test/debates/2019 court.test/rulings/77 charity.test/donate music.festival.test/programme
 film.review.test/en/44 book.club.test/list/9 chess.club.test/results bird.watch.test/species/robin astronomy.society.test/moon hiking.trails.test/map/8

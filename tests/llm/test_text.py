@@ -208,3 +208,11 @@ def test_pages_whole_table(spark):
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         plain = entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner)))
         assert got[r["page_id"]] == " ".join(plain.split())
+
+
+def test_url_labels_hold_no_judged_host(spark):
+    """Hosts of the given pages are not in the table, so their verdicts are not memorised."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    named = {urls._labels_of(r["host"]).split(".")[-1] for r in urls.judge(pages).select("host").distinct().collect()}
+    known = {a.partition("/")[0].removesuffix(".test").split(".")[-1] for a, _ in urls._LABELLED}
+    assert not known & named
