@@ -66,6 +66,9 @@ SLACK = 2
 COLUMNS = 4096
 #: Rows of a block that are compared at once.
 STRIP = 128
+#: Classes per partition of what holds a few numbers per class (links, labels, candidates), and the
+#: fewest partitions. A shuffle writes files for each partition it reads, however few rows there are.
+CLASSES_PER_PARTITION, LEAST_PARTITIONS = 20_000, 8
 CACHE_ENTRIES = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -280,21 +283,24 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int = LEAST_PARTITIONS) -> DataFrame:
     """``cid, component`` (its smallest cid) of all ends of ``links`` (a, b), by large and small stars.
 
     Both steps are a minimum per node, taken map-side first, and a join back; a node
-    of very many links is no heavy group.
+    of very many links is no heavy group. What is shuffled comes from ``parts`` partitions at most.
     """
-    edges = cut_lineage(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct())
+    edges = links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v").distinct()
+    edges = cut_lineage(edges).coalesce(parts)
     while not _are_stars(edges):
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v")
         large = large.unionByName(least.where("m < u").selectExpr("u", "m AS v")).where("u > v").distinct()
+        large = cut_lineage(large).coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").selectExpr("IF(v = m, u, v) AS u", "m AS v").where("u > v")
-        edges = cut_lineage(small.unionByName(least.selectExpr("u", "m AS v")).distinct())
+        edges = small.unionByName(least.selectExpr("u", "m AS v")).coalesce(parts).distinct()
+        edges = cut_lineage(edges).coalesce(parts)
     return edges.selectExpr("u AS cid", "v AS component").unionByName(
         edges.selectExpr("v AS cid", "v AS component").distinct()
     )
@@ -422,6 +428,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.first("keys").alias("keys"),
         )
     )
+    parts = max(LEAST_PARTITIONS, -(-classes.count() // CLASSES_PER_PARTITION))
     banded = classes.select("cid", F.explode("keys").alias("key"))
     heads = banded.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("members")).where("members > 1")
     members = cut_lineage(banded.join(heads, "key"))
@@ -440,26 +447,26 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     near = sized.select("a", "b", _estimate(percent)("r_a", "r_b").alias("estimate")).where("estimate >= 0")
     best = near.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).selectExpr("a", "best.b AS b")
-    tested = cut_lineage(best)
-    links = cut_lineage(_confirmed(docs, classes, tested, percent))
+    tested = cut_lineage(best).coalesce(parts)
+    links = cut_lineage(_confirmed(docs, classes, tested, percent)).coalesce(parts)
     most = FIRST_CANDIDATES
     while True:
-        labels = cut_lineage(components(links))
+        labels = cut_lineage(components(links, parts)).coalesce(parts)
         named = members.join(labels, "cid", "left").selectExpr(
             "key", "cid", "members", "coalesce(component, cid) AS component"
         )
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        parts = f"CAST(ceil(members / {BLOCK_ROWS}D) AS INT)"
+        blocks_of = f"CAST(ceil(members / {BLOCK_ROWS}D) AS INT)"
         opened = cut_lineage(named.join(mixed.select("key"), "key", "left_semi"))
         # each pair of blocks of a bucket meets once
         meetings = opened.selectExpr(
-            "key", "cid", "component", f"{parts} AS parts", f"CAST(pmod(xxhash64(cid), {parts}) AS INT) AS block"
+            "key", "cid", "component", f"{blocks_of} AS parts", f"CAST(pmod(xxhash64(cid), {blocks_of}) AS INT) AS block"
         )
         meetings = meetings.selectExpr("*", "explode(sequence(0, parts - 1)) AS other").selectExpr(
             "key", "cid", "component", "block", "least(block, other) AS i", "greatest(block, other) AS j"
         )
         # a class is named after one of its rows, which has its set
-        ids = cut_lineage(opened.select("cid").distinct())
+        ids = cut_lineage(opened.select("cid").distinct()).coalesce(parts)
         those = maybe_in(rows.select("row_id", "n", "items", "shared"), F.xxhash64("row_id"), ids.select(F.xxhash64("cid").alias("key")))
         held = those.withColumnRenamed("row_id", "cid").join(ids, "cid", "left_semi")
         blocks = (
@@ -469,16 +476,16 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             .sortWithinPartitions("key", "i", "j")
             .mapInArrow(_candidates(most, percent), "a bigint, b bigint")
         )
-        found = cut_lineage(blocks.distinct())
-        new = cut_lineage(found.where("a <> b").join(tested, ["a", "b"], "left_anti"))
+        found = cut_lineage(blocks.distinct()).coalesce(parts)
+        new = cut_lineage(found.where("a <> b").join(tested, ["a", "b"], "left_anti")).coalesce(parts)
         confirmed = _confirmed(docs, classes, new, percent)
-        links = cut_lineage(links.unionByName(confirmed).distinct())
+        links = cut_lineage(links.unionByName(confirmed).distinct()).coalesce(parts)
         # all pairs of different components were brought up, unless a block says that it left some
         if found.where("a = b").isEmpty():
             break
-        tested = cut_lineage(tested.unionByName(new))
+        tested = cut_lineage(tested.unionByName(new)).coalesce(parts)
         most *= 8
-    labels = components(links)  # links of the last round included
+    labels = components(links, parts)  # links of the last round included
     ids = classes.select("cid", "set_key", "doc_id").join(labels, "cid", "left")
     ids = ids.withColumn("component", F.coalesce("component", "cid"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
