@@ -1,10 +1,12 @@
 """Training and diagnostic queries."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strataflow.operators import diagnostics as D
 from strataflow.operators import features as X
 from strataflow.operators import modeling as ML
+from strataflow.operators import network as NET
 from strataflow.operators import split as S
 from strataflow.plans.features import long_features
 from strataflow.plans.registry import query, r
@@ -153,6 +155,98 @@ def _(v):
     )
 
 
+# --- networks ---------------------------------------------------------------------
+
+#: Two hidden units over one feature: weights and offsets of both layers in their order, and which are penalised.
+NET_START = (0.5, -0.7, 0.1, 0.2, 0.6, -0.4, 0.0)
+NET_PENALISED = (1, 1, 0, 0, 1, 1, 0)
+NET_STEPS, NET_RATE, NET_PENALTY = 6, 0.05, 0.01
+NET_VIEWS = {
+    "mat_net_rows": """
+SELECT labels::DOUBLE AS y, ln(pred_probs / (1 - pred_probs)) AS x, 1.0::DOUBLE + ids % 3 AS w, phase FROM predictions""",
+    "mat_net_0": "SELECT 0.0::DOUBLE AS loss, "
+    + ", ".join(f"{p}::DOUBLE AS p{j}, 0.0::DOUBLE AS m{j}, 0.0::DOUBLE AS s{j}" for j, p in enumerate(NET_START, 1)),
+}
+
+
+def net_margins(step: int) -> str:
+    """Rows with hidden outputs h1, h2 and margin o under the weights of a step."""
+    return f"""
+SELECT *, p5 * h1 + p6 * h2 + p7 AS o FROM (
+  SELECT *, greatest(p1 * x + p3, 0) AS h1, greatest(p2 * x + p4, 0) AS h2 FROM mat_net_rows CROSS JOIN mat_net_{step})"""
+
+
+for _t in range(1, NET_STEPS + 1):
+    _back = ["e * p5 * x * (h1 > 0)::INT", "e * p6 * x * (h2 > 0)::INT", "e * p5 * (h1 > 0)::INT", "e * p6 * (h2 > 0)::INT",
+             "e * h1", "e * h2", "e"]
+    _slopes = ", ".join(f"sum({b}) / sum(w) AS r{j}" for j, b in enumerate(_back, 1))
+    _moved = ", ".join(
+        f"p{j} - {NET_RATE}::DOUBLE * (m{j} / (1 - pow(0.9::DOUBLE, {_t}))) / (sqrt(s{j} / (1 - pow(0.999::DOUBLE, {_t}))) + 1e-8) AS p{j}, "
+        f"m{j}, s{j}" for j in range(1, 8))
+    _means = ", ".join(
+        f"p{j}, 0.9::DOUBLE * m{j} + 0.1::DOUBLE * (r{j} + {NET_PENALTY * k}::DOUBLE * p{j}) AS m{j}, "
+        f"0.999::DOUBLE * s{j} + 0.001::DOUBLE * pow(r{j} + {NET_PENALTY * k}::DOUBLE * p{j}, 2) AS s{j}"
+        for j, k in enumerate(NET_PENALISED, 1))
+    NET_VIEWS[f"mat_net_{_t}"] = f"""
+SELECT loss, {_moved} FROM (
+  SELECT g.loss, {_means} FROM mat_net_{_t - 1} CROSS JOIN (
+    SELECT sum(w * (ln(1 + exp(o)) - y * o)) / sum(w) AS loss, {_slopes}
+    FROM (SELECT *, w * (1 / (1 + exp(-o)) - y) AS e FROM ({net_margins(_t - 1)}))) g)"""
+
+
+def small_network(v):
+    """Predictions as one feature, and the network after some steps over all of them."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = v.predictions().select(
+        "phase", "ids", F.col("labels").alias("label"), F.expr("1D + ids % 3").alias("w"),
+        array_to_vector(F.array(F.expr("ln(pred_probs / (1 - pred_probs))"))).alias("features"),
+    )
+    rows = cut_lineage(rows)
+    a = np.array(NET_START)
+    start = [(a[:2].reshape(1, 2), a[2:4]), (a[4:6].reshape(2, 1), a[6:])]
+    return rows, NET.fit_network(
+        rows, "ids", (2,), weight="w", epochs=NET_STEPS, rate=NET_RATE, penalty=NET_PENALTY, start=start
+    )
+
+
+@query("ml_network_steps", " UNION ALL ".join(
+    [f"SELECT 'loss' AS kind, {t} AS place, {r('loss', 5)} AS value FROM mat_net_{t}" for t in range(1, NET_STEPS + 1)]
+    + [f"SELECT 'weight', {j}, {r(f'p{j}', 5)} FROM mat_net_{NET_STEPS}" for j in range(1, 8)]), NET_VIEWS)
+def _(v):
+    """Losses and weights of a weighted, penalised network, step by step as SQL computes them."""
+    _, net = small_network(v)
+    made = [("loss", i, x) for i, x in enumerate(net.losses, 1)]
+    made += [("weight", i, float(x)) for i, x in enumerate(net.weights, 1)]
+    found = v.spark.createDataFrame(made, "kind string, place int, value double")
+    return found.selectExpr("kind", "place", "round(value, 5) + 0D AS value")
+
+
+@query("ml_network_scores", f"""
+SELECT phase, count(*) AS n, {r("avg(p)", 5)} AS mean_prediction, {r("avg((p - y) * (p - y))", 5)} AS brier
+FROM (SELECT *, 1 / (1 + exp(-o)) AS p FROM ({net_margins(NET_STEPS)})) GROUP BY phase""", NET_VIEWS)
+def _(v):
+    """The same network's scores of all rows."""
+    rows, net = small_network(v)
+    return net.score(rows, keep=["phase", "label"]).groupBy("phase").agg(
+        F.count("*").alias("n"),
+        F.expr("round(avg(pred_probs), 5) + 0D").alias("mean_prediction"),
+        F.expr("round(avg((pred_probs - label) * (pred_probs - label)), 5) + 0D").alias("brier"),
+    )
+
+
+@query("ml_network")
+def _(v):
+    """A network over all seven sources: groups weigh alike, hidden units are dropped, rows come in mini-batches."""
+    data, _ = training_frame(v)
+    train = cut_lineage(S.add_group_weights(part(data, "train"), "group_var"))
+    net = NET.fit_network(train, "subject_id", (16,), weight="weight", epochs=5, batches=4, dropout=0.25, rate=0.01)
+    scored = net.score(part(data, "val", "test"), keep=["fold_id", "subject_id", "label"])
+    return scored.selectExpr(
+        "fold_id AS phase", "subject_id AS ids", "subject_id AS row_id", "CAST(label AS INT) AS labels", "outputs", "pred_probs"
+    )
+
+
 # --- group penalties --------------------------------------------------------------
 
 CORAL_CELLS = """
