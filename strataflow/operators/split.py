@@ -13,6 +13,9 @@ from strataflow.operators.running import hash_ranks, running_sums
 # The three folds and their usual shares.
 FOLDS = {"train": 0.7, "val": 0.15, "test": 0.15}
 
+#: Rows of a sample that one task may rank.
+TOP_ROWS = 10_000
+
 
 def stratified_split(
     df: DataFrame,
@@ -86,10 +89,44 @@ def domain_generalisation_split(
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 44) -> DataFrame:
-    """``n`` rows without replacement: a distributed top-n by hash."""
+    """``n`` rows without replacement, the first by hash of their id; all rows, where there are fewer.
+
+    Up to ``TOP_ROWS`` this is a distributed top-n; no task holds the rows of a larger sample (``rows_below``).
+    """
+    if n > TOP_ROWS:
+        return rows_below(df, n, id_col, seed)
     return df.withColumn("__h", F.expr(hash_key(seed, id_col))).orderBy("__h", id_col).limit(n).drop("__h")
 
 
+def rows_below(df: DataFrame, n: int, id_col: str, seed: int = 44, digits: int = 4) -> DataFrame:
+    """The rows of ``sample_rows`` by threshold, without sorting them.
+
+    A histogram of leading hash digits (``16 ** digits`` cells at most) names the cell in which the n-th row lies.
+    Rows of lower cells are kept as they are; a cell of over ``TOP_ROWS`` rows is divided by its next digits, and
+    only the last one is ranked. ``df`` is read once per histogram and twice for the result. Ids are meant
+    to tell rows apart: rows of one id, which no digit divides, are ranked together; of them any may be taken.
+    """
+    hashed = df.withColumn("__h", F.expr(hash_key(seed, id_col)))
+    prefix, left = "", n
+    while len(prefix) < 32:
+        cell = F.substring("__h", len(prefix) + 1, digits)
+        counted = hashed.where(F.col("__h").startswith(prefix)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        cells, inside = sorted((r["cell"], r["n"]) for r in counted.collect()), None
+        for name, rows in cells:
+            if left <= rows:
+                inside = name, rows
+                break
+            left -= rows
+        if inside is None:
+            return df
+        prefix += inside[0]
+        if inside[1] <= TOP_ROWS:
+            break
+    lower = hashed.where(F.substring("__h", 1, len(prefix)) < prefix)
+    edge = hashed.where(F.col("__h").startswith(prefix)).orderBy("__h", id_col).limit(left)
+    return lower.unionByName(edge).drop("__h")
+
+
 def domain_adaptation_augment(
     split: DataFrame, target_train: DataFrame, n_ood: int, id_col: str = "subject_id", seed: int = 44
 ) -> DataFrame:

@@ -27,6 +27,47 @@ def _(v):
     )
 
 
+SCRIPT = """
+BEGIN
+  DECLARE typical DOUBLE;
+  DECLARE high DOUBLE;
+  SET typical = (SELECT avg(o_totalprice) FROM orders);
+  SET high = (SELECT avg(o_totalprice) FROM orders WHERE o_totalprice > typical);
+  SELECT o_orderpriority, count(*) AS n, count_if(o_totalprice > typical) AS n_above,
+         count_if(o_totalprice > high) AS n_high, 'a;b' AS mark
+  FROM orders GROUP BY o_orderpriority;
+END
+"""
+
+
+@query("src_sql_script", """
+SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_totalprice > typical) AS n_above,
+       count(*) FILTER (o_totalprice > high) AS n_high, 'a;b' AS mark
+FROM orders, (SELECT avg(o_totalprice) AS typical FROM orders),
+     (SELECT avg(o_totalprice) AS high FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders))
+GROUP BY o_orderpriority""")
+def _(v):
+    """A script file with variables, of which one depends on the other."""
+    path = scratch_path(v.spark, "script")
+    v.spark.createDataFrame([(SCRIPT,)], "value string").coalesce(1).write.text(path)
+    return IO.run_script(v.spark, path, {"orders": v.table("orders")})
+
+
+LINE_NUMBERS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+)
+LINE_OTHERS = ("l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query("snk_write_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+    + ", ".join(f"{r(f'{m}({c})') if c in LINE_NUMBERS else 'NULL::DOUBLE'} AS {a}" for m, a in (("min", "low"), ("max", "high")))
+    + " FROM lineitem" for c in LINE_NUMBERS + LINE_OTHERS))
+def _(v):
+    """Written and profiled by one job."""
+    return IO.write_profiled(v.table("lineitem"), scratch_path(v.spark, "profiled")).drop("n_bytes")
+
+
 @query("src_profile", """
 SELECT 'lineitem' AS name, count(*) AS n_rows, 11 AS n_cols FROM lineitem
 UNION ALL SELECT 'orders', count(*), 6 FROM orders UNION ALL SELECT 'events', count(*), 6 FROM events""")

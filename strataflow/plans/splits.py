@@ -189,3 +189,13 @@ def _(v):
     return S.uncovered_ids(long_stay(v), other, "subject_id")
 
 
+@query("smp_large_rows", """
+SELECT line, quantity FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 44, line)), line) AS k, count(*) OVER () AS n
+  FROM (SELECT concat_ws('-', l_orderkey, l_linenumber) AS line, min(l_quantity) AS quantity FROM lineitem GROUP BY 1))
+WHERE k <= n * 2 // 5""")
+def _(v):
+    """Two fifths of all order lines, chosen by a threshold on their hash."""
+    lines = v.table("lineitem").groupBy(F.expr("concat_ws('-', l_orderkey, l_linenumber)").alias("line"))
+    lines = cut_lineage(lines.agg(F.min("l_quantity").alias("quantity")))
+    return S.rows_below(lines, lines.count() * 2 // 5, "line")

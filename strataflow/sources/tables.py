@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from strataflow.operators.running import quoted
 
 # literals, quoted names and comments of a script: a semicolon inside ends nothing
 _PIECES = re.compile(
@@ -40,6 +43,25 @@ def run_sql_file(spark: SparkSession, path: str) -> DataFrame | None:
     return out
 
 
+def run_script(spark: SparkSession, path: str, views: Mapping[str, DataFrame]) -> DataFrame:
+    """Result of a compound statement (``BEGIN ... END``) in a file: declared variables, branches and loops.
+
+    Spark runs it as it is, nothing is cut at semicolons. The named frames are its tables; views that had
+    their names before are given back.
+    """
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    before = {name: spark.table(name) for name in views if spark.catalog.tableExists(name)}
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
+
+
 def save_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Replace a table by the rows of ``df``; a path makes it external."""
     writer = df.write.mode("overwrite").format("parquet")
@@ -100,6 +122,32 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
 
 
+def write_profiled(df: DataFrame, path: str) -> DataFrame:
+    """Write Parquet and profile it in the same job: ``name, n_rows, n_null, low, high, n_bytes`` per column.
+
+    The figures are observed while the rows are written; ``low`` and ``high`` are NULL where a column is
+    not numeric or has no value. ``n_bytes`` is that of the written files, from the file system.
+    """
+    seen = Observation()
+    numeric = [isinstance(f.dataType, NumericType) for f in df.schema]
+    measures = [F.count(F.lit(1)).alias("n")]
+    for i, name in enumerate(df.columns):
+        c = F.col(quoted(name))
+        measures.append(F.count(c).alias(f"filled_{i}"))
+        if numeric[i]:
+            measures += [F.min(c).cast("double").alias(f"low_{i}"), F.max(c).cast("double").alias(f"high_{i}")]
+    df.observe(seen, *measures).write.mode("overwrite").parquet(path)
+    got, spark = seen.get, df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = int(system.getContentSummary(place).getLength())
+    rows = [
+        (name, got["n"], got["n"] - got[f"filled_{i}"], got.get(f"low_{i}"), got.get(f"high_{i}"), size)
+        for i, name in enumerate(df.columns)
+    ]
+    return spark.createDataFrame(rows, "name string, n_rows long, n_null long, low double, high double, n_bytes long")
+
+
 def write_params(spark: SparkSession, params: dict, path: str) -> str:
     """Chosen settings as one JSON record."""
     row = spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string")
