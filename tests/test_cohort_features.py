@@ -159,3 +159,18 @@ def test_scalars(spark):
     assert row[0] == 5 and row[1] is None and row[2] == "abc_abc"
     assert row[3] == pytest.approx(0.25) and row[4] == pytest.approx(0.25)
     assert tuple(row)[5:8] == (0.0, 1, 1.0) and row[8] == pytest.approx(1.0)
+
+
+def test_arrays_of_features_are_the_pivot(spark):
+    """Arrays and columns hold the same; NULLs, repeated cells and features that are not listed too."""
+    rows = [(1, "a_count_x", 2.0), (1, "b", None), (1, "c", 1.0), (1, "c", 2.0), (2, "other", 5.0), (3, "b", float("nan")), (None, "b", 4.0)]
+    long = spark.createDataFrame(rows, "subject_id long, feature_id string, feature_val double")
+    ids = ["c", "a_count_x", "b", "never"]
+    places = X.feature_places(spark, ids)
+    wide = X.pivot_arrays(long, places, ids)
+    got = {r["subject_id"]: r["values"] for r in wide.collect()}
+    want = {r[0]: list(r[1:]) for r in X.pivot_features(long, ids).collect()}
+    assert repr(sorted(got.items(), key=str)) == repr(sorted(want.items(), key=str))
+    keys = spark.createDataFrame([(1,), (9,)], "subject_id long").join(wide, "subject_id", "left")
+    stacked = {tuple(r) for r in X.stack_arrays(keys, places, len(ids), ["subject_id"]).collect()}
+    assert stacked == {(1, f, x) for f, x in zip(ids, want[1])} | {(9, f, None) for f in ids}
