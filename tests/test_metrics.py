@@ -230,3 +230,15 @@ def test_batch_loss_and_min_max(spark):
     assert M.batch_mean_loss(b, ["k"], "loss", "size").first()["loss"] == 1.75
     r = spark.createDataFrame([("auc", 0, 0.5), ("auc", 1, 0.7)], "metric string, g int, performance double")
     assert values(M.min_max_over(r)) == {("auc_min",): 0.5, ("auc_max",): 0.7}
+
+
+def test_thresholds_don_t_gather_runs(spark):
+    """The rows of a run stay where they are, also where Spark's size check would not broadcast."""
+    df = spark.createDataFrame([("val", i % 3, i / 99) for i in range(99)], "phase string, iter int, pred_probs double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.risk_thresholds(df.repartition(4), 0.1)
+        assert "BroadcastHashJoin" in "".join(out._jdf.queryExecution().sparkPlan().toString().split("\n")[:3])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len({r["threshold"] for r in out.collect()}) == 3
