@@ -32,3 +32,16 @@ def test_models_see_all_sources(spark):
     train = models.part(data, "train").select("subject_id")
     words = X.feature_names(FX.long_features(v).join(train, "subject_id", "left_semi"))
     assert size == len(words) and {w.split("_")[1] for w in words} == {s.feature_tag for s in X.STANDARD_SOURCES}
+
+
+def test_training_rows_come_in_bounded_parts(spark, monkeypatch):
+    """Large frames are cut into parts of bounded size; small ones stay as they are."""
+    monkeypatch.setattr(models, "PART_ROWS", 8)
+    monkeypatch.setattr(models, "WHOLE_ROWS", 16)
+    few = spark.range(16).withColumnRenamed("id", "subject_id").coalesce(1)
+    assert models.in_parts(few, 16) is few
+    many = spark.range(1000).withColumnRenamed("id", "subject_id").coalesce(1)
+    parts = models.in_parts(many, 1000).rdd.glom().map(len).collect()
+    assert len(parts) == 125 and sum(parts) == 1000 and max(parts) < 40
+    data, _ = models.training_frame(Views(spark, SF))
+    assert data.rdd.getNumPartitions() > 4

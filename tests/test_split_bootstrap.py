@@ -324,3 +324,15 @@ def test_attributes_are_stacked(spark):
         (1, "age", "under 40"), (1, "kind", "a"), (2, "age", "40-59"), (3, "age", "80 and over"), (3, "kind", "b"),
     ]
     assert B.stack_attributes(rows.where("false"), {"kind": "kind"}, ["ids"]).count() == 0
+
+
+def test_group_weights_don_t_gather_groups(spark):
+    """The rows of a group stay where they are, also where Spark's size check would not broadcast."""
+    df = spark.createDataFrame([(i, i % 2) for i in range(30)], "subject_id long, group_var int").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.add_group_weights(df, "group_var")
+        assert "BroadcastHashJoin" in "".join(out._jdf.queryExecution().sparkPlan().toString().split("\n")[:3])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["weight"] for r in out.collect()} == {2}
