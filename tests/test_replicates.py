@@ -81,3 +81,27 @@ def test_one_label_nulls_and_nothing(spark):
 def test_no_exchange_of_rows_times_replicates(spark):
     plan = R.replicate_metrics(predictions(spark, 50), 1000, ["g"])._jdf.queryExecution().toString()
     assert "Generate explode" not in plan
+
+
+def test_neighbours_share_a_call(spark, monkeypatch):
+    """Nodes and cells come in groups to a call, and points are made once; neither changes a result."""
+    df = predictions(spark, 600)
+    kw = dict(n_boot=6, strata=["g"], leaf=16, fan=2)
+
+    def values(out):
+        return {(r["metric"], r["boot_iter"], r["g"]): r["performance"] for r in out.collect()}
+
+    many = R.replicate_metrics(df, **kw)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "AS cells" in plan
+    monkeypatch.setattr(R, "CHILDREN", 1)
+    monkeypatch.setattr(R, "TOGETHER", 1)
+    alone, many = values(R.replicate_metrics(df, **kw)), values(many)
+    assert many.keys() == alone.keys() and len(many) == 6 * 6 * 2
+    assert all(many[k] == pytest.approx(alone[k], abs=1e-12) for k in many)
+
+
+def test_hashes_of_a_cell_are_those_of_its_draws():
+    want = [R._two_hashes(44, "draw", "a|b", 1, 7, j) for j in range(120)]
+    assert R._hash_pairs(120, 44, "draw", "a|b", 1, 7).tolist() == [list(w) for w in want]
+    assert R._hash_pairs(0, 44).shape == (0, 2)
