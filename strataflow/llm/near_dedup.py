@@ -13,8 +13,9 @@ Candidates stay linear in the members of a bucket. First every class is tested
 against the best of the smallest members of its buckets. Then only buckets that still
 hold several components are opened, in blocks of bounded size, and each class is
 tested against its best candidates of other components. There small sets meet as they
-are, with 32 bits of each hash, so that groups of texts just below the threshold bring
-up no pairs; large ones meet by their registers. The number of candidates grows from round to round until no pair of different components that could qualify is left untested.
+are, with 32 bits of each hash, larger ones by parities: bits that each shingle turns over,
+so that what two sets share cancels out and only their difference is left to estimate. Groups
+of texts below the threshold bring up few pairs either way. The number of candidates grows from round to round until no pair of different components that could qualify is left untested.
 Nothing is capped: a round that left candidates out is followed by another.
 
 A null or wordless text has an empty set: a class of its own, linked with nothing. Texts
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +62,10 @@ BLOCK_ROWS = 1024
 FIRST_CANDIDATES = 4
 #: Shingles by which 32 bits of their hashes may overstate what two small sets share.
 SLACK = 2
+#: Shingles from which sets meet by parities, in so many bits, and from which by registers, too: there the parities fill up.
+FEW, PARITY, HUGE = 128, 4096, 1 << 15
 #: Shingles of a block that are counted at once.
-COLUMNS = 4096
+COLUMNS = 1024
 #: Rows of a block that are compared at once.
 STRIP = 128
 #: Classes per partition of what holds a few numbers per class (links, labels, candidates), and the
@@ -154,9 +156,15 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype("<u4")
 
 
-def near_large(percent: int) -> int:
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits that are 1 where an odd number of hashes falls, packed."""
+    spot = _mixed(hashes ^ np.uint64(0x6A09E667F3BCC909)) & np.uint64(PARITY - 1)
+    return np.packbits(np.bincount(spot.astype(np.int64), minlength=PARITY) & 1)
+
+
+def near_large(percent: int, large: int = LARGE) -> int:
     """The smallest set that may reach the threshold with a large one."""
-    return -(-percent * LARGE // 100)
+    return -(-percent * large // 100)
 
 
 @lru_cache
@@ -204,12 +212,12 @@ def could_reach(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, text_key, n, set_key, own, items, shared, keys`` per row; registers and keys are those for this threshold.
+    """``doc_id, text_key, n, set_key, own, shared, items, parity, keys`` per row; all are those for this threshold.
 
-    ``own`` registers and ``items`` (32 bits of each hash) have small sets, ``shared`` registers (of buckets) those that
-    may reach the threshold with large ones.
+    ``own`` registers have small sets, ``shared`` registers (of buckets) those that may reach the threshold with large
+    ones; ``items`` (32 bits of each hash) have sets under ``FEW``, ``parity`` bits those that may reach it with larger ones.
     """
-    least = near_large(percent)
+    least, least_parity = near_large(percent), near_large(percent, FEW)
     held: dict[str, Shingler] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +234,14 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         pa.binary(),
                     ),
                     "own": pa.array([own_sketch(s).tobytes() if 0 < len(s) < LARGE else None for s in sets], pa.binary()),
-                    "items": pa.array([_short(s).tobytes() if 0 < len(s) < LARGE else None for s in sets], pa.binary()),
                     "shared": pa.array([sketch(s).tobytes() if len(s) >= least else None for s in sets], pa.binary()),
+                    "items": pa.array([_short(s).tobytes() if 0 < len(s) < FEW else None for s in sets], pa.binary()),
+                    "parity": pa.array([parity(s).tobytes() if len(s) >= least_parity else None for s in sets], pa.binary()),
                     "keys": pa.array([band_keys(s, percent) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
             )
 
-    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, own binary, items binary, shared binary, keys array<bigint>"
+    schema = "doc_id bigint, text_key bigint, n bigint, set_key binary, own binary, shared binary, items binary, parity binary, keys array<bigint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
@@ -306,7 +315,18 @@ def components(links: DataFrame, parts: int = LEAST_PARTITIONS) -> DataFrame:
     )
 
 
-_MEETING = "key bigint, i int, j int, cid bigint, block int, component bigint, n bigint, items binary, shared binary"
+_MEETING = "key bigint, i int, j int, cid bigint, block int, component bigint, n bigint, items binary, parity binary, shared binary"
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        if pa.types.is_binary(column.type):
+            out[name] = np.empty(len(column), object)
+            out[name][:] = column.to_pylist()
+        else:
+            out[name] = column.to_numpy()
+    return out
 
 
 def _candidates(most: int, percent: int):
@@ -316,25 +336,27 @@ def _candidates(most: int, percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pd.DataFrame | None = None
+        rest: dict[str, np.ndarray] | None = None
 
-        def pairs(pdf: pd.DataFrame, bounds: np.ndarray) -> pa.RecordBatch:
-            found = [_best_pairs(pdf.iloc[a:b], most, percent) for a, b in zip(bounds, bounds[1:])]
+        def pairs(rows: dict, bounds: np.ndarray) -> pa.RecordBatch:
+            found = [_best_pairs({c: x[a:b] for c, x in rows.items()}, most, percent) for a, b in zip(bounds, bounds[1:])]
             both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_pydict({"a": both[:, 1], "b": both[:, 0]})
 
         for batch in batches:
-            pdf = batch.to_pandas()
+            rows = _columns(batch)
             if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            change = np.ones(len(pdf), bool)
-            change[1:] = np.logical_or.reduce([np.diff(pdf[c].to_numpy()) != 0 for c in ("key", "i", "j")])
+                rows = {c: np.concatenate([rest[c], x]) for c, x in rows.items()}
+            change = np.ones(len(rows["key"]), bool)
+            change[1:] = np.logical_or.reduce([np.diff(rows[c]) != 0 for c in ("key", "i", "j")])
             bounds = np.flatnonzero(change)
             if len(bounds):
-                yield pairs(pdf, bounds)
-                rest = pdf.iloc[bounds[-1] :]
-        if rest is not None and len(rest):
-            yield pairs(rest, np.array([0, len(rest)]))
+                yield pairs(rows, bounds)
+                rest = {c: x[bounds[-1] :].copy() for c, x in rows.items()}
+            del rows, batch
+            pa.default_memory_pool().release_unused()
+        if rest is not None and len(rest["key"]):
+            yield pairs(rest, np.array([0, len(rest["key"])]))
 
     return run
 
@@ -359,23 +381,63 @@ def _common(items: list[bytes | None], rows: np.ndarray, cols: np.ndarray) -> np
     return shared
 
 
-def _best_pairs(pdf: pd.DataFrame, most: int, percent: int) -> np.ndarray:
-    first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("cid", kind="stable")
-    cid, comp = pdf["cid"].to_numpy(), pdf["component"].to_numpy()
-    n, block, shared = pdf["n"].to_numpy(), pdf["block"].to_numpy(), pdf["shared"].tolist()
+def _bits(parities: np.ndarray) -> np.ndarray:
+    """Parity bits as rows of 0 and 1; sets without any have zeros."""
+    held = np.frombuffer(b"".join(x or bytes(PARITY // 8) for x in parities.tolist()), np.uint8)
+    return np.unpackbits(held.reshape(-1, PARITY // 8), axis=1).astype(np.float32)
+
+
+def could_differ(odd: np.ndarray, total: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates by the number of parity bits that differ, and which pairs may reach the threshold.
+
+    ``total`` is the size of both sets together. Bits that differ are those of an odd number of shingles that one set
+    has alone: at most as many as there are, and by chance fewer.
+    """
+    m = PARITY
+    most = (100 - percent) * total / (100 + percent)
+    one, two = (1 - 2 / m) ** most, (1 - 4 / m) ** most
+    mean = m * (1 - one) / 2
+    spread = np.sqrt(np.maximum(m * (m - 1) / 4 * (1 - 2 * one + two) + mean - mean * mean, 0))
+    alone = -m / 2 * np.log(np.maximum(1 - 2 * odd / m, 1e-3))
+    return np.clip((total - alone) / (total + alone), 0, 1), odd <= np.minimum(most, mean + ERRORS * spread + 2)
+
+
+def _best_pairs(held: dict[str, np.ndarray], most: int, percent: int) -> np.ndarray:
+    first, second = int(held["i"][0]), int(held["j"][0])
+    order = np.argsort(held["cid"], kind="stable")
+    cid, comp, n, block, items, parities, shared = (
+        held[c][order] for c in ("cid", "component", "n", "block", "items", "parity", "shared")
+    )
     rows, cols = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    common = _common(pdf["items"].tolist(), rows, cols)
+    small, large = bool((n < FEW).any()), bool((n >= FEW).any())
+    if small:
+        common = _common(items.tolist(), rows, cols)
+    if large:
+        right = _bits(parities[cols])
+        right_sum = right.sum(1)
     found, cut = [], 0
     for k in range(0, len(rows), STRIP):
         part = rows[k : k + STRIP]
-        sizes = n[part][:, None], n[cols][None, :]
-        able = (comp[part][:, None] != comp[cols]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
-        most_common = np.minimum(common[k : k + STRIP] + SLACK, np.minimum(*sizes))
-        near = 100 * most_common >= percent * (sizes[0] + sizes[1] - most_common)
-        est = common[k : k + STRIP] / np.maximum(sizes[0] + sizes[1] - common[k : k + STRIP], 1)
-        # a large set meets others by registers
-        r, c = np.nonzero(able & (np.maximum(*sizes) >= LARGE))
+        low, high = (of(n[part][:, None], n[cols][None, :]) for of in (np.minimum, np.maximum))
+        total = low + high
+        able = (comp[part][:, None] != comp[cols]) & (100 * low >= percent * high)
+        if not able.any():
+            continue
+        est = np.zeros(able.shape)
+        if small:
+            those = common[k : k + STRIP]
+            most_common = np.minimum(those + SLACK, low)
+            near = 100 * most_common >= percent * (total - most_common)
+            est = those / np.maximum(total - those, 1)
+        if large:
+            left = _bits(parities[part])
+            odd = left.sum(1)[:, None] + right_sum - 2 * (left @ right.T)
+            by_parity = could_differ(odd.astype(np.float64), total, percent)
+            if small:
+                est, near = (np.where(high < FEW, x, y) for x, y in zip((est, near), by_parity))
+            else:
+                est, near = by_parity
+        r, c = np.nonzero(able & near & (high >= HUGE))
         for at in range(0, len(r), STRIP):
             x, y = r[at : at + STRIP], c[at : at + STRIP]
             a, b = (np.stack([np.frombuffer(shared[i], "<u2") for i in of.tolist()]) for of in (part[x], cols[y]))
@@ -396,14 +458,17 @@ def _best_pairs(pdf: pd.DataFrame, most: int, percent: int) -> np.ndarray:
     return pairs
 
 
-def _estimate(percent: int):
-    """The estimate of pairs that may reach the threshold, -1 for others."""
+def _estimated(percent: int):
+    """Pairs (a, b) whose registers may reach the threshold, with the estimate."""
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        est, near = could_reach(*[np.frombuffer(b"".join(x), "<u2").reshape(-1, REGISTERS) for x in (a, b)], percent)
-        return pd.Series(np.where(near, est, -1.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
+            est, near = could_reach(x, y, percent)
+            made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "estimate"])
+            yield made.filter(pa.array(near))
 
-    return F.pandas_udf(run, "double")
+    return run
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -445,7 +510,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .selectExpr("a", "b", f"IF({large}, s_a, o_a) AS r_a", f"IF({large}, s_b, o_b) AS r_b")
     )
-    near = sized.select("a", "b", _estimate(percent)("r_a", "r_b").alias("estimate")).where("estimate >= 0")
+    near = sized.mapInArrow(_estimated(percent), "a bigint, b bigint, estimate double")
     best = near.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).selectExpr("a", "best.b AS b")
     tested = cut_lineage(best).coalesce(parts)
     links = cut_lineage(_confirmed(docs, classes, tested, percent)).coalesce(parts)
@@ -467,7 +532,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
         # a class is named after one of its rows, which has its set
         ids = cut_lineage(opened.select("cid").distinct()).coalesce(parts)
-        those = maybe_in(rows.select("row_id", "n", "items", "shared"), F.xxhash64("row_id"), ids.select(F.xxhash64("cid").alias("key")))
+        sets = rows.selectExpr("row_id", "n", "items", "parity", f"IF(n >= {near_large(percent, HUGE)}, shared, NULL) AS shared")
+        those = maybe_in(sets, F.xxhash64("row_id"), ids.select(F.xxhash64("cid").alias("key")))
         held = those.withColumnRenamed("row_id", "cid").join(ids, "cid", "left_semi")
         blocks = (
             meetings.join(held, "cid")

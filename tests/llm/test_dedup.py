@@ -184,3 +184,38 @@ def test_what_small_sets_share(monkeypatch):
     got = near_dedup._common(items, rows, cols)
     sets.append(np.empty(0, "<u4"))
     assert got.tolist() == [[len(np.intersect1d(sets[r], sets[c])) if r != c or r == 12 else got[k, c] for c in cols] for k, r in enumerate(rows)]
+
+
+def test_large_sets_below_the_threshold_bring_few_candidates(spark, monkeypatch):
+    """Texts that all share three quarters of their shingles with each other: registers alone bring up most pairs."""
+    rng = random.Random(3)
+    base = prose(8, 900)
+    rows = []
+    for i in range(80):
+        own = [w if j % 40 >= 2 else "".join(rng.choice("abcdefghij") for _ in range(7)) for j, w in enumerate(base)]
+        rows.append((i, " ".join(own)))
+    asked, confirmed = [], near_dedup._confirmed
+
+    def counted(docs, classes, pairs, percent):
+        asked.append(pairs.count())
+        return confirmed(docs, classes, pairs, percent)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    got = near_dedup.cluster(documents(spark, rows)).collect()
+    assert all(r["kept"] for r in got) and sum(asked) <= len(rows)
+
+
+@pytest.mark.parametrize("n", [7, 128, 700, 6000, 60_000])
+def test_parities_leave_no_pair_at_the_threshold_out(n):
+    rng = np.random.default_rng(n)
+    for share, near in ((0.85, True), (0.72, False)):
+        alone = int(n * (1 - share))
+        for _ in range(20):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            a, b = x[: n - alone // 2], x[alone - alone // 2 :]
+            odd = np.unpackbits(near_dedup.parity(a) ^ near_dedup.parity(b)).sum()
+            est, may = near_dedup.could_differ(np.float64(odd), np.float64(len(a) + len(b)), 85)
+            if near:
+                assert may
+            elif n < near_dedup.HUGE and alone * 100 > 20 * n:
+                assert not may and abs(est - share) < 0.06
