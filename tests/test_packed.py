@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflow.operators import bootstrap as B
 from strataflow.operators import packed as K
-from strataflow.operators.metrics import ensemble_predictions, evaluate
+from strataflow.operators.metrics import ECE_METRICS, ensemble_predictions, evaluate
 
 NAMES = ["auc", "auprc", "loss_bce", "brier", "mean_prediction"]
 
@@ -65,6 +65,31 @@ def test_ensemble_and_pairs_of_packed_draws(spark, monkeypatch):
     same(alone, evaluate(mean.withColumn("labels", F.expr("CAST(round(labels) AS INT)")), NAMES, ["boot_iter", "phase"]))
 
 
+@pytest.mark.parametrize("cell,n_boot,first", [(K.CELL, 5, 1), (16, 70, 2**18 + 3)])
+def test_binned_calibration_of_packed_draws(spark, monkeypatch, cell, n_boot, first):
+    """Edges follow the draws of a replicate, over several cells too; coinciding edges give NULL."""
+    names, strata = ["auc", *ECE_METRICS], ["phase", "iter"]
+    monkeypatch.setattr(K, "CELL", cell)
+    monkeypatch.setattr(K, "_bits", lambda most, n_boot: 3)  # several score cells per stratum
+    df = frame(spark)
+    got = B.bootstrap(df, n_boot, strata, metrics=names, first=first)
+    assert K.supported(names)
+    drawn = B.resample_counts(df, strata, ["ids"], n_boot, first=first)
+    same(got, evaluate(drawn, names, ["boot_iter", *strata], count="boot_weight"))
+    found = {(r["metric"], r["performance"] is None) for r in got.where("metric LIKE 'ece_q%'").collect()}
+    assert found == {(m, x) for m in ("ece_q_abs", "ece_q_rmse") for x in (True, False)}
+
+
+def test_binned_calibration_of_pairs_and_ensembles(spark, monkeypatch):
+    names = ["auc", "ece_abs", "ece_q_abs"]
+    df = frame(spark).where("phase IN ('a', 'b')")
+    other = df.withColumn("pred_probs", F.expr("1 - pred_probs * pred_probs"))
+    got = {m: B.compare_models(df, other, m, n_boot=3, metrics=names) for m in ("avg", "ensemble")}
+    monkeypatch.setattr(B, "supported", lambda metrics: False)
+    for m in got:
+        same(got[m], B.compare_models(df, other, m, n_boot=3, metrics=names))
+
+
 def test_counts_beyond_a_byte_go_on():
     p, y = np.array([0.2, 0.2, 0.9]), np.array([True, True, False])
     made = list(K._points(p, y, np.array([[300, 1], [400, 0], [0, 255]]), 4))
