@@ -301,6 +301,22 @@ def test_nobody_is_lost_from_training(spark):
     assert got == {1: [2.0], 2: [0.0], 3: [0.0]}
 
 
+def test_vectors_are_made_without_an_object_per_entry(spark):
+    """Entries in the order of the words; NULL is no number; two values of a word are refused."""
+    rows = [(i, f"f{j}", None if (i, j) == (3, 1) else 10.0 * i + j) for i in range(1, 60) for j in range(i % 5 + 1)]
+    long = spark.createDataFrame(rows, "subject_id long, feature_id string, feature_val double")
+    words = spark.createDataFrame([(f"f{j}", 4 - j) for j in range(5)], "feature_id string, idx int")
+    made = S.long_to_sparse(long.repartition(3), words, 5)
+    assert "BatchEvalPython" not in made._jdf.queryExecution().toString()
+    got = {r["subject_id"]: r["features"] for r in made.collect()}
+    assert len(got) == 59 and got[3].indices.tolist() == [1, 2, 3, 4] and str(got[3].values[2]) == "nan"
+    for i, v in got.items():
+        if i != 3:
+            assert v.size == 5 and dict(zip(v.indices.tolist(), v.values.tolist())) == {4 - j: 10.0 * i + j for j in range(i % 5 + 1)}
+    with pytest.raises(Exception, match="two values of one vocabulary word"):
+        S.long_to_sparse(long.union(long), words, 5).collect()
+
+
 def test_one_stratum_holds_most_rows(spark):
     """Ranks of a hot stratum are dense and complete; no window sorts it whole."""
     from strataflow.functions.hashing import hash_key
