@@ -102,3 +102,32 @@ def test_score_cells_follow_the_scores():
     p = np.sort(np.concatenate([[-3.0, -1e-9, 0.0, 5e-324, 1.0, 1.5, 1e300], np.random.default_rng(1).random(1000), 1 - 2.0 ** -np.arange(1, 60)]))
     for bits in (-11, 0, 7, 14):
         assert (np.diff(K.score_cells(p, bits)) >= 0).all()
+
+
+@pytest.mark.parametrize("block,n_boot,first", [(K.BLOCK, 5, 1), (3, 7, 2**18 + 3)])
+def test_whole_strata_and_cells_agree(spark, monkeypatch, block, n_boot, first):
+    """Strata held by one task and strata in cells give the metrics of the same draws."""
+    monkeypatch.setattr(K, "BLOCK", block)
+    df, strata = frame(spark).withColumn("lambda", F.expr("iter / 10D")), ["phase", "lambda"]
+    drawn = B.resample_counts(df, strata, ["ids"], n_boot, first=first)
+    want = evaluate(drawn, NAMES, ["boot_iter", *strata], count="boot_weight")
+    other = df.withColumn("pred_probs", F.expr("1 - pred_probs * pred_probs")).withColumnRenamed("pred_probs", "pred_test")
+    pairs = df.withColumnRenamed("pred_probs", "pred_base").join(
+        other.select("phase", "iter", "ids", "pred_test", F.expr("1 - labels AS labels_test")), ["phase", "iter", "ids"]
+    )
+    found = []
+    for whole in (K.WHOLE, 0):
+        monkeypatch.setattr(K, "WHOLE", whole)
+        same(B.bootstrap(df, n_boot, strata, metrics=NAMES, first=first), want)
+        found.append(B.compare_pairs(pairs, strata, n_boot, NAMES, first=first))
+    same(*found)
+
+
+def test_draws_of_whole_strata_do_not_travel(spark, monkeypatch):
+    """A thousand replicates send a row once per block, not a number per draw."""
+    monkeypatch.setattr(K, "CELL", 64)
+    sent = spark.sparkContext.accumulator(0)
+    made = K.Cells.draws
+    monkeypatch.setattr(K.Cells, "draws", lambda *a: sent.add(1) or made(*a))
+    got = B.bootstrap(frame(spark), 1000, ["phase", "iter"], metrics=["auc"])
+    assert got.count() == 1000 * 9 and sent.value == 0
