@@ -131,3 +131,19 @@ def test_draws_of_whole_strata_do_not_travel(spark, monkeypatch):
     monkeypatch.setattr(K.Cells, "draws", lambda *a: sent.add(1) or made(*a))
     got = B.bootstrap(frame(spark), 1000, ["phase", "iter"], metrics=["auc"])
     assert got.count() == 1000 * 9 and sent.value == 0
+
+
+def test_pairs_by_attribute_are_stacked_after_pairing(spark):
+    """The pairs of stacked frames, repeated and missing keys included, from one join of the frames as they are."""
+    attributes = {"sex": "sex", "age": B.age_band("age")}
+    rows = [("a", 1, None if i == 3 else i // 2, i % 2, i / 40, [None, "F", "M"][i % 3], 30 + i) for i in range(40)]
+    base = spark.createDataFrame(rows, "phase string, iter int, ids long, labels int, pred_probs double, sex string, age int")
+    test = base.withColumn("pred_probs", F.expr("1 - pred_probs")).withColumn("age", F.expr("IF(ids = 7, 90, age)"))
+    columns = ["phase", "iter", "ids", "labels", "pred_probs"]
+    keys = ["phase", "attribute", "value", "iter", "ids"]
+    want = B.pair_predictions(*(B.stack_attributes(x, attributes, columns) for x in (base, test)), keys)
+    got = B.pair_by_attributes(base, test, attributes)
+    rows = lambda df: sorted(map(tuple, df.select(*keys, "labels", "labels_test", "pred_base", "pred_test").collect()))
+    assert rows(got) == rows(want) and len(rows(got)) > 40
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(want).index("Join") < plan(want).index("Generate") and plan(got).index("Generate") < plan(got).index("Join")
