@@ -174,3 +174,22 @@ def test_arrays_of_features_are_the_pivot(spark):
     keys = spark.createDataFrame([(1,), (9,)], "subject_id long").join(wide, "subject_id", "left")
     stacked = {tuple(r) for r in X.stack_arrays(keys, places, len(ids), ["subject_id"]).collect()}
     assert stacked == {(1, f, x) for f, x in zip(ids, want[1])} | {(9, f, None) for f in ids}
+
+
+def test_patients_are_joined_before_their_arrays_are_made(spark):
+    """Rows of patients with repeated, missing and no features, spread from their cells."""
+    long = spark.createDataFrame(
+        [(1, "a_count", 2.0), (1, "a_count", 4.0), (1, "b", None), (2, "b", 5.0), (2, "rare", 1.0), (3, "rare", 1.0)],
+        "subject_id long, feature_id string, feature_val double",
+    )
+    names = ["a_count", "b"]
+    places = X.feature_places(spark, names)
+    demo = spark.createDataFrame([(1, "F"), (1, "M"), (3, None), (4, "F")], "subject_id long, gender string")
+    cells = X.feature_cells(long, places)
+    table = X.feature_table(demo, cells)
+    got = X.stack_arrays(X.dense_arrays(table, names), places, len(names), ["subject_id", "gender"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (1, "F", "a_count", 3.0), (1, "F", "b", None), (1, "M", "a_count", 3.0), (1, "M", "b", None),
+        (3, None, "a_count", 0.0), (3, None, "b", None), (4, "F", "a_count", None), (4, "F", "b", None)]))
+    wide = X.feature_table(demo, X.pivot_arrays(long, places, names))
+    assert sorted(map(str, wide.collect())) == sorted(map(str, X.dense_arrays(table, names).collect()))
