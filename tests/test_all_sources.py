@@ -45,3 +45,12 @@ def test_training_rows_come_in_bounded_parts(spark, monkeypatch):
     assert len(parts) == 125 and sum(parts) == 1000 and max(parts) < 40
     data, _ = models.training_frame(Views(spark, SF))
     assert data.rdd.getNumPartitions() > 4
+
+
+def test_training_frame_writes_what_it_needs_once(spark, monkeypatch):
+    """Features are written without their descriptions, and the words of the training fold before they are placed."""
+    written, write = [], models.cut_lineage
+    monkeypatch.setattr(models, "cut_lineage", lambda df: written.append(df.columns) or write(df))
+    models.training_frame(Views(spark, SF))
+    assert ["subject_id", "feature_id", "feature_val"] in written and ["feature_id"] in written
+    assert not any("feature_tag" in columns for columns in written)
